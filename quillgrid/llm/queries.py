@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillgrid.llm import decontaminate as dc
 from quillgrid.llm import quality_rules as qr
 from quillgrid.sources.tables import table
 
@@ -69,3 +70,24 @@ def _op10_sql(rules: qr.Rules = qr.Rules()) -> str:
 
 
 ORACLES["op10_quality_rules"] = _op10_sql()
+
+
+@query
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dc.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_OP6_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ORACLES["op6_decontaminate"] = f"""
+    WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_OP6_WORDS} AS ws FROM documents),
+    b AS (SELECT coalesce(item_id::VARCHAR, '') AS item_id, {_OP6_WORDS} AS ws FROM benchmark),
+    iw AS (SELECT DISTINCT item_id, least(len(ws), 10) AS n, array_to_string(ws[i : i + least(len(ws), 10) - 1], ' ') AS w
+           FROM b, unnest(range(1, len(ws) - least(len(ws), 10) + 2)) AS u(i) WHERE len(ws) > 0),
+    dw AS (SELECT r, i, n, array_to_string(ws[i : i + n - 1], ' ') AS w
+           FROM (SELECT d.*, l.n FROM d, (SELECT DISTINCT n FROM iw) l), unnest(range(1, len(ws) - n + 2)) AS u(i)),
+    hit AS (SELECT dw.r, dw.i, dw.n, iw.item_id FROM dw JOIN iw ON dw.n = iw.n AND dw.w = iw.w),
+    n_hit AS (SELECT r, count(DISTINCT i + k) AS n_hit FROM (SELECT DISTINCT r, i, n FROM hit), unnest(range(n)) AS v(k) GROUP BY r),
+    n_items AS (SELECT r, count(DISTINCT item_id) AS n_items, sha256(array_to_string(list_sort(list(DISTINCT item_id)), ',')) AS items_sha256 FROM hit GROUP BY r)
+    SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+      coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN n_hit USING (r) LEFT JOIN n_items USING (r)"""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillgrid.llm import decontaminate as dc
 from quillgrid.llm import quality_rules as qr
+from quillgrid.llm import simhash as sh
 from quillgrid.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +92,8 @@ ORACLES["op6_decontaminate"] = f"""
     SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
       coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
     FROM d LEFT JOIN n_hit USING (r) LEFT JOIN n_items USING (r)"""
+
+
+@query
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sh.near_duplicates(table(spark, sf_dir, "documents"))

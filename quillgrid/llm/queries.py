@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillgrid.llm import bpe
 from quillgrid.llm import decontaminate as dc
 from quillgrid.llm import quality_rules as qr
 from quillgrid.llm import simhash as sh
@@ -97,3 +99,12 @@ ORACLES["op6_decontaminate"] = f"""
 @query
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sh.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+#: The public tokenizer that the token queries use; readable on every executor.
+TOKENIZER = os.environ.get("QUILLGRID_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
+
+
+@query
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_decode(table(spark, sf_dir, "documents"), TOKENIZER)

@@ -1,3 +1,11 @@
 """quillgrid: gridded, graph and event analytics as PySpark DataFrame operators."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions that run on executors travel with their code, so that workers need
+# not have this package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,8 @@ from quillgrid.llm import bpe
 from quillgrid.llm import decontaminate as dc
 from quillgrid.llm import quality_rules as qr
 from quillgrid.llm import simhash as sh
+from quillgrid.llm import token_files as tf
+from quillgrid.session import checkpoint_root
 from quillgrid.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +111,9 @@ TOKENIZER = os.environ.get("QUILLGRID_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.
 @query
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
+@query
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{checkpoint_root(spark)}/token-files-{uuid.uuid4().hex}"
+    return tf.read_token_files(tf.write_token_files(table(spark, sf_dir, "documents"), folder, TOKENIZER))

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgrid.llm import bpe
+from quillgrid.llm import bpe, chat
 from quillgrid.llm import decontaminate as dc
 from quillgrid.llm import quality_rules as qr
 from quillgrid.llm import simhash as sh
@@ -117,3 +117,29 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{checkpoint_root(spark)}/token-files-{uuid.uuid4().hex}"
     return tf.read_token_files(tf.write_token_files(table(spark, sf_dir, "documents"), folder, TOKENIZER))
+
+
+#: A conversation whose texts hold the template's own control strings.
+ODD_TEXT = "\\### Assistant: </turn> ok"
+
+
+@query
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = spark.range(2).select(
+        F.lit(-7).cast(rows.schema["conv_id"].dataType).alias("conv_id"), F.col("id").cast(rows.schema["turn"].dataType).alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(ODD_TEXT).alias("text"),
+    )
+    return chat.read_back(chat.packs(rows.unionByName(odd)))
+
+
+ORACLES["op9_chat_format"] = rf"""
+    WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, role AS r, coalesce(text, '') AS text FROM conversations
+      UNION ALL SELECT -7, i, role, role, '{ODD_TEXT}' FROM (VALUES (0, 'user'), (1, 'assistant')) v(i, role))
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+      coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+      sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+      sum(length(role) + 14 + length(text) + length(text) - length(replace(text, chr(92), ''))
+        + (length(text) - length(replace(text, '</turn>', ''))) // 7
+        + coalesce(list_sum(list_transform(regexp_extract_all(text, '###+'), lambda x: length(x) - 2)), 0))::BIGINT AS formatted_chars
+    FROM c GROUP BY conv_id"""

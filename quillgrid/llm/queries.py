@@ -14,6 +14,7 @@ from quillgrid.llm import decontaminate as dc
 from quillgrid.llm import quality_rules as qr
 from quillgrid.llm import simhash as sh
 from quillgrid.llm import token_files as tf
+from quillgrid.llm import toxicity
 from quillgrid.session import checkpoint_root
 from quillgrid.sources.tables import table
 
@@ -143,3 +144,10 @@ ORACLES["op9_chat_format"] = rf"""
         + (length(text) - length(replace(text, '</turn>', ''))) // 7
         + coalesce(list_sum(list_transform(regexp_extract_all(text, '###+'), lambda x: length(x) - 2)), 0))::BIGINT AS formatted_chars
     FROM c GROUP BY conv_id"""
+
+
+@query
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", toxicity.held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", "predicted")

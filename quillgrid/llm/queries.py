@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgrid.llm import bpe, chat, quality_rulefit
+from quillgrid.llm import bpe, chat, html_main, quality_rulefit
 from quillgrid.llm import decontaminate as dc
 from quillgrid.llm import quality_rules as qr
 from quillgrid.llm import simhash as sh
@@ -158,3 +158,8 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality_rulefit.learn(docs, table(spark, sf_dir, "labels"))
     return quality_rulefit.score(docs, model).select("doc_id", toxicity.held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score", "predicted")
+
+
+@query
+def op5_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.main_text(table(spark, sf_dir, "pages"))

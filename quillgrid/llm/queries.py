@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgrid.llm import bpe, chat, html_main, quality_rulefit
+from quillgrid.llm import bpe, chat, html_main, quality_rulefit, suffix_dedup
 from quillgrid.llm import decontaminate as dc
 from quillgrid.llm import quality_rules as qr
 from quillgrid.llm import simhash as sh
@@ -163,3 +163,8 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.main_text(table(spark, sf_dir, "pages"))
+
+
+@query
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text", "_h")

@@ -52,8 +52,29 @@ def decontaminate(
     item_text_col: str = "text", span: int = 10, gram: int = 5, broadcast_rows: int = 1_000_000,
 ) -> DataFrame:
     """Per row of ``docs``: the id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    width = span - gram + 1
     d = with_key(pick(docs, id_col, text_col)).withColumn("_words", words_of(F.col("_text"))).drop("_text")
+    hit = hits(d, benchmark, item_col, item_text_col, span, gram, broadcast_rows)
+    base = d.select("_id", "_h", F.size("_words").cast("long").alias("n_words"))
+    return base.join(hit, same_key(base, hit), "left").select(
+        base["_id"].alias(id_col), "n_words",
+        F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+        F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
+        F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"),
+        (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
+    )
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 10, gram: int = 5, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """The rows of ``docs``, all columns, in which no window of the benchmark occurs."""
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    d = with_key(pick(docs, id_col, text_col)).withColumn("_words", words_of(F.col("_text"))).drop("_text")
+    hit = hits(d, benchmark, "item_id", "text", span, gram, broadcast_rows).select("_id", "_h")
+    return docs.join(hit, docs[id_col].eqNullSafe(hit["_id"]) & (F.xxhash64(text) == hit["_h"]), "left_anti")
+
+
+def hits(d: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, span: int, gram: int, broadcast_rows: int) -> DataFrame:
+    """(_id, _h, n_hit, n_items, items_sha256) of the documents ``d`` (_id, _h, _words) with a hit."""
+    width = span - gram + 1
     items = pick(benchmark, item_col, item_text_col).select(
         F.coalesce(F.col("_id").cast("string"), F.lit("")).alias("_item"), words_of(F.col("_text")).alias("_words")
     ).filter(F.size("_words") > 0).withColumn("_len", F.least(F.size("_words"), F.lit(span)))
@@ -100,7 +121,7 @@ def decontaminate(
         .select("_id", "_h", F.explode(F.expr(f"transform(_starts, x -> struct(x.s AS s, x.n AS n, {_window('x.s', 'x.n')} AS w))")).alias("_c"))
         .select("_id", "_h", F.col("_c.s").alias("_s"), F.col("_c.n").alias("_len"), F.col("_c.w").alias("_window"))
     )
-    hits = (
+    return (
         candidates.join(small(windows), ["_window", "_len"])
         .groupBy("_id", "_h")
         .agg(
@@ -114,11 +135,3 @@ def decontaminate(
             F.sha2(F.array_join("_ids", ","), 256).alias("items_sha256"),
         )
     )
-    base = d.select("_id", "_h", F.size("_words").cast("long").alias("n_words"))
-    return base.join(hits, same_key(base, hits), "left").select(
-        base["_id"].alias(id_col), "n_words",
-        F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
-        F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
-        F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"),
-        (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
-    )

@@ -167,4 +167,4 @@ def op5_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text", "_h")
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")

@@ -142,7 +142,16 @@ def near_duplicates(
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
-    """The rows of ``docs`` whose id names their component: one document of each group.
-    Rows with a null id are kept only where no row of the component has one."""
-    found = near_duplicates(docs, id_col, text_col, **parameters).filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_kept")).distinct()
-    return docs.join(found, docs[id_col].eqNullSafe(found["_kept"]), "left_semi")
+    """The rows of ``docs``, all columns, that name their component: one document of
+    each group. A null id stays only in a component without any other. Of rows
+    repeated under one id, one stays."""
+    found = (
+        near_duplicates(docs, id_col, text_col, **parameters).filter(F.col(id_col).eqNullSafe(F.col("component_id")))
+        .groupBy(F.col(id_col).alias("_kept")).agg(F.count("*").alias("_n"))
+    )
+    found = cut(found)
+    once = docs.join(found.filter("_n = 1"), docs[id_col].eqNullSafe(F.col("_kept")), "left_semi")
+    many = found.filter("_n > 1")
+    if not many.head(1):
+        return once
+    return once.unionByName(docs.join(many, docs[id_col].eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates([id_col]))

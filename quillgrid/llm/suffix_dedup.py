@@ -316,25 +316,42 @@ def repeated_spans(keyed: DataFrame, length: int = 200, hot_segments: int = 20_0
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, hot_segments: int = 20_000) -> DataFrame:
     """Per row of ``docs``: the id, n_bytes, n_removed, n_spans, kept_sha256, and
-    kept_text (the remaining bytes; a character of which only a part remains is
-    left out) with ``_h`` to join by."""
+    kept_text (the remaining bytes; a character of which only a part remains is left out)."""
     keyed = with_key(pick(docs, id_col, text_col))
+    return _removed(keyed, id_col, length, hot_segments)
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", length: int = 200) -> DataFrame:
+    """``docs`` with the remaining text in place of each text, and its code points in
+    ``chars_col`` where there is such a column; all rows and columns stay."""
+    others = [c for c in docs.columns if c != text_col]
+    keyed = with_key(docs.select(
+        F.col(f"`{id_col}`").alias("_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text"), F.struct(*(F.col(f"`{c}`") for c in others)).alias("_row")
+    ))
+    out = _removed(keyed, "_id", length, 20_000)
+    values = {c: F.col("_row").getField(c) for c in others} | {text_col: F.col("kept_text")}
+    if chars_col in values:
+        values[chars_col] = F.char_length("kept_text").cast(docs.schema[chars_col].dataType)
+    return out.select(*(values[c].alias(c) for c in docs.columns))
+
+
+def _removed(keyed: DataFrame, id_name: str, length: int, hot_segments: int) -> DataFrame:
     spans = repeated_spans(keyed, length, hot_segments).groupBy("_id", "_h").agg(F.collect_list(F.struct("start", "stop")).alias("_spans"))
     spans = spans.withColumnsRenamed({"_id": "_id2", "_h": "_h2"})
-    joined = keyed.join(spans, keyed["_id"].eqNullSafe(spans["_id2"]) & (keyed["_h"] == spans["_h2"]), "left").select("_id", "_h", "_text", "_spans")
+    carried = [c for c in keyed.columns if c == "_row"]
+    joined = keyed.join(spans, keyed["_id"].eqNullSafe(spans["_id2"]) & (keyed["_h"] == spans["_h2"]), "left").select("_id", "_text", "_spans", *carried)
     schema = T.StructType([
-        T.StructField(id_col, keyed.schema["_id"].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()),
-        T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField("kept_text", T.StringType()), T.StructField("_h", T.LongType()),
+        T.StructField(id_name, keyed.schema["_id"].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()),
+        T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField("kept_text", T.StringType()), *(keyed.schema[c] for c in carried),
     ])
     names = schema.names
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[list] = [[], [], [], [], []]
-            for text, covered in zip(b.column(2), b.column(3), strict=True):
+            for text, covered in zip(b.column(1), b.column(2), strict=True):
                 data = text.as_py().encode()
-                kept, at, n = [], 0, 0
-                stop = -1
+                kept, at, n, stop = [], 0, 0, -1
                 for s in sorted((x["start"], x["stop"]) for x in covered.as_py() or ()):
                     if s[0] > stop:
                         kept.append(data[at : s[0]])
@@ -345,6 +362,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 for x, v in zip(out, (len(data), len(data) - len(rest), n, hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore")), strict=True):
                     x.append(v)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, out, kinds), b.column(1)], names)
+            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, out, kinds), *b.columns[3:]], names)
 
     return joined.mapInArrow(apply, schema)

@@ -168,3 +168,18 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names)
 
     return d.mapInArrow(run, schema)
+
+
+def without_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score is under ``threshold``. One pass."""
+    at, names = docs.columns.index(text_col), docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair, weights = compressors(model), np.array(model.weights)
+        for b in batches:
+            x = np.array([features(t.as_py() or "", pair) for t in b.column(at)]).reshape(-1, FEATURES)
+            s = 1 / (1 + np.exp(-np.clip(x @ weights + model.bias, -500, 500)))
+            keep = b.filter(pa.array(s < threshold))
+            yield pa.RecordBatch.from_arrays(keep.columns, names)
+
+    return docs.mapInArrow(run, docs.schema)

@@ -107,7 +107,7 @@ def trained(size: int, samples: list[bytes]) -> bytes:
         return b" ".join(samples)[-size:]
 
 
-def fit(toxic: list[str], ordinary: list[str], ordinary_size: int = 32768, toxic_size: int = 2048, share: float = 0.0) -> Model:
+def fit(toxic: list[str], ordinary: list[str], ordinary_size: int = 65536, toxic_size: int = 2048, share: float = 0.0) -> Model:
     """Dictionaries from the first half of each list, calibration from the other."""
     if len(toxic) < 4 or len(ordinary) < 4:
         share = min(max(share, 1e-6), 1 - 1e-6)
@@ -121,7 +121,7 @@ def fit(toxic: list[str], ordinary: list[str], ordinary_size: int = 32768, toxic
         return out
 
     in_t, in_o = held_by(t), held_by(o)
-    least = 3 if len(t) >= 30 else 2
+    least = 6 if len(t) >= 400 else 3 if len(t) >= 30 else 2
     beyond = {w for w, n in in_t.items() if n >= least and n / len(t) > 8 * (in_o[w] + 0.5) / len(o)}
     rest = [" ".join(w for w in x.lower().split() if w in beyond).encode() for x in t]
     model = Model(trained(ordinary_size, [w for x in o for w in windows(x)]), trained(toxic_size, rest), (0.0,) * FEATURES, 0.0)

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from quillgrid.plans import catalogue
+from quillgrid.plans import catalogue, catalogue_more  # noqa: F401
 from quillgrid.sources.tables import TABLES
 
 SF = "/root/testdata/sf0.001"

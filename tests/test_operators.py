@@ -71,3 +71,14 @@ def test_empty_tables(spark):
     assert st.block_mean(spark.createDataFrame([], "r long, c long, z long"), "r", "c", "z", 4).count() == 0
     assert graph.dilate(spark.createDataFrame([], "r long, c long"), spark.createDataFrame([(1, 1)], "r long, c long"), 2).count() == 0
     assert F is not None
+
+
+def test_kernels():
+    import numpy as np
+
+    from quillgrid.operators import lines
+
+    assert lines.non_increasing(np.array([3.0, 1.0, 2.0, 2.0, 5.0])).tolist() == [3.0, 2.5, 2.5, 2.5, 2.5]
+    xy = np.array([[0, 0], [1, 0.1], [2, 5], [3, 0.1], [4, 0]], float)
+    assert lines.simplified(xy, 1.0).tolist() == [True, False, True, False, True]
+    assert lines.simplified(np.array([[0, 0], [1, 0.1], [2, 0]], float), 1.0).tolist() == [True, False, True]

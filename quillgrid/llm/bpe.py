@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from quillgrid.llm.common import pick
 
 #: Characters of text whose pieces are indexed together, and remembered pieces.
-CHUNK, KEPT = 1 << 21, 400_000
+CHUNK, KEPT = 1 << 22, 800_000
 #: Fixed value: the pattern of byte-level BPE that cuts text into pieces.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Beyond these, libraries' Unicode tables may differ; the tokenizer's own cutter is asked.
@@ -58,11 +58,12 @@ class PairIndexBpe:
         self.of_byte = [0] * 256
         for c, b in letters.items():
             self.of_byte[b] = vocab[c]
-        #: pair (as one integer) -> rank and product
-        self.rank: dict[int, tuple[int, int]] = {}
-        for r, m in enumerate(spec["model"]["merges"]):
-            a, b = m.split(" ") if isinstance(m, str) else m
-            self.rank[vocab[a] << 32 | vocab[b]] = (r, vocab[a + b])
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
+        #: by rank: the pair as one integer, and the product
+        self.pair = np.array([vocab[x] << 32 | vocab[y] for x, y in pairs], dtype=np.int64)
+        self.product = [vocab[x + y] for x, y in pairs]
+        self.by_pair = np.argsort(self.pair)
+        self.sorted_pairs = self.pair[self.by_pair]
         self.bytes_of: list[bytes] = [b""] * (max([*vocab.values(), *self.special.values()]) + 1)
         for s, i in vocab.items():
             self.bytes_of[i] = bytes(letters[c] for c in s)
@@ -71,55 +72,88 @@ class PairIndexBpe:
         self.piece = regex.compile(PATTERN)
         self.known: dict[str, bytes] = {}
 
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair, -1 where there is none."""
+        code = left.astype(np.int64) << 32 | right
+        at = np.minimum(np.searchsorted(self.sorted_pairs, code), len(self.sorted_pairs) - 1)
+        return np.where(self.sorted_pairs[at] == code, self.by_pair[at], -1)
+
     def learn(self, pieces: Iterable[str]) -> None:
-        """Merges the given distinct pieces together and remembers their ids (packed)."""
+        """Merges the given distinct pieces together and remembers their ids (packed).
+
+        ``where`` is the index: rank of an active pair -> lists of its positions.
+        ``nxt`` and ``prv`` link the living symbols; -1 ends a piece, -2 is merged away.
+        """
         pieces = list(pieces)
-        sym: list[int] = []
-        starts = []
-        of_byte = self.of_byte
-        for p in pieces:
-            starts.append(len(sym))
-            sym.extend([of_byte[b] for b in p.encode()])
-            sym.append(-1)  # no pair reaches over a piece's end
-        n = len(sym)
-        nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
-        rank, where, heap = self.rank, {}, []
-
-        def put(pair: int, at: int) -> None:
-            held = where.get(pair)
-            if held is not None:
-                held.append(at)
-            elif pair in rank:
-                where[pair] = [at]
-                heapq.heappush(heap, (rank[pair][0], pair))
-
-        for i in range(n - 1):
-            if sym[i] >= 0 <= sym[i + 1]:
-                put(sym[i] << 32 | sym[i + 1], i)
+        raw = [p.encode() for p in pieces]
+        sizes = np.array([len(r) + 1 for r in raw], dtype=np.int64)
+        starts = np.cumsum(sizes) - sizes
+        n = int(sizes.sum())
+        ends = starts + sizes - 1
+        letters = np.array(self.of_byte, dtype=np.int32)
+        sym = letters[np.frombuffer(b"\0".join(raw) + b"\0", np.uint8)]
+        sym[ends] = -1
+        nxt, prv = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+        where: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def put(left: np.ndarray, right: np.ndarray, at: np.ndarray) -> None:
+            rank = self.ranks(left, right)
+            some = np.flatnonzero(rank >= 0)
+            if not len(some):
+                return
+            rank, at = rank[some], at[some]
+            order = np.argsort(rank, kind="stable")
+            rank, at = rank[order], at[order]
+            cuts = np.flatnonzero(np.diff(rank)) + 1
+            bounds = [0, *cuts.tolist(), len(rank)]
+            for k, r in enumerate(rank[np.append(0, cuts)].tolist()):
+                part = at[bounds[k] : bounds[k + 1]]
+                held = where.get(r)
+                if held is None:
+                    where[r] = [part]
+                    heapq.heappush(heap, r)
+                else:
+                    held.append(part)
+
+        first = np.flatnonzero((sym[:-1] >= 0) & (sym[1:] >= 0)).astype(np.int32)
+        put(sym[first], sym[first + 1], first)
         while heap:
-            _, pair = heapq.heappop(heap)
-            a, b, product = pair >> 32, pair & 0xFFFFFFFF, rank[pair][1]
-            for i in sorted(where.pop(pair)):
-                j = nxt[i]
-                if sym[i] != a or sym[j] != b:  # an overlapping or earlier merge took a part
-                    continue
-                sym[i], sym[j] = product, -2
-                k = nxt[j]
-                nxt[i], prv[k] = k, i
-                if sym[k] >= 0:
-                    put(product << 32 | sym[k], i)
-                h = prv[i]
-                if h >= 0 and sym[h] >= 0:
-                    put(sym[h] << 32 | product, h)
-        left = np.array(sym, dtype=np.int64)
-        ends = np.append(starts[1:], n) if starts else []
-        live = np.flatnonzero(left >= 0)
-        packed, at = left[live].astype("<u4").tobytes(), np.searchsorted(live, starts).tolist()
-        upto = np.searchsorted(live, ends).tolist()
+            r = heapq.heappop(heap)
+            lists = where.pop(r)
+            i = np.unique(np.concatenate(lists)) if len(lists) > 1 else lists[0]
+            a, b, product = int(self.pair[r] >> 32), int(self.pair[r] & 0xFFFFFFFF), self.product[r]
+            i = i[(sym[i] == a) & (sym[nxt[i]] == b)]  # else an earlier merge took a part
+            if a == b and len(i) > 1:
+                i = i[self.apart(i, nxt)]
+            if not len(i):
+                continue
+            j = nxt[i]
+            k = nxt[j]
+            sym[i], sym[j] = product, -2
+            nxt[i], prv[k] = k, i
+            right = sym[k]
+            h = prv[i]
+            left = np.where(h >= 0, sym[h], -1)
+            on, off = right >= 0, left >= 0
+            put(
+                np.concatenate([np.full(int(on.sum()), product, np.int32), left[off]]),
+                np.concatenate([right[on], np.full(int(off.sum()), product, np.int32)]),
+                np.concatenate([i[on], h[off]]),
+            )
+        live = np.flatnonzero(sym >= 0)
+        packed = sym[live].astype("<u4").tobytes()
         known = self.known
-        for p, x, y in zip(pieces, at, upto, strict=True):
+        for p, x, y in zip(pieces, np.searchsorted(live, starts).tolist(), np.searchsorted(live, ends).tolist(), strict=True):
             known[p] = packed[4 * x : 4 * y]
 
+    @staticmethod
+    def apart(i: np.ndarray, nxt: np.ndarray) -> np.ndarray:
+        """Of a pair of equal symbols, every other place of a row of them, from the left."""
+        follows = np.append(False, nxt[i[:-1]] == i[1:])
+        run = np.maximum.accumulate(np.where(follows, 0, np.arange(len(i))))
+        return (np.arange(len(i)) - run) % 2 == 0
+
     def pieces(self, text: str) -> list[str]:
         if PLAIN.fullmatch(text):
             return self.piece.findall(text)

@@ -5,33 +5,57 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillgrid.operators.graph import cut
+
+
+def running_totals(df: DataFrame, group: str, order: list, value: str) -> DataFrame:
+    """Adds ``_before``, the sum of ``value`` over the rows of the group that come
+    earlier in ``order``, and ``_all``, the group's sum.
+
+    Two levels, so that a group may be larger than a task: rows are dealt by range
+    and written; sums of each (group, range) are few and tell where a range begins;
+    within it a window does the rest. ``order`` must tell all rows of a group apart.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut(df.repartitionByRange(n, F.col(group), *order).withColumn("_part", F.spark_partition_id()))
+    sums = dealt.groupBy(F.col(group).alias("_g"), F.col("_part").alias("_p0")).agg(F.sum(value).alias("_sum"))
+    w = Window.partitionBy("_g")
+    offsets = sums.withColumns({
+        "_offset": F.coalesce(F.sum("_sum").over(w.orderBy("_p0").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_all": F.sum("_sum").over(w),
+    }).drop("_sum")
+    within = Window.partitionBy(group, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    joined = dealt.join(offsets, dealt[group].eqNullSafe(offsets["_g"]) & (dealt["_part"] == offsets["_p0"]))
+    return joined.withColumn("_before", F.col("_offset") + F.coalesce(F.sum(value).over(within), F.lit(0))).drop("_offset", "_g", "_p0", "_part")
+
 
 def weighted_quantiles(df: DataFrame, group: str, value: str, weight: str, tie: str, probabilities: list[float]) -> DataFrame:
     """Quantiles by the midpoint rule: a row stands at (weights up to it - half its
-    own) / all weights, with linear interpolation between and the ends held."""
-    curve = df.select(group, tie, F.col(value).cast("double").alias("_v"), F.col(weight).cast("double").alias("_w"))
-    order = Window.partitionBy(group).orderBy("_v", tie)
-    curve = curve.withColumn("_c", F.sum("_w").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_all", F.sum("_w").over(Window.partitionBy(group)))
-    curve = curve.withColumn("_p", (F.col("_c") - F.col("_w") / 2) / F.col("_all"))
-    curve = curve.withColumns({"_pn": F.lead("_p").over(order), "_vn": F.lead("_v").over(order), "_first": F.row_number().over(order) == 1})
-    rows = curve.select(group, "_v", "_vn", "_p", "_pn", "_first", F.explode(F.array(*(F.lit(p) for p in probabilities))).alias("p"))
-    inside = (F.col("_p") <= F.col("p")) & (F.col("_pn").isNull() | (F.col("p") < F.col("_pn")))
-    low = F.col("_first") & (F.col("p") < F.col("_p"))
-    between = F.col("_v") + (F.col("_vn") - F.col("_v")) * (F.col("p") - F.col("_p")) / (F.col("_pn") - F.col("_p"))
-    return rows.filter(inside | low).select(group, "p", F.when(low | F.col("_pn").isNull(), F.col("_v")).otherwise(between).alias("quantile"))
+    own) / all weights, with linear interpolation between and the ends held.
+
+    The rows next to each probability are found by one aggregation, summed up before
+    its shuffle: the last at or under it and the first above it.
+    """
+    rows = df.select(group, tie, F.col(value).cast("double").alias("_v"), F.col(weight).cast("double").alias("_w"))
+    curve = running_totals(rows, group, [F.col("_v"), F.col(tie)], "_w")
+    at = F.struct(((F.col("_before") + F.col("_w") / 2) / F.col("_all")).alias("p"), F.col(tie).alias("tie"), F.col("_v").alias("v"))
+    curve = curve.select(group, at.alias("_at"))
+    ends = []
+    for k, p in enumerate(probabilities):
+        ends += [F.max(F.when(F.col("_at.p") <= p, F.col("_at"))).alias(f"_lo{k}"), F.min(F.when(F.col("_at.p") > p, F.col("_at"))).alias(f"_hi{k}")]
+    found = curve.groupBy(group).agg(*ends)
+    each = F.explode(F.array(*(F.struct(F.lit(p).alias("p"), F.col(f"_lo{k}").alias("lo"), F.col(f"_hi{k}").alias("hi")) for k, p in enumerate(probabilities)))).alias("q")
+    q = found.select(group, each).select(group, "q.p", "q.lo", "q.hi")
+    between = F.col("lo.v") + (F.col("hi.v") - F.col("lo.v")) * (F.col("p") - F.col("lo.p")) / (F.col("hi.p") - F.col("lo.p"))
+    return q.select(group, "p", F.when(F.col("lo").isNull(), F.col("hi.v")).when(F.col("hi").isNull(), F.col("lo.v")).otherwise(between).alias("quantile"))
 
 
 def top_share(df: DataFrame, group: str, score: str, area: str, mass: str, fractions: list[float], tie: str) -> DataFrame:
     """Share of each group's mass in the best ``fractions`` of its area, the last cell in part."""
-    w = Window.partitionBy(group)
-    order = w.orderBy(F.col(score).desc(), tie)
-    df = df.withColumns({
-        "_before": F.coalesce(F.sum(area).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-        "_area": F.sum(area).over(w), "_mass": F.sum(mass).over(w),
-    })
-    rows = df.select(group, area, mass, "_before", "_area", "_mass", F.explode(F.array(*(F.lit(f) for f in fractions))).alias("fraction"))
-    part = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("fraction") * F.col("_area") - F.col("_before")) / F.col(area)))
-    return rows.groupBy(group, "fraction").agg((F.sum(part * F.col(mass)) / F.max("_mass")).alias("share"))
+    df = running_totals(df.select(group, score, area, mass, tie), group, [F.col(score).desc(), F.col(tie)], area)
+    part = lambda f: F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.lit(f) * F.col("_all") - F.col("_before")) / F.col(area)))
+    sums = df.groupBy(group).agg(F.sum(mass).alias("_mass"), *(F.sum(part(f) * F.col(mass)).alias(f"_s{k}") for k, f in enumerate(fractions)))
+    each = F.explode(F.array(*(F.struct(F.lit(f).alias("fraction"), F.col(f"_s{k}").alias("s")) for k, f in enumerate(fractions)))).alias("q")
+    return sums.select(group, "_mass", each).select(group, "q.fraction", (F.col("q.s") / F.col("_mass")).alias("share"))
 
 
 def histogram(df: DataFrame, value: str, weight: str, edges: list[int]) -> DataFrame:

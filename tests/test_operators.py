@@ -82,3 +82,15 @@ def test_kernels():
     xy = np.array([[0, 0], [1, 0.1], [2, 5], [3, 0.1], [4, 0]], float)
     assert lines.simplified(xy, 1.0).tolist() == [True, False, True, False, True]
     assert lines.simplified(np.array([[0, 0], [1, 0.1], [2, 0]], float), 1.0).tolist() == [True, False, True]
+
+
+def test_running_totals_of_one_large_group(spark):
+    random.seed(7)
+    rows = [("a" if k % 10 else None, random.randrange(50), random.randrange(9), k) for k in range(500)]
+    got = st.running_totals(spark.createDataFrame(rows, "g string, o long, v long, k long"), "g", [F.col("o").desc(), F.col("k")], "v").collect()
+    assert len(got) == 500
+    for g in ("a", None):
+        total = 0
+        for r in sorted((r for r in got if r.g == g), key=lambda r: (-r.o, r.k)):
+            assert r["_before"] == total and r["_all"] == sum(x[2] for x in rows if x[0] == g)
+            total += r.v

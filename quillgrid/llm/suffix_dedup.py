@@ -234,7 +234,9 @@ def repeated_spans(keyed: DataFrame, length: int = 200, hot_segments: int = 20_0
 
     found = written(keyed.select("_id", "_h", "_text").mapInArrow(find, found_schema), "segments")
     anchors = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("whole").alias("w1"), F.max("whole").alias("w2")).filter("n > 1")
-    again = written(found.join(anchors.select("anchor", (F.col("w1") == F.col("w2")).alias("uniform")), "anchor"), "again")
+    # written, so that both sides of the join are plain exchanges, whose large partitions are split
+    anchors = written(anchors.select("anchor", (F.col("w1") == F.col("w2")).alias("uniform")), "anchors")
+    again = written(found.join(anchors, "anchor"), "again")
     mixed = again.filter("NOT uniform")
     spans = lambda df: df.select("_id", "_h", F.col("first").alias("start"), (F.col("last") + length).alias("stop"))
 

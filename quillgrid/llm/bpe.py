@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from quillgrid.llm.common import pick
 
 #: Characters of text whose pieces are indexed together, and remembered pieces.
-CHUNK, KEPT = 1 << 22, 800_000
+CHUNK, KEPT = 1 << 21, 200_000
 #: Fixed value: the pattern of byte-level BPE that cuts text into pieces.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Beyond these, libraries' Unicode tables may differ; the tokenizer's own cutter is asked.
@@ -182,6 +182,10 @@ class PairIndexBpe:
                 held, size = [], 0
         yield from self._flush(held)
 
+    def forget(self) -> None:
+        """Lets go of the remembered pieces: workers are used again for other work."""
+        self.known.clear()
+
     def _flush(self, held: list[list[str]]) -> Iterator[bytes]:
         if len(self.known) > KEPT:
             self.known.clear()
@@ -226,6 +230,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                     rows[3].append(np.frombuffer(packed, "<u4").astype(np.int32))
             out = [b.column(0), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.string())]
             yield pa.RecordBatch.from_arrays(out + [pa.array(rows[3], pa.list_(pa.int32()))] * keep_ids, names)
+        bpe.forget()
 
     schema = T.StructType([
         T.StructField(id_col, d.schema["_id"].dataType), T.StructField("n_tokens", T.LongType()),

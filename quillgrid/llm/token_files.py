@@ -187,6 +187,7 @@ def write_token_files(
                 size += len(row)
         if size:
             yield shard(arrow_kind)
+        bpe.forget()
 
     dealt = d.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
     dealt.mapInArrow(run, schema).write.mode("overwrite").option("compression", "uncompressed").parquet(folder)

@@ -4,19 +4,21 @@
    white space in a line becomes one space. Script, style and the like are no text.
 2. Pages of a host are sorted by URL path; a page's pair is the neighbour whose
    path agrees with its own for longer (the one before, if both do).
-3. The lines that are not in an ``article`` or ``main`` element are aligned with
-   the pair's by longest common subsequence, and shared ones are deleted.
-4. Of the others, lines of menus, headers, footers, sidebars, notices, adverts,
-   forms and comments go, and so do all that stand outside of the article on a
-   page that marks one. If deleting shared lines leaves nothing of a page that
-   marks no article (a copy of its pair), its lines stay.
+3. All lines of the page are aligned with all of the pair's by longest common
+   subsequence. Shared lines are deleted, the others stay, within an ``article``
+   or ``main`` element or outside of it.
+4. Lines of menus, headers, footers, sidebars, notices, adverts, forms and
+   comments go by element and class names, shared or not.
 
-Lines inside a marked article are never deleted for being shared: copies of an
-article and passages that many articles quote are main text.
+Two guards: a shared line inside a marked article stays, as copies of an article
+and passages that many articles quote are main text; and if deleting leaves
+nothing of a page (a copy of its pair), its lines stay.
 
 Defined results: null html is an empty page with the empty text; null URLs are
-of the empty host; pages alone on their host have no pair; equal URLs are
-ordered by page id and hash of the html; repeated rows are each returned.
+of the empty host; pages alone on their host have no pair, and of such a page
+that marks an article only the article stays; equal URLs are ordered by page id
+and hash of the html; repeated rows are each returned. Lines are aligned by
+their 128-bit hashes.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -134,16 +137,20 @@ def lines(source: str) -> list[tuple[str, bool, bool]]:
     return out
 
 
-def shared(a: list[str], b: list[str]) -> set[int]:
-    """The places in ``a`` of a longest common subsequence with ``b``, by the
-    longest increasing run over the places of equal lines."""
-    where: dict[str, list[int]] = {}
-    for j in range(len(b) - 1, -1, -1):
+def shared(a: list, b: list) -> set[int]:
+    """The places in ``a`` of a longest common subsequence with ``b``: equal ends,
+    then the longest increasing run over the places of equal lines."""
+    n = min(len(a), len(b))
+    head = next((k for k in range(n) if a[k] != b[k]), n)
+    tail = next((k for k in range(n - head) if a[-1 - k] != b[-1 - k]), n - head)
+    out = {*range(head), *range(len(a) - tail, len(a))}
+    where: dict = {}
+    for j in range(len(b) - tail - 1, head - 1, -1):
         where.setdefault(b[j], []).append(j)
     ends: list[int] = []
     links: list[tuple] = []
-    for i, x in enumerate(a):
-        for j in where.get(x, ()):
+    for i in range(head, len(a) - tail):
+        for j in where.get(a[i], ()):
             k = bisect_left(ends, j)
             node = (i, links[k - 1] if k else None)
             if k == len(ends):
@@ -151,7 +158,7 @@ def shared(a: list[str], b: list[str]) -> set[int]:
                 links.append(node)
             else:
                 ends[k], links[k] = j, node
-    out, node = set(), links[-1] if links else None
+    node = links[-1] if links else None
     while node:
         out.add(node[0])
         node = node[1]
@@ -163,11 +170,25 @@ def common_length(a: str, b: str) -> int:
     return next((k for k in range(n) if a[k] != b[k]), n)
 
 
+def marks(source: str) -> bytes:
+    """The 16-byte hashes of a page's lines, end to end."""
+    return b"".join(xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t, _, _ in lines(source))
+
+
+def deleted(own: bytes, path: str, before: bytes | None, before_path: str | None, after: bytes | None, after_path: str | None) -> list[int] | None:
+    """The places of a page's lines shared with its pair; None without a pair."""
+    if after is not None and (before is None or common_length(path, after_path) > common_length(path, before_path)):
+        before = after
+    if before is None:
+        return None
+    return sorted(shared(*([x[k : k + 16] for k in range(0, len(x), 16)] for x in (own, before))))
+
+
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", partitions: int | None = None) -> DataFrame:
     """Per row of ``pages``: the id, url, text and n_chars.
 
-    Only the lines outside of articles are sorted and paired; the pages themselves
-    are read again at the end, beside the places of their deleted lines.
+    The hashes of all lines are sorted and paired; the pages themselves are read
+    again at the end, beside the places of their shared lines.
     """
     spark = pages.sparkSession
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -176,56 +197,62 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     bare = F.regexp_replace(F.regexp_replace(F.coalesce("_url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.\-]*:", ""), r"[?#].*$", "")
     host, path = F.lower(F.regexp_extract(bare, r"^//([^/]*)", 1)), F.regexp_replace(bare, r"^//[^/]*|(\.html?|/)$", "")
     key = [p.schema["_id"], T.StructField("_h", T.LongType())]
-    strings, places = T.ArrayType(T.StringType()), T.ArrayType(T.IntegerType())
+    places = T.ArrayType(T.IntegerType())
 
-    outside = T.StructType([*key, T.StructField("_host", T.StringType()), T.StructField("_path", T.StringType()), T.StructField("_lines", strings)])
-    outside_names = outside.names
+    whole = T.StructType([*key, T.StructField("_host", T.StringType()), T.StructField("_path", T.StringType()), T.StructField("_lines", T.BinaryType())])
+    whole_names = whole.names
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = [[t for t, m, _ in lines(x.as_py()) if not m] for x in b.column(4)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(own, pa.list_(pa.string()))], outside_names)
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array([marks(x.as_py()) for x in b.column(4)], pa.binary())], whole_names)
 
     order = ("_host", "_path", F.col("_id").asc_nulls_first(), "_h")
-    own = cut(p.select("_id", "_h", host.alias("_host"), path.alias("_path"), "_text").mapInArrow(cut_up, outside))
+    own = cut(p.select("_id", "_h", host.alias("_host"), path.alias("_path"), "_text").mapInArrow(cut_up, whole))
     dealt = own.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
 
     pairing = T.StructType([
-        *outside.fields, T.StructField("_part", T.IntegerType()), T.StructField("_edge", T.IntegerType()),
-        T.StructField("_before", strings), T.StructField("_before_path", T.StringType()), T.StructField("_after", strings), T.StructField("_after_path", T.StringType()),
+        *whole.fields, T.StructField("_part", T.IntegerType()), T.StructField("_edge", T.IntegerType()),
+        T.StructField("_before", T.BinaryType()), T.StructField("_before_path", T.StringType()), T.StructField("_after", T.BinaryType()), T.StructField("_after_path", T.StringType()),
+        T.StructField("_gone", places),
     ])
     names = pairing.names
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each page's lines beside those of its neighbours within the task; ``_edge``
-        counts what a row lacks: 1 the one before, 2 the one after."""
+        """Each page's shared places, found with its neighbours within the task;
+        ``_edge`` counts what a row lacks: 1 the one before, 2 the one after. Only
+        such rows keep their lines and neighbours."""
         part, last = TaskContext.get().partitionId(), None
         rows: list[list] = []
         kinds: list[pa.DataType] = []
 
+        def done(row: list) -> None:
+            if not row[6]:
+                row[11] = deleted(row[4], row[3], *row[7:11])
+                row[4] = row[7] = row[8] = row[9] = row[10] = None
+            rows.append(row)
+
         def batch() -> pa.RecordBatch:
             out = pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
             rows.clear()
             return out
 
         for b in batches:
-            words = pa.list_(pa.string())
-            kinds = [b.schema.field(0).type, pa.int64(), pa.string(), pa.string(), words, pa.int32(), pa.int32(), words, pa.string(), words, pa.string()]
+            kinds = [b.schema.field(0).type, pa.int64(), pa.string(), pa.string(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.string(), pa.binary(), pa.string(), pa.list_(pa.int32())]
             for name, h, host, path, own_lines in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                row = [name, h, host, path, own_lines, part, 0, None, None, None, None]
+                row = [name, h, host, path, own_lines, part, 0, None, None, None, None, None]
                 if last is None:
                     row[6] = 1
                 else:
                     if last[2] == host:
-                        row[7], row[8] = last[4], last[3]
+                        row[7], row[8] = last_lines, last[3]
                         last[9], last[10] = own_lines, path
-                    rows.append(last)
+                    done(last)
                     if len(rows) >= 500:
                         yield batch()
-                last = row
+                last, last_lines = row, own_lines
         if last is not None:
             last[6] += 2
-            rows.append(last)
+            done(last)
             yield batch()
 
     found = cut(dealt.mapInArrow(neighbours, pairing))
@@ -235,11 +262,11 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     firsts = {r["_part"]: r for r in edges if r["_edge"] & 1}
     lasts = {r["_part"]: r for r in edges if r["_edge"] & 2}
     parts = sorted(firsts)
-    missing: dict[tuple[int, int], tuple[str, list[str]]] = {}
+    missing: dict[tuple[int, int], tuple[str, bytes]] = {}
     for a, b in zip(parts, parts[1:], strict=False):
         if lasts[a]["_host"] == firsts[b]["_host"]:
-            missing[b, 1] = (lasts[a]["_path"], list(lasts[a]["_lines"]))
-            missing[a, 2] = (firsts[b]["_path"], list(firsts[b]["_lines"]))
+            missing[b, 1] = (lasts[a]["_path"], bytes(lasts[a]["_lines"]))
+            missing[a, 2] = (firsts[b]["_path"], bytes(firsts[b]["_lines"]))
 
     gone_schema = T.StructType([*key, T.StructField("_gone", places)])
     gone_names = gone_schema.names
@@ -247,18 +274,17 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     def difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for path, own_lines, part, edge, before, before_path, after, after_path in zip(*(b.column(c).to_pylist() for c in names[3:]), strict=True):
+            for path, own_lines, part, edge, before, before_path, after, after_path, gone in zip(*(b.column(c).to_pylist() for c in names[3:]), strict=True):
                 if edge & 1 and (part, 1) in missing:
                     before_path, before = missing[part, 1]
                 if edge & 2 and (part, 2) in missing:
                     after_path, after = missing[part, 2]
-                if after is not None and (before is None or common_length(path, after_path) > common_length(path, before_path)):
-                    before = after
-                out.append(sorted(shared(own_lines, before)) if before is not None else [])
+                out.append(deleted(own_lines, path, before, before_path, after, after_path) if edge else gone)
             yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_h"), pa.array(out, pa.list_(pa.int32()))], gone_names)
 
     # repeated rows have one pairing: that which deletes from the first place on
-    gone = found.mapInArrow(difference, gone_schema).filter(F.size("_gone") > 0).groupBy("_id", "_h").agg(F.min("_gone").alias("_gone"))
+    gone = found.mapInArrow(difference, gone_schema).filter("_gone IS NOT NULL").groupBy("_id", "_h")
+    gone = gone.agg(F.coalesce(F.min(F.when(F.size("_gone") > 0, F.col("_gone"))), F.min("_gone")).alias("_gone"))
     gone = gone.withColumnsRenamed({"_id": "_id2", "_h": "_h2"})
     joined = p.join(gone, p["_id"].eqNullSafe(gone["_id2"]) & (p["_h"] == gone["_h2"]), "left").select("_id", "_url", "_text", "_gone")
     schema = T.StructType([T.StructField(id_col, p.schema["_id"].dataType), T.StructField(url_col, T.StringType()), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
@@ -269,11 +295,13 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
             texts = []
             for source, gone in zip(b.column(2), b.column(3), strict=True):
                 whole = lines(source.as_py())
-                kept = [t for t, m, f in whole if m and not f]
-                if not kept:
-                    deleted = set(gone.as_py() or ())
-                    rest = [(k, t, f) for k, (t, f) in enumerate((t, f) for t, m, f in whole if not m)]
-                    kept = [t for k, t, f in rest if not f and k not in deleted] or [t for _, t, f in rest if not f]
+                places = gone.as_py()
+                if places is None:  # no pair: nothing is shared, and a marked article is all there is to go by
+                    kept = [t for t, m, f in whole if m and not f]
+                else:
+                    lost = set(places)
+                    kept = [t for k, (t, m, f) in enumerate(whole) if not f and (m or k not in lost)]
+                kept = kept or [t for t, _, f in whole if not f]
                 texts.append("\n\n".join(kept))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], out_names)
 

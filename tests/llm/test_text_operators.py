@@ -319,6 +319,19 @@ def test_pages(spark):
     assert html_main.main_text(df.limit(0)).count() == 0
 
 
+def test_differencing_decides_beside_a_marked_article(spark):
+    body = "<div>Line of the site</div>{}<article><p>Quoted by both</p><p>{}</p></article><div>End of the site</div>"
+    rows = [
+        (1, "http://a.org/x/1", page(body.format("<div>Lead of the first</div>", "First"))),
+        (2, "http://a.org/x/2", page(body.format("<div>Lead of the second</div>", "Second"))),
+        (3, "http://b.org/1", page(body.format("<div>No pair to tell</div>", "Alone"))),
+    ]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for parts in (1, 7):
+        got = {r.page_id: r.text for r in html_main.main_text(df, partitions=parts).collect()}
+        assert got == {1: "Lead of the first\n\nQuoted by both\n\nFirst", 2: "Lead of the second\n\nQuoted by both\n\nSecond", 3: "Quoted by both\n\nAlone"}
+
+
 def test_common_subsequence():
     random.seed(3)
     for _ in range(200):

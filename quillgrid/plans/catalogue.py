@@ -428,10 +428,21 @@ def dilate_k2(spark, sf_dir):
     SELECT cell, m AS month, sum((source * (m + 1)) % 10)::BIGINT AS outflow FROM up, unnest(range(12)) t(m) WHERE cell < 200 GROUP BY 1, 2""",
 )
 def route_monthly(spark, sf_dir):
-    """Monthly totals routed downstream without loss: one accumulation over (cell, month) pairs."""
+    """The first 200 cells of ``route_monthly_all``."""
+    return route_monthly_all(spark, sf_dir).filter("cell < 200")
+
+
+@query(
+    "route_monthly_all",
+    f"""WITH RECURSIVE {fx.FOREST_SQL}, up AS (SELECT cell AS source, cell FROM f UNION ALL SELECT up.source, f.receiver FROM up JOIN f ON up.cell = f.cell WHERE f.receiver IS NOT NULL)
+    SELECT cell, m AS month, sum((source * (m + 1)) % 10)::BIGINT AS outflow FROM up, unnest(range(12)) t(m) GROUP BY 1, 2""",
+)
+def route_monthly_all(spark, sf_dir):
+    """Monthly totals routed downstream without loss, of every cell: one accumulation
+    over (cell, month) pairs."""
     f = fx.forest(spark, sf_dir).select("cell", "receiver", F.explode(F.expr("sequence(0L, 11L)")).alias("m"))
     pairs = f.select((F.col("cell") * 12 + F.col("m")).alias("cell"), (F.col("receiver") * 12 + F.col("m")).alias("receiver"), (F.col("cell") * (F.col("m") + 1) % 10).alias("value"))
-    return graph.accumulate(pairs).filter(f"cell < {200 * 12}").select(F.expr("cell div 12").alias("cell"), (F.col("cell") % 12).alias("month"), F.col("total").alias("outflow"))
+    return graph.accumulate(pairs).select(F.expr("cell div 12").alias("cell"), (F.col("cell") % 12).alias("month"), F.col("total").alias("outflow"))
 
 
 # ---- rasters ----------------------------------------------------------------

@@ -658,12 +658,26 @@ def lru_evict(spark, sf_dir):
     SELECT session, event_id, row_number() OVER (PARTITION BY session ORDER BY priority // 1000, priority % 1000 - age, event_id)::INTEGER AS rank FROM p QUALIFY rank <= 10""",
 )
 def job_rank(spark, sf_dir):
-    """Jobs by band, then by priority less age (at most 50), then by sequence: ten of each session."""
+    """The first ten jobs of each session, by the order of ``job_rank_all``."""
     p = fx.requests(spark, sf_dir).select("session", "event_id", (F.col("event_id") * 7 % 3000).alias("priority"), F.least(F.lit(50), "key").alias("age"))
     w = Window.partitionBy("session").orderBy(F.expr("priority div 1000"), F.col("priority") % 1000 - F.col("age"), "event_id")
     return p.withColumn("rank", F.row_number().over(w)).filter("rank <= 10").select("session", "event_id", "rank")
 
 
+@query(
+    "job_rank_all",
+    f"""WITH {fx.REQUESTS_SQL}, p AS (SELECT session, event_id, event_id * 7 % 3000 AS priority, least(50, key) AS age FROM q)
+    SELECT session, event_id, row_number() OVER (PARTITION BY session ORDER BY priority // 1000, priority % 1000 - age, event_id)::INTEGER AS rank FROM p""",
+)
+def job_rank_all(spark, sf_dir):
+    """Every job's rank in its session: by band, then by priority less age (at most 50),
+    then by sequence. Two-level running counts, so a session may be larger than a task."""
+    priority, age = F.col("event_id") * 7 % 3000, F.least(F.lit(50), "key")
+    p = fx.requests(spark, sf_dir).select("session", "event_id", F.floor(priority / 1000).alias("band"), (priority % 1000 - age).alias("wait"), F.lit(1).alias("one"))
+    ranked = st.running_totals(p, "session", [F.col("band"), F.col("wait"), F.col("event_id")], "one")
+    return ranked.select("session", "event_id", (F.col("_before") + 1).cast("int").alias("rank"))
+
+
 @query(
     "session_expiry_ttl",
     f"""WITH {fx.REQUESTS_SQL}, a AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY session ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM q),

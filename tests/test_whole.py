@@ -22,3 +22,19 @@ def test_every_cell_is_routed(spark):
             cell = receiver.get(cell)
     want = {k: v for k, v in want.items() if k[0] in receiver}
     assert {(r.cell, r.month): r.outflow for r in catalogue.QUERIES["route_monthly_all"](spark, SF).collect()} == want
+
+
+def test_every_job_and_window_is_ranked(spark):
+    jobs = {}
+    for r in fx.requests(spark, SF).collect():
+        p = r.event_id * 7 % 3000
+        jobs.setdefault(r.session, []).append((p // 1000, p % 1000 - min(50, r.key), r.event_id))
+    want = {(s, j[2], k) for s, x in jobs.items() for k, j in enumerate(sorted(x), 1)}
+    rows = catalogue.QUERIES["job_rank_all"](spark, SF).collect()
+    assert len(rows) == len(want) and {(r.session, r.event_id, r.rank) for r in rows} == want
+    top = {}
+    for r in fx.grid(spark, SF).collect():
+        top[r.r // 8, r.c // 8] = max(r.z, top.get((r.r // 8, r.c // 8), r.z))
+    order = sorted((z < 3000, not (abs(i - 10) <= 3 and abs(j - 4) <= 3), (i - 10) ** 2 + (j - 4) ** 2, i, j) for (i, j), z in top.items())
+    rows = catalogue.QUERIES["priority_near_camera_all"](spark, SF).collect()
+    assert sorted((r.rank, r.wi, r.wj) for r in rows) == [(k, *x[3:]) for k, x in enumerate(order, 1)]

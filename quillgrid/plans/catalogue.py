@@ -537,11 +537,25 @@ def flow_statistics(spark, sf_dir):
     SELECT cell, round(CASE WHEN f > 0 THEN w ELSE 0 END, 6)::DOUBLE AS width_m, round(CASE WHEN f > 0 THEN d ELSE 0 END, 6)::DOUBLE AS depth_m, round(CASE WHEN f > 0 THEN f / (w * d) ELSE 0 END, 6)::DOUBLE AS velocity_m_s FROM c""",
 )
 def channel_hydraulics(spark, sf_dir):
-    """July's channel of each cell."""
+    """July's channel of each cell; ``channel_hydraulics_monthly`` has all months."""
     h = hydrology.channel(F.col("q")[6], F.col("mean"), F.col("slope"))
     return months(spark, sf_dir).withColumn("mean", hydrology.month_mean(F.col("q"))).select("cell", *(F.round(v, 6).alias(k) for k, v in h.items()))
 
 
+@query(
+    "channel_hydraulics_monthly",
+    f"""WITH {MONTHS_SQL}, a AS (SELECT cell, slope, m AS month, greatest(list_sum(list_transform(range(1, 13), lambda k: q[k] * ({SECONDS_SQL})[k])) / list_sum({SECONDS_SQL}), 1e-12) AS mean, q[m + 1] AS f FROM mo, unnest(range(12)) t(m)),
+    b AS (SELECT *, 7.2 * sqrt(mean) * pow(f / mean, 0.26) AS w FROM a),
+    c AS (SELECT *, CASE WHEN slope >= 1e-5 THEN pow(f * 0.035 / (w * sqrt(greatest(slope, 1e-5))), 0.6) ELSE 0.27 * pow(mean, 0.39) * pow(f / mean, 0.40) END AS d FROM b)
+    SELECT cell, month, round(CASE WHEN f > 0 THEN w ELSE 0 END, 6)::DOUBLE AS width_m, round(CASE WHEN f > 0 THEN d ELSE 0 END, 6)::DOUBLE AS depth_m, round(CASE WHEN f > 0 THEN f / (w * d) ELSE 0 END, 6)::DOUBLE AS velocity_m_s FROM c""",
+)
+def channel_hydraulics_monthly(spark, sf_dir):
+    """The channel of each cell in each of the twelve months (0 to 11)."""
+    df = months(spark, sf_dir).withColumn("mean", hydrology.month_mean(F.col("q"))).select("cell", "mean", "slope", F.posexplode("q").alias("month", "f"))
+    h = hydrology.channel(F.col("f"), F.col("mean"), F.col("slope"))
+    return df.select("cell", F.col("month").cast("long").alias("month"), *(F.round(v, 6).alias(k) for k, v in h.items()))
+
+
 @query(
     "suitability_trapezoid",
     """SELECT p_partkey AS cell, round(greatest(0.0, least(1.0, (p_retailprice - 900) / 300, (2000 - p_retailprice) / 500)), 6)::DOUBLE AS suitability FROM part""",

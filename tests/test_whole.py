@@ -38,3 +38,11 @@ def test_every_job_and_window_is_ranked(spark):
     order = sorted((z < 3000, not (abs(i - 10) <= 3 and abs(j - 4) <= 3), (i - 10) ** 2 + (j - 4) ** 2, i, j) for (i, j), z in top.items())
     rows = catalogue.QUERIES["priority_near_camera_all"](spark, SF).collect()
     assert sorted((r.rank, r.wi, r.wj) for r in rows) == [(k, *x[3:]) for k, x in enumerate(order, 1)]
+
+
+def test_channels_of_all_months(spark):
+    rows = catalogue.QUERIES["channel_hydraulics_monthly"](spark, SF).collect()
+    cells = {r.cell for r in catalogue.months(spark, SF).select("cell").collect()}
+    assert len(rows) == 12 * len(cells) and {(r.cell, r.month) for r in rows} == {(c, m) for c in cells for m in range(12)}
+    july = {r.cell: r[1:] for r in catalogue.QUERIES["channel_hydraulics"](spark, SF).collect()}
+    assert {r.cell: r[2:] for r in rows if r.month == 6} == july

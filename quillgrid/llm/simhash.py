@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillgrid.llm.common import UPPER, LOWER, cut, pick
+from quillgrid.llm.common import UPPER, LOWER, cut, pick, with_key
 
 WORD = regex.compile(r"[^\x20\x09-\x0D]+")
 CAPITALS = str.maketrans(UPPER, LOWER)
@@ -58,16 +58,20 @@ def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
 _ODD_BLANKS = regex.compile(r"[\x1c-\x1f]")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
-    """(_id, _fp): each row's fingerprint as a signed BIGINT. One pass, no shuffle."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42, keyed: bool = False) -> DataFrame:
+    """(_id, _fp): each row's fingerprint as a signed BIGINT; with ``keyed`` also the
+    text's hash, as (_id, _h, _fp). One pass, no shuffle."""
     d = pick(docs, id_col, text_col)
+    if keyed:
+        d = with_key(d).select("_id", "_h", "_text")
+    names = [*d.columns[:-1], "_fp"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.fromiter((fingerprint(t.as_py(), shingle, seed) for t in b.column(1)), dtype=np.uint64, count=b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["_id", "_fp"])
+            fps = np.fromiter((fingerprint(t.as_py(), shingle, seed) for t in b.column(b.num_columns - 1)), dtype=np.uint64, count=b.num_rows)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fps.view(np.int64))], names)
 
-    return d.mapInArrow(run, T.StructType([d.schema["_id"], T.StructField("_fp", T.LongType())]))
+    return d.mapInArrow(run, T.StructType([*d.schema.fields[:-1], T.StructField("_fp", T.LongType())]))
 
 
 def links(nodes: DataFrame, distance: int = 3, segments: int = 2) -> DataFrame:
@@ -123,6 +127,12 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds on {spark.version}")
 
 
+def rooted(nodes: DataFrame, distance: int, segments: int) -> DataFrame:
+    """``nodes`` (_fp, _least) with ``_root``, the least fingerprint linked to each."""
+    tied = components(links(nodes.select("_fp"), distance, segments))
+    return nodes.join(tied, nodes["_fp"] == tied["node"], "left").select("_fp", "_least", F.coalesce("root", "_fp").alias("_root"))
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 3, segments: int = 2, shingle: int = 3, seed: int = 42
 ) -> DataFrame:
@@ -130,8 +140,7 @@ def near_duplicates(
     among all rows whose fingerprints are linked, in any number of steps)."""
     marked = cut(fingerprints(docs, id_col, text_col, shingle, seed))
     nodes = marked.groupBy("_fp").agg(F.min("_id").alias("_least"))
-    tied = components(links(nodes.select("_fp"), distance, segments))
-    named = nodes.join(tied, nodes["_fp"] == tied["node"], "left").select("_fp", "_least", F.coalesce("root", "_fp").alias("_root"))
+    named = rooted(nodes, distance, segments)
     least = named.groupBy("_root").agg(F.min("_least").alias("_component"))
     of = named.join(least, "_root").select("_fp", "_component")
     return marked.join(of, "_fp").select(
@@ -141,17 +150,24 @@ def near_duplicates(
     )
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
-    """The rows of ``docs``, all columns, that name their component: one document of
-    each group. A null id stays only in a component without any other. Of rows
-    repeated under one id, one stays."""
-    found = (
-        near_duplicates(docs, id_col, text_col, **parameters).filter(F.col(id_col).eqNullSafe(F.col("component_id")))
-        .groupBy(F.col(id_col).alias("_kept")).agg(F.count("*").alias("_n"))
-    )
-    found = cut(found)
-    once = docs.join(found.filter("_n = 1"), docs[id_col].eqNullSafe(F.col("_kept")), "left_semi")
+def keep_one(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 3, segments: int = 2, shingle: int = 3, seed: int = 42
+) -> DataFrame:
+    """One row of each component of ``docs``, all columns: that with the least id (a
+    null id last), then the least hash of the text. Components are told by their
+    fingerprints and rows by id and text, so rows without an id or with a shared one
+    count each for itself. Of rows that agree in both, one stays."""
+    marked = cut(fingerprints(docs, id_col, text_col, shingle, seed, keyed=True))
+    rows = marked.groupBy("_fp", "_id", "_h").agg(F.count("*").alias("_n"))
+    order = F.struct(F.col("_id").isNull().alias("_none"), "_id", "_h", "_n")
+    nodes = cut(rows.groupBy("_fp").agg(F.min(order).alias("_least")))
+    best = rooted(nodes, distance, segments).groupBy("_root").agg(F.min("_least").alias("_k"))
+    found = cut(best.select(F.col("_k._id").alias("_kept"), F.col("_k._h").alias("_kept_h"), F.col("_k._n").alias("_n")))
+    digest = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
+    same = docs[id_col].eqNullSafe(F.col("_kept")) & (digest == F.col("_kept_h"))
+    once = docs.join(found.filter("_n = 1"), same, "left_semi")
     many = found.filter("_n > 1")
     if not many.head(1):
         return once
-    return once.unionByName(docs.join(many, docs[id_col].eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates([id_col]))
+    repeated = docs.join(many, same, "left_semi").withColumn("_keep_one_h", digest)
+    return once.unionByName(repeated.dropDuplicates([id_col, "_keep_one_h"]).drop("_keep_one_h"))

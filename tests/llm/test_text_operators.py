@@ -173,6 +173,22 @@ def test_simhash_edges(spark):
     assert simhash.near_duplicates(edges.empty(spark)).count() == 0
 
 
+def test_one_row_of_each_component_stays(spark):
+    """Null and shared ids: a row is told by its id and text."""
+    def text(seed):
+        words = random.Random(seed)
+        return " ".join(f"w{words.randrange(10**6)}" for _ in range(60))
+
+    rows = [(None, text(k)) for k in range(6)] + [(None, text(0)), (None, text(100))]  # null ids: distinct, one twice, one a copy of id 1's
+    rows += [(1, text(100)), (2, text(101)), (2, text(102)), (3, text(102)), (4, None), (4, ""), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS _id", "2 AS _h")
+    for parts in (1, 5):
+        kept = simhash.keep_one(df.repartition(parts))
+        assert kept.columns == df.columns
+        got = sorted(((r.doc_id, r.text or "") for r in kept.collect()), key=repr)
+        assert got == sorted([*((None, text(k)) for k in range(6)), (1, text(100)), (2, text(101)), (2, text(102)), (4, "")], key=repr)
+
+
 # ---- 3 toxicity, 8 quality
 
 

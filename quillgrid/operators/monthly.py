@@ -2,22 +2,30 @@
 
 from __future__ import annotations
 
+from math import exp
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillgrid.functions.hydrology import MONTH_DAYS
 
 
-def water_year(temp: Column, rain: Column, pet: Column, years: int, snow_cap: float = 1000.0, soil_cap: float = 150.0, degree_day: float = 3.0, recharge: float = 0.3, gw_days: float = 90.0) -> Column:
+def water_year(
+    temp: Column, rain: Column, pet: Column, years: int, snow_cap: float = 1000.0, soil_cap: float = 150.0, degree_day: float = 3.0, recharge: float = 0.3, gw_days: float = 90.0, start: Column | None = None
+) -> Column:
     """The state and last-year totals after ``years`` of the same twelve months.
 
     ``temp``, ``rain`` (rain and snow together) and ``pet`` are arrays of twelve. A
     month: snow falls at or below zero, melts by degree days, spills over its cap;
     soil gains what exceeds evaporation or dries by exp(-deficit / capacity); surplus
     splits into recharge and runoff; groundwater drains by exp(-days / time).
+    Stores begin at zero, or at the snow, soil and gw of ``start``; ``low`` is then
+    also returned, the least snow of any month's end.
     """
     zero = F.lit(0.0)
-    start = F.struct(*(zero.alias(n) for n in ("snow", "soil", "gw", "aet", "runoff")))
+    track = start is not None
+    first_state = [start[n] if track else zero for n in ("snow", "soil", "gw")]
+    begin = F.struct(*(x.alias(n) for x, n in zip(first_state, ("snow", "soil", "gw"), strict=True)), zero.alias("aet"), zero.alias("runoff"), *([F.lit(float("inf")).alias("low")] if track else []))
     days = F.array(*(F.lit(float(d)) for d in MONTH_DAYS))
 
     def month(s: Column, n: Column) -> Column:
@@ -39,6 +47,40 @@ def water_year(temp: Column, rain: Column, pet: Column, years: int, snow_cap: fl
             (full - melt - spill).alias("snow"), (wet - surplus).alias("soil"), (ground - base).alias("gw"),
             (F.when(first, zero).otherwise(s["aet"]) + aet).alias("aet"),
             (F.when(first, zero).otherwise(s["runoff"]) + surplus * (1 - recharge) + base).alias("runoff"),
+            *([F.least(s["low"], full - melt - spill).alias("low")] if track else []),
+        )
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(12 * years - 1)), begin, month)
+
+
+def periodic_year(temp: Column, rain: Column, pet: Column, most_years: int = 40, tolerance: float = 0.01, snow_cap: float = 1000.0, soil_cap: float = 150.0, gw_days: float = 90.0) -> Column:
+    """The last year of ``water_year`` run until the stores change by ``tolerance`` mm a
+    year at most, or for ``most_years``: its end state and totals, ``years`` run and
+    ``change``, what the stores still change by.
+
+    Between years snow that grows all year jumps to its cap, soil to the secant fixed
+    point of its annual map, groundwater to the exact one of its linear map.
+    """
+    zero, decay = F.lit(0.0), exp(-sum(MONTH_DAYS) / gw_days)
+    names = ("snow", "soil", "gw", "aet", "runoff", "change", "next_snow", "next_soil", "next_gw", "moved")
+    begin = F.struct(*(zero.alias(n) for n in names), F.lit(0).alias("years"), F.lit(False).alias("done"))
+
+    def ended(s: Column, y: Column) -> Column:
+        snow, soil, gw = y["snow"] - s["next_snow"], y["soil"] - s["next_soil"], y["gw"] - s["next_gw"]
+        change = F.abs(snow) + F.abs(soil) + F.abs(gw)
+        alpha = F.when((s["moved"] * soil > 0) & (F.abs(soil) < F.abs(s["moved"])), soil / s["moved"]).otherwise(zero)
+        return F.struct(
+            *(y[n].alias(n) for n in ("snow", "soil", "gw", "aet", "runoff")), change.alias("change"),
+            F.when((y["low"] > 0) & (snow > 0), F.lit(snow_cap)).otherwise(y["snow"]).alias("next_snow"),
+            F.greatest(zero, F.least(F.lit(soil_cap), (y["soil"] - alpha * s["next_soil"]) / (1 - alpha))).alias("next_soil"),
+            ((y["gw"] - decay * s["next_gw"]) / (1 - decay)).alias("next_gw"),
+            soil.alias("moved"), (s["years"] + 1).alias("years"), (change <= tolerance).alias("done"),
         )
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(12 * years - 1)), start, month)
+    def year(s: Column, _: Column) -> Column:
+        start = F.struct(*(s[f"next_{n}"].alias(n) for n in ("snow", "soil", "gw")))
+        run = water_year(temp, rain, pet, 1, snow_cap=snow_cap, soil_cap=soil_cap, gw_days=gw_days, start=start)
+        # an array of one, so that the year is run once for all that is read of it
+        return F.when(s["done"], s).otherwise(F.transform(F.array(run), lambda y: ended(s, y))[0])
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(most_years)), begin, year)

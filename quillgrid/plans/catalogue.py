@@ -599,14 +599,27 @@ def _balance_sql(years: int = 2) -> str:
 
 @query("monthly_water_balance", _balance_sql())
 def monthly_water_balance(spark, sf_dir):
-    """Two years of the periodic snow, soil and groundwater state."""
-    df = months(spark, sf_dir).select(
+    """The snow, soil and groundwater state after two years from empty stores, which
+    need not have settled; see ``periodic_water_balance``."""
+    df = climate(spark, sf_dir)
+    df = df.withColumn("s", monthly.water_year(F.col("temp"), F.col("rain"), F.col("pet"), 2))
+    return df.select("cell", *(F.round(f"s.{c}", 4).alias(c) for c in ("snow", "soil", "gw", "aet", "runoff")))
+
+
+def climate(spark, sf_dir):
+    return months(spark, sf_dir).select(
         "cell", F.expr("transform(q, x -> x * 5)").alias("rain"),
         F.expr("transform(sequence(0, 11), m -> CAST(cell % 40 AS DOUBLE) - 12 + (6 - abs(m - 6)) * 3.0D)").alias("temp"),
         F.expr("transform(sequence(0, 11), m -> 10.0D + (6 - abs(m - 6)) * 12)").alias("pet"),
     )
-    df = df.withColumn("s", monthly.water_year(F.col("temp"), F.col("rain"), F.col("pet"), 2))
-    return df.select("cell", *(F.round(f"s.{c}", 4).alias(c) for c in ("snow", "soil", "gw", "aet", "runoff")))
+
+
+@query("periodic_water_balance")
+def periodic_water_balance(spark, sf_dir):
+    """The periodic snow, soil and groundwater state: years are run until the stores
+    change by 0.01 mm at most, 40 at most; what they still change by is returned."""
+    df = climate(spark, sf_dir).withColumn("s", monthly.periodic_year(F.col("temp"), F.col("rain"), F.col("pet")))
+    return df.select("cell", *(F.round(f"s.{c}", 4).alias(c) for c in ("snow", "soil", "gw", "aet", "runoff", "change")), "s.years")
 
 
 # ---- audits and selection ------------------------------------------------------------

@@ -1,9 +1,11 @@
 """Queries that return every row, beside brute force or the tables' own counts."""
 
+import math
 import os
 
 import pytest
 
+from quillgrid.functions import hydrology
 from quillgrid.plans import catalogue, catalogue_more  # noqa: F401
 from quillgrid.plans import fixtures as fx
 
@@ -46,3 +48,31 @@ def test_channels_of_all_months(spark):
     assert len(rows) == 12 * len(cells) and {(r.cell, r.month) for r in rows} == {(c, m) for c in cells for m in range(12)}
     july = {r.cell: r[1:] for r in catalogue.QUERIES["channel_hydraulics"](spark, SF).collect()}
     assert {r.cell: r[2:] for r in rows if r.month == 6} == july
+
+
+def test_stores_settle(spark):
+    def run(temp, rain, pet, years):
+        snow = soil = gw = 0.0
+        for _ in range(years):
+            total = 0.0
+            for t, p, e, d in zip(temp, rain, pet, hydrology.MONTH_DAYS, strict=True):
+                fall = p if t <= 0 else 0.0
+                melt = min(snow + fall, 3.0 * max(t, 0) * d)
+                spill = max(snow + fall - melt - 1000, 0)
+                snow += fall - melt - spill
+                liquid = p - fall + melt + spill
+                wet = soil * math.exp(max(e - liquid, 0) / -150) - min(e - liquid, 0)
+                surplus = max(wet - 150, 0)
+                soil = wet - surplus
+                base = (gw + surplus * 0.3) * -math.expm1(-d / 90)
+                gw += surplus * 0.3 - base
+                total += surplus * 0.7 + base
+        return snow, soil, gw, total
+
+    cells = {r.cell: r for r in catalogue.climate(spark, SF).collect()}
+    rows = catalogue.QUERIES["periodic_water_balance"](spark, SF).collect()
+    assert len(rows) == len(cells) and all(r.change <= 0.01 for r in rows)
+    for r in rows:
+        c = cells[r.cell]
+        want = run(c.temp, c.rain, c.pet, 400)
+        assert all(abs(x - y) < 0.1 for x, y in zip((r.snow, r.soil, r.gw, r.runoff), want, strict=True)), (r, want)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The eight directions, clockwise from north.
@@ -64,3 +64,19 @@ def within_radius(points: DataFrame, x: int, y: int, radius: int, limit: int) ->
     """The nearest ``limit`` points of one place within a radius (a top-k, never a full sort)."""
     d2 = (F.col("x") - x) * (F.col("x") - x) + (F.col("y") - y) * (F.col("y") - y)
     return points.filter(F.col("x").between(x - radius, x + radius) & F.col("y").between(y - radius, y + radius)).withColumn("d2", d2).filter(F.col("d2") <= radius * radius).orderBy("d2", "pid").limit(limit)
+
+
+def shore_distance(grid: DataFrame, water: Column) -> DataFrame:
+    """(r, c, steps) of every cell of ``grid``: steps along rows and columns to the
+    nearest cell of ``water``, null if there is none. Two passes of windows without
+    bounds over rows and columns. Corners that the grid lacks are filled in for the
+    passes, so that a path over them counts too."""
+    wet = grid.select("r", "c", F.when(water, F.lit(0)).alias("d"), F.lit(True).alias("_own"))
+    full = grid.select("r").distinct().crossJoin(grid.select("c").distinct())
+    g = full.join(wet, ["r", "c"], "left")
+    for line, along in (("r", "c"), ("c", "r")):
+        w = Window.partitionBy(line)
+        before = F.min(F.col("d") - F.col(along)).over(w.orderBy(along).rowsBetween(Window.unboundedPreceding, 0)) + F.col(along)
+        after = F.min(F.col("d") + F.col(along)).over(w.orderBy(F.col(along).desc()).rowsBetween(Window.unboundedPreceding, 0)) - F.col(along)
+        g = g.withColumn("d", F.least(before, after))
+    return g.filter("_own").select("r", "c", F.col("d").cast("long").alias("steps"))

@@ -475,6 +475,13 @@ def shore_distance(spark, sf_dir):
     return g.filter("d <= 12").select("r", "c", F.col("d").cast("long").alias("steps"))
 
 
+@query("shore_distance_all")
+def shore_distance_all(spark, sf_dir):
+    """Steps along rows and columns to the nearest water, of every cell; null without
+    any water."""
+    return spatial.shore_distance(fx.grid(spark, sf_dir), F.col("z") < 0)
+
+
 # ---- climate and months -----------------------------------------------------------
 
 

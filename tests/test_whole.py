@@ -6,6 +6,7 @@ import os
 import pytest
 
 from quillgrid.functions import hydrology
+from quillgrid.operators import spatial
 from quillgrid.plans import catalogue, catalogue_more  # noqa: F401
 from quillgrid.plans import fixtures as fx
 
@@ -76,3 +77,12 @@ def test_stores_settle(spark):
         c = cells[r.cell]
         want = run(c.temp, c.rain, c.pet, 400)
         assert all(abs(x - y) < 0.1 for x, y in zip((r.snow, r.soil, r.gw, r.runoff), want, strict=True)), (r, want)
+
+
+def test_shore_distance_of_far_and_dry_cells(spark):
+    cells = [(r, c) for r in range(30) for c in range(4) if (r, c) not in {(29, 3), (28, 3), (0, 2)}]
+    for water in ({(0, 3), (29, 0)}, {(5, 1)}, set()):
+        grid = spark.createDataFrame([(r, c, -1 if (r, c) in water else 1) for r, c in cells], "r long, c long, z long")
+        want = {(r, c): min((abs(r - i) + abs(c - j) for i, j in water), default=None) for r, c in cells}
+        assert {(x.r, x.c): x.steps for x in spatial.shore_distance(grid, grid["z"] < 0).collect()} == want
+    assert catalogue.QUERIES["shore_distance_all"](spark, SF).count() == fx.grid(spark, SF).count()

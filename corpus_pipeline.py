@@ -5,6 +5,7 @@ returns a DataFrame. All but the last return the columns of ``documents``.
 
 1. toxicity: documents with a score of 0.5 or more go.
 2. near_duplicates: of each group of linked fingerprints one document stays.
+   Links are op2_simhash's (3-word shingles, 3 bits); see the README for what that misses.
 3. repeated_strings: bytes in 200-byte strings that start elsewhere too are cut
    out of the texts (and n_chars counted anew); no document goes.
 4. benchmark: documents that hold a window of a benchmark item go.

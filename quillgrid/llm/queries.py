@@ -105,8 +105,8 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sh.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-#: The public tokenizer that the token queries use; readable on every executor.
-TOKENIZER = os.environ.get("QUILLGRID_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
+#: The public tokenizer that the token queries use: its name, or a path that every executor can read.
+TOKENIZER = os.environ.get("QUILLGRID_TOKENIZER", "byte_bpe_50k.json")
 
 
 @query

@@ -16,7 +16,7 @@ from tests.llm import edges
 
 SF = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
-needs_tokenizer = pytest.mark.skipif(not os.path.exists(q.TOKENIZER), reason="no tokenizer file")
+needs_tokenizer = pytest.mark.skipif(not os.path.exists(bpe.file_of(q.TOKENIZER)), reason="no tokenizer file")
 
 
 def same_rows(a, b):
@@ -251,7 +251,7 @@ def test_bpe_matches_the_library(spark):
     random.seed(1)
     pool = ["a", "B", " ", "  ", "\n", "\t", "\r", "\x1c", "\x85", "\xa0", "'s", "'ll", "é", "ß", "中", "🙂", "<|endoftext|>", "1", "²", "!", "ж", "́", "‍", "ﬁ", "aaa", "the", "\x00"]
     texts = ["".join(random.choice(pool) for _ in range(random.randint(0, 60))) for _ in range(500)] + ["a" * 3000, edges.LONG]
-    library = Tokenizer.from_file(q.TOKENIZER)
+    library = Tokenizer.from_file(bpe.file_of(q.TOKENIZER))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for r in bpe.encode_decode(df, q.TOKENIZER, keep_ids=True).collect():
         want = library.encode(texts[r.doc_id], add_special_tokens=False).ids
@@ -280,7 +280,7 @@ def test_bpe_and_file_edges(spark, tmp_path):
 def test_token_files_match_the_library(spark):
     from tokenizers import Tokenizer
 
-    library, at = Tokenizer.from_file(q.TOKENIZER), 0
+    library, at = Tokenizer.from_file(bpe.file_of(q.TOKENIZER)), 0
     got = {r.doc_id: r for r in q.op7_token_files(spark, SF).collect()}
     for d in sorted(spark.read.parquet(f"{SF}/documents.parquet").collect(), key=lambda d: d.doc_id):
         ids = np.array([*library.encode(d.text, add_special_tokens=False).ids, 0], "<u4")
@@ -289,13 +289,62 @@ def test_token_files_match_the_library(spark):
         at += len(ids)
 
 
-@pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 511, 512, 513, 3000])
+@needs_tokenizer
+def test_blocks_and_long_texts_encode_alike(monkeypatch):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    library, own = Tokenizer.from_file(bpe.file_of(q.TOKENIZER)), bpe.loaded(q.TOKENIZER)
+    random.seed(2)
+    pool = ["word ", "don't ", " ", "  \n", "é", "中 ", "x", "1", "'s", "<|endoftext|>", "'re", "!", "\xa0 a", " aaaaaaaaaaaaaaaaaaaaaaaaa"]
+    texts = ["".join(random.choice(pool) for _ in range(random.choice([0, 3, 400]))) for _ in range(60)] + ["a" * 300]
+    for size in (16, 64, 1 << 20):
+        monkeypatch.setattr(bpe, "BLOCK", size)
+        for t, ids in zip(texts, bpe.by_row(own.encode(pa.array(texts))), strict=True):
+            assert ids.tolist() == library.encode(t, add_special_tokens=False).ids
+
+
+@needs_tokenizer
+def test_documents_span_shards(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(bpe.file_of(q.TOKENIZER))
+    rows = [(k, t) for k, t in enumerate(["!" * 40, "word " * 900, "", None, "a! b! " * 50, "!", "end"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    files = token_files.write_token_files(df, str(tmp_path / "s"), q.TOKENIZER, shard_tokens=64, partitions=2)
+    assert files.count() > 15 and {r.n_tokens for r in files.collect()} - {64} != {64}
+    assert max(r.n_tokens for r in files.collect()) == 64
+    at = 0
+    got = {r.doc_id: r for r in token_files.read_token_files(files).collect()}
+    assert len(got) == len(rows)
+    for k, t in rows:
+        ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        assert (got[k].start, got[k].n_tokens, got[k].ids_crc32) == (at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+
+
+def test_wavelet_matrix_of_wide_ids_opens_blocks(monkeypatch):
+    a = np.array([70_000, 5, 0, 1 << 16, 70_000, 0] * 50_000)
+    blob = token_files.build(a, 17, 0, np.flatnonzero(a == 0)[::2], 11, 3)
+    w = token_files.WaveletMatrix(blob)
+    opened = []
+    inflate = w.inflate
+    monkeypatch.setattr(w, "inflate", lambda level, block: opened.append((level, block)) or inflate(level, block))
+    assert w.access(200_000) == a[200_000] and len(opened) <= 17
+    assert w.select(70_000, 99_999) == np.flatnonzero(a == 70_000)[-1] and w.count(1 << 16, 150_000) == 25_000
+    assert w.document_end(7) == np.flatnonzero(a == 0)[14] and (w.first_token, w.first_document) == (11, 3)
+    assert (w.tokens() == a).all() and (w.ends(w.tokens()) == np.flatnonzero(a == 0)[::2]).all()
+    with pytest.raises(ValueError):
+        token_files.build(a, 16)
+
+
+@pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 511, 512, 513, 3000, 65536, 65537, 140_000])
 def test_wavelet_matrix(n):
     rng = np.random.default_rng(n)
     a = rng.integers(0, 40 if n % 2 else 50257, n)
     w = token_files.WaveletMatrix(token_files.build(a))
     assert (w.tokens() == a).all()
-    for i in range(0, n, 37):
+    for i in range(0, n, max(37, n // 50)):
         assert w.access(i) == a[i]
     for t in {*a[:10].tolist(), 7, 60000, 1 << 20}:
         assert w.count(t) == (a == t).sum() and w.count(t, n // 3) == (a[: n // 3] == t).sum()

@@ -1,32 +1,40 @@
 """Main text of web pages: nearest-URL page differencing.
 
 1. A page is cut into lines, one for each block. Character references are decoded,
-   white space in a line becomes one space. Script, style and the like are no text.
+   white space in a line becomes one space. Scripts, styles and the like are no text.
 2. Pages of a host are sorted by URL path; a page's pair is the neighbour whose
    path agrees with its own for longer (the one before, if both do).
-3. All lines of the page are aligned with all of the pair's by longest common
-   subsequence. Shared lines are deleted, the others stay, within an ``article``
-   or ``main`` element or outside of it.
-4. Lines of menus, headers, footers, sidebars, notices, adverts, forms and
-   comments go by element and class names, shared or not.
-
-Two guards: a shared line inside a marked article stays, as copies of an article
-and passages that many articles quote are main text; and if deleting leaves
-nothing of a page (a copy of its pair), its lines stay.
+3. The page's lines are aligned with the pair's by longest common subsequence. A
+   line is known by its text; but in a page that marks an article, a line outside of
+   it in a named place (an element with a class, id or role, or one that is not just
+   a container) is known by that place, as the words of menus, adverts and footers
+   change from page to page while their place in the template does not.
+4. Shared lines are deleted, and with a shared place all lines in it. Within a marked
+   article a shared line is deleted if most pages of the host share it with theirs.
+5. What is left in menus, footers, forms, adverts and so on by the element's or
+   class's name goes too. These names decide for lines that are not shared (a page
+   alone on its host, a comment block that the pair lacks).
+
+Guards, all from the alignment: lines of an article that only the pair has, or fewer
+than half of the host's pages, are copies and quotations and stay; so do all lines of
+an article half of which is shared; and if deleting leaves nothing, the lines stay.
 
 Defined results: null html is an empty page with the empty text; null URLs are
 of the empty host; pages alone on their host have no pair, and of such a page
 that marks an article only the article stays; equal URLs are ordered by page id
-and hash of the html; repeated rows are each returned. Lines are aligned by
-their 128-bit hashes.
+and hash of the html; repeated rows are each returned; an empty table gives an empty
+result; other columns are not read. Lines are aligned by their 128-bit hashes. The
+alignment is exact at any length: over few equal lines by the longest increasing run
+of their places, over many by rows of bits, halved until they fit ``ROW_BYTES``.
 """
 
 from __future__ import annotations
 
 import html
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
@@ -38,7 +46,7 @@ from pyspark.sql import types as T
 from quillgrid.llm.common import cut
 
 #: Elements by what they mean for main text.
-TEXTLESS = {"script", "style", "noscript", "template", "iframe", "svg", "head", "textarea", "select", "object", "canvas", "math", "audio", "video"}
+TEXTLESS = {"script", "style", "template", "iframe", "head", "textarea", "select"}
 FRAME = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "button"}
 MAIN = {"article", "main"}
 BLOCK = {
@@ -46,13 +54,26 @@ BLOCK = {
     "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "legend", "li", "main", "menu", "nav", "ol",
     "optgroup", "option", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
+#: Blocks that only hold or lay out text and name no place of a template.
+CONTAINER = {
+    "article", "blockquote", "body", "caption", "center", "dd", "details", "dir", "div", "dl", "dt", "figcaption", "figure", "h1", "h2", "h3", "h4", "h5", "h6",
+    "html", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
+}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-#: Words in class, id or role that mark a frame.
+#: Words in class, id or role that mark a frame, and those that may
+#: stand beside them. A name marks a frame only if it has no other word.
 FRAME_WORDS = {
     "ad", "ads", "advert", "adverts", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disqus",
     "footer", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "pagination", "popup", "promo", "promoted", "related",
     "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget",
 }
+BESIDE = {
+    "area", "articles", "bar", "block", "bottom", "box", "button", "buttons", "col", "column", "container", "content", "foot", "form", "global", "head", "header", "inner",
+    "item", "items", "left", "link", "links", "list", "main", "mobile", "outer", "page", "pane", "panel", "post", "posts", "primary", "right", "row", "secondary",
+    "section", "site", "slot", "sticky", "stories", "text", "title", "top", "unit", "wrap", "wrapper", "zone",
+}
+#: Bytes of bit rows that an alignment holds at once.
+ROW_BYTES = 32 << 20
 TOKEN = regex.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|(?P<text>[^<]+|<)",
     regex.DOTALL,
@@ -61,19 +82,22 @@ NAMED = regex.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)
 WORDS = regex.compile(r"[a-z]+")
 
 
-def is_frame(name: str, rest: str) -> bool:
+def is_frame(name: str, given: list[str]) -> bool:
+    """Whether an element is a frame by its own name or a whole name of its class, id or role."""
     if name in FRAME:
         return True
-    if "=" not in rest:
-        return False
-    return any(not FRAME_WORDS.isdisjoint(WORDS.findall((a or b or c).lower())) for a, b, c in NAMED.findall(rest))
+    for x in given:
+        words = set(WORDS.findall(x))
+        if words & FRAME_WORDS and words <= FRAME_WORDS | BESIDE:
+            return True
+    return False
 
 
-def lines(source: str) -> list[tuple[str, bool, bool]]:
-    """(text, in a marked article, in a frame) for each block with text, in order."""
-    out: list[tuple[str, bool, bool]] = []
+def lines(source: str) -> list[tuple[str, bool, bool, str]]:
+    """(text, in a marked article, in a frame, named place or "") for each block with text, in order."""
+    out: list[tuple[str, bool, bool, str]] = []
     held: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # open blocks: name, is main, is frame
+    stack: list[tuple[str, bool, bool, str, bool]] = []  # open blocks: name, is main, is frame, place, is named
     at, n = 0, len(source)
     main = frame = 0
 
@@ -82,12 +106,12 @@ def lines(source: str) -> list[tuple[str, bool, bool]]:
             text = " ".join(html.unescape("".join(held)).split())
             held.clear()
             if text:
-                out.append((text, main > 0, frame > 0))
+                out.append((text, main > 0, frame > 0, stack[-1][3] if stack and stack[-1][4] else ""))
 
     def close(upto: int) -> None:
         nonlocal main, frame
         while len(stack) > upto:
-            _, m, f = stack.pop()
+            _, m, f, _, _ = stack.pop()
             main -= m
             frame -= f
 
@@ -126,43 +150,123 @@ def lines(source: str) -> list[tuple[str, bool, bool]]:
             held.append(" ")
         if name in VOID or found["rest"].endswith("/"):
             continue
-        f = is_frame(name, found["rest"]) and not (name == "header" and main)
+        given = [x for a, b, c in NAMED.findall(found["rest"]) for x in (a or b or c).lower().split()] if "=" in found["rest"] else []
+        f = is_frame(name, given) and not (name == "header" and main)
         if name in BLOCK or f:
             if f and name not in BLOCK:
                 flush()
-            stack.append((name, name in MAIN, f))
+            up = stack[-1] if stack else ("", False, False, "", False)
+            stack.append((name, name in MAIN, f, f"{up[3]}/{'.'.join([name, *given])}", up[4] or bool(given) or name not in CONTAINER))
             main += name in MAIN
             frame += f
     flush()
     return out
 
 
-def shared(a: list, b: list) -> set[int]:
-    """The places in ``a`` of a longest common subsequence with ``b``: equal ends,
-    then the longest increasing run over the places of equal lines."""
-    n = min(len(a), len(b))
-    head = next((k for k in range(n) if a[k] != b[k]), n)
-    tail = next((k for k in range(n - head) if a[-1 - k] != b[-1 - k]), n - head)
-    out = {*range(head), *range(len(a) - tail, len(a))}
-    where: dict = {}
-    for j in range(len(b) - tail - 1, head - 1, -1):
-        where.setdefault(b[j], []).append(j)
+def rising(a: Sequence, where: dict) -> list[tuple[int, int]]:
+    """Pairs of a longest common subsequence: the longest increasing run over the places of equal lines."""
     ends: list[int] = []
     links: list[tuple] = []
-    for i in range(head, len(a) - tail):
-        for j in where.get(a[i], ()):
+    for i, x in enumerate(a):
+        for j in reversed(where.get(x, ())):
             k = bisect_left(ends, j)
-            node = (i, links[k - 1] if k else None)
+            node = (i, j, links[k - 1] if k else None)
             if k == len(ends):
                 ends.append(j)
                 links.append(node)
             else:
                 ends[k], links[k] = j, node
-    node = links[-1] if links else None
+    out, node = [], links[-1] if links else None
     while node:
-        out.add(node[0])
-        node = node[1]
-    return out
+        out.append(node[:2])
+        node = node[2]
+    return out[::-1]
+
+
+def bit_rows(a: Sequence, b: Sequence) -> Iterator[int]:
+    """After each line of ``a``, a row of bits over ``b``: a 0 where the longest common
+    subsequence with the lines of ``b`` up to there is longer than without the last."""
+    every = (1 << len(b)) - 1
+    where: dict = {}
+    for j, x in enumerate(b):
+        where.setdefault(x, []).append(j)
+    masks: dict = {}
+    row = every
+    for x in a:
+        at = where.get(x)
+        if at:
+            mask = masks.get(x)
+            if mask is None:
+                bits = bytearray(len(b) // 8 + 1)
+                for j in at:
+                    bits[j >> 3] |= 1 << (j & 7)
+                mask = int.from_bytes(bits, "little")
+                if len(at) > 8:
+                    masks[x] = mask
+            taken = row & mask
+            row = ((row + taken) | (row - taken)) & every
+        yield row
+
+
+def aligned(a: Sequence, b: Sequence) -> list[tuple[int, int]]:
+    """Pairs (place in ``a``, place in ``b``) of a longest common subsequence."""
+    n = min(len(a), len(b))
+    head = next((k for k in range(n) if a[k] != b[k]), n)
+    tail = next((k for k in range(n - head) if a[-1 - k] != b[-1 - k]), n - head)
+    ends = [(k, k) for k in range(head)], [(len(a) - k, len(b) - k) for k in range(tail, 0, -1)]
+    # only lines that both have can be shared
+    both = set(a[head : len(a) - tail]) & set(b[head : len(b) - tail])
+    ia = [k for k in range(head, len(a) - tail) if a[k] in both]
+    ib = [k for k in range(head, len(b) - tail) if b[k] in both]
+    a, b = [a[k] for k in ia], [b[k] for k in ib]
+    where: dict = {}
+    for j, x in enumerate(b):
+        where.setdefault(x, []).append(j)
+    if sum(len(where[x]) for x in a) <= 16 * (len(a) + len(b)):
+        inner = rising(a, where)
+    else:
+        inner = []
+        waiting = [(0, len(a), 0, len(b))]
+        while waiting:
+            a0, a1, b0, b1 = waiting.pop()
+            x, y = a[a0:a1], b[b0:b1]
+            if len(x) > 1 and len(x) * (len(y) // 8 + 32) > ROW_BYTES:
+                # cut a in two, and b where the lengths of both sides add up to most
+                mid = len(x) // 2
+                first, second = (np.append(0, np.cumsum(1 - bits_of(r, len(y)))) for r in (last_row(x[:mid], y), last_row(x[:mid - 1:-1], y[::-1])))
+                at = int((first + second[::-1]).argmax())
+                waiting += [(a0, a0 + mid, b0, b0 + at), (a0 + mid, a1, b0 + at, b1)]
+                continue
+            rows = [(1 << len(y)) - 1, *bit_rows(x, y)]
+            i, j = len(x), len(y)
+            while i and j:
+                if rows[i] >> (j - 1) & 1:
+                    # down to the next 0 of this row
+                    free = ~rows[i] & (1 << j) - 1
+                    j = free.bit_length()
+                elif not rows[i - 1] >> (j - 1) & 1:
+                    i -= 1
+                else:
+                    i, j = i - 1, j - 1
+                    inner.append((a0 + i, b0 + j))
+        inner.sort()
+    return [*ends[0], *((ia[i], ib[j]) for i, j in inner), *ends[1]]
+
+
+def last_row(a: Sequence, b: Sequence) -> int:
+    row = (1 << len(b)) - 1
+    for row in bit_rows(a, b):  # noqa: B007
+        pass
+    return row
+
+
+def bits_of(row: int, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(row.to_bytes(n // 8 + 1, "little"), np.uint8), bitorder="little")[:n].astype(np.int64)
+
+
+def shared(a: Sequence, b: Sequence) -> set[int]:
+    """The places in ``a`` of a longest common subsequence with ``b``."""
+    return {i for i, _ in aligned(a, b)}
 
 
 def common_length(a: str, b: str) -> int:
@@ -170,25 +274,48 @@ def common_length(a: str, b: str) -> int:
     return next((k for k in range(n) if a[k] != b[k]), n)
 
 
-def marks(source: str) -> bytes:
-    """The 16-byte hashes of a page's lines, end to end."""
-    return b"".join(xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t, _, _ in lines(source))
+#: A line's mark: 16 bytes of hash, and what it is known by.
+MARK, TEXT, PLACE, INSIDE = 17, b"\0", b"\1", b"\2"
 
 
-def deleted(own: bytes, path: str, before: bytes | None, before_path: str | None, after: bytes | None, after_path: str | None) -> list[int] | None:
-    """The places of a page's lines shared with its pair; None without a pair."""
+def marks(source: str) -> bytes:
+    """The marks of a page's lines, end to end."""
+    found = lines(source)
+    marked = any(m for _, m, _, _ in found)
+    digest = xxhash.xxh3_128_digest
+    return b"".join(
+        digest(t.encode("utf-8", "surrogatepass")) + INSIDE if m else digest(place.encode("utf-8", "surrogatepass")) + PLACE if marked and place else digest(t.encode("utf-8", "surrogatepass")) + TEXT
+        for t, m, _, place in found
+    )
+
+
+def deleted(own: bytes, path: str, before: bytes | None, before_path: str | None, after: bytes | None, after_path: str | None) -> tuple[list[int], list[tuple[int, bytes]]] | None:
+    """The places of a page's lines to delete as shared with its pair, and of the
+    article's shared lines (place, mark), for the host to decide; None without a pair."""
     if after is not None and (before is None or common_length(path, after_path) > common_length(path, before_path)):
         before = after
     if before is None:
         return None
-    return sorted(shared(*([x[k : k + 16] for k in range(0, len(x), 16)] for x in (own, before))))
-
-
-def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", partitions: int | None = None) -> DataFrame:
+    a, b = ([x[k : k + MARK] for k in range(0, len(x), MARK)] for x in (own, before))
+    places = shared(a, b)
+    template = {a[k] for k in places if a[k].endswith(PLACE)}
+    inside = [k for k in places if a[k].endswith(INSIDE)]
+    if 2 * len(inside) >= sum(x.endswith(INSIDE) for x in a):
+        inside = []  # a copy of the pair's article, in whole or for the most part
+    gone = {k for k in places if not a[k].endswith(INSIDE)} | {k for k, x in enumerate(a) if x in template}
+    return sorted(gone), [(k, a[k]) for k in sorted(inside)]
+
+
+def main_text(
+    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", partitions: int | None = None,
+    names: bool = True, least_pages: int = 4,
+) -> DataFrame:
     """Per row of ``pages``: the id, url, text and n_chars.
 
-    The hashes of all lines are sorted and paired; the pages themselves are read
-    again at the end, beside the places of their shared lines.
+    The marks of all lines are sorted and paired; the pages themselves are read
+    again at the end, beside the places of their deleted lines. ``names=False``
+    leaves out step 5; a host of fewer than ``least_pages`` pages decides nothing
+    about lines of articles.
     """
     spark = pages.sparkSession
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -196,10 +323,9 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     p = p.withColumn("_h", F.xxhash64("_text", "_url"))
     bare = F.regexp_replace(F.regexp_replace(F.coalesce("_url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.\-]*:", ""), r"[?#].*$", "")
     host, path = F.lower(F.regexp_extract(bare, r"^//([^/]*)", 1)), F.regexp_replace(bare, r"^//[^/]*|(\.html?|/)$", "")
-    key = [p.schema["_id"], T.StructField("_h", T.LongType())]
-    places = T.ArrayType(T.IntegerType())
-
-    whole = T.StructType([*key, T.StructField("_host", T.StringType()), T.StructField("_path", T.StringType()), T.StructField("_lines", T.BinaryType())])
+    field = T.StructField
+    key = [p.schema["_id"], field("_h", T.LongType()), field("_host", T.StringType())]
+    whole = T.StructType([*key, field("_path", T.StringType()), field("_lines", T.BinaryType())])
     whole_names = whole.names
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,36 +336,40 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     own = cut(p.select("_id", "_h", host.alias("_host"), path.alias("_path"), "_text").mapInArrow(cut_up, whole))
     dealt = own.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
 
-    pairing = T.StructType([
-        *whole.fields, T.StructField("_part", T.IntegerType()), T.StructField("_edge", T.IntegerType()),
-        T.StructField("_before", T.BinaryType()), T.StructField("_before_path", T.StringType()), T.StructField("_after", T.BinaryType()), T.StructField("_after_path", T.StringType()),
-        T.StructField("_gone", places),
-    ])
-    names = pairing.names
+    asks = T.ArrayType(T.StructType([field("place", T.IntegerType()), field("mark", T.BinaryType())]))
+    result = [field("_paired", T.BooleanType()), field("_gone", T.ArrayType(T.IntegerType())), field("_asks", asks)]
+    result_kinds = [pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.struct([("place", pa.int32()), ("mark", pa.binary())]))]
+    sides = [field("_before", T.BinaryType()), field("_before_path", T.StringType()), field("_after", T.BinaryType()), field("_after_path", T.StringType())]
+    pairing = T.StructType([*whole.fields, field("_part", T.IntegerType()), field("_edge", T.IntegerType()), *sides, *result])
+    pairing_names = pairing.names
+
+    def outcome(*x) -> list:
+        found = deleted(*x)
+        return [False, [], []] if found is None else [True, found[0], [{"place": k, "mark": m} for k, m in found[1]]]
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each page's shared places, found with its neighbours within the task;
         ``_edge`` counts what a row lacks: 1 the one before, 2 the one after. Only
         such rows keep their lines and neighbours."""
-        part, last = TaskContext.get().partitionId(), None
+        part, last, last_lines = TaskContext.get().partitionId(), None, None
         rows: list[list] = []
         kinds: list[pa.DataType] = []
 
         def done(row: list) -> None:
             if not row[6]:
-                row[11] = deleted(row[4], row[3], *row[7:11])
+                row[11:] = outcome(row[4], row[3], *row[7:11])
                 row[4] = row[7] = row[8] = row[9] = row[10] = None
             rows.append(row)
 
         def batch() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+            out = pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], pairing_names)
             rows.clear()
             return out
 
         for b in batches:
-            kinds = [b.schema.field(0).type, pa.int64(), pa.string(), pa.string(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.string(), pa.binary(), pa.string(), pa.list_(pa.int32())]
+            kinds = [b.schema.field(0).type, pa.int64(), pa.string(), pa.string(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.string(), pa.binary(), pa.string(), *result_kinds]
             for name, h, host, path, own_lines in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                row = [name, h, host, path, own_lines, part, 0, None, None, None, None, None]
+                row = [name, h, host, path, own_lines, part, 0, None, None, None, None, None, None, None]
                 if last is None:
                     row[6] = 1
                 else:
@@ -257,34 +387,40 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     found = cut(dealt.mapInArrow(neighbours, pairing))
 
-    # a task's first and last page lack a neighbour: two rows of each task, matched in order of the tasks
-    edges = found.filter("_edge > 0").select("_part", "_edge", "_host", "_path", "_lines").collect()
-    firsts = {r["_part"]: r for r in edges if r["_edge"] & 1}
-    lasts = {r["_part"]: r for r in edges if r["_edge"] & 2}
-    parts = sorted(firsts)
-    missing: dict[tuple[int, int], tuple[str, bytes]] = {}
-    for a, b in zip(parts, parts[1:], strict=False):
-        if lasts[a]["_host"] == firsts[b]["_host"]:
-            missing[b, 1] = (lasts[a]["_path"], bytes(lasts[a]["_lines"]))
-            missing[a, 2] = (firsts[b]["_path"], bytes(firsts[b]["_lines"]))
-
-    gone_schema = T.StructType([*key, T.StructField("_gone", places)])
+    # a task's first and last page lack a neighbour, which is the last of the task before and the
+    # first of the one after: which tasks those are is told by two numbers and a host of each task
+    ends = found.filter("_edge > 0")
+    hosts = {(r["_part"], side): r["_host"] for r in ends.select("_part", "_edge", "_host").collect() for side in (1, 2) if r["_edge"] & side}
+    parts = sorted({k for k, _ in hosts})
+    near = [x for a, b in zip(parts, parts[1:], strict=False) if hosts[a, 2] == hosts[b, 1] for x in ((b, 1, a, 2), (a, 2, b, 1))]
+    near_table = spark.createDataFrame(near, "_to int, _side int, _from int, _from_side int")
+    given = ends.select(F.col("_part").alias("_from"), F.col("_edge").alias("_has"), "_path", "_lines").join(near_table, "_from").filter("_has & _from_side > 0")
+    for side, lines_col, path_col in ((1, "_before", "_before_path"), (2, "_after", "_after_path")):
+        other = given.filter(F.col("_side") == side).select(F.col("_to").alias("_part"), F.lit(side).alias("_side"), F.col("_lines").alias("_x"), F.col("_path").alias("_y"))
+        ends = ends.withColumn("_side", F.col("_edge").bitwiseAND(F.lit(side))).join(other, ["_part", "_side"], "left")
+        ends = ends.withColumns({lines_col: F.coalesce(lines_col, "_x"), path_col: F.coalesce(path_col, "_y")}).drop("_x", "_y", "_side")
+
+    gone_schema = T.StructType([*key, *result])
     gone_names = gone_schema.names
 
     def difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for path, own_lines, part, edge, before, before_path, after, after_path, gone in zip(*(b.column(c).to_pylist() for c in names[3:]), strict=True):
-                if edge & 1 and (part, 1) in missing:
-                    before_path, before = missing[part, 1]
-                if edge & 2 and (part, 2) in missing:
-                    after_path, after = missing[part, 2]
-                out.append(deleted(own_lines, path, before, before_path, after, after_path) if edge else gone)
-            yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_h"), pa.array(out, pa.list_(pa.int32()))], gone_names)
+            rows = [outcome(*x) for x in zip(*(c.to_pylist() for c in b.columns[3:]), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(result_kinds))], gone_names)
+
+    ends = ends.select("_id", "_h", "_host", "_lines", "_path", *(f.name for f in sides)).mapInArrow(difference, gone_schema)
+    gone = cut(found.filter("_edge = 0").select(*gone_names).unionByName(ends).withColumn("_row", F.monotonically_increasing_id()))
+
+    # lines of articles that most pages of a host share with their pairs
+    per_host = gone.groupBy("_host").agg(F.count("*").alias("_pages")).filter(F.col("_pages") >= least_pages)
+    on = gone.select("_host", F.explode(F.array_distinct("_asks.mark")).alias("_mark")).groupBy("_host", "_mark").agg(F.count("*").alias("_on"))
+    most = on.join(per_host, "_host").filter("2 * _on > _pages").select("_host", "_mark")
+    asked = gone.filter("size(_asks) > 0").select("_row", "_host", F.explode("_asks").alias("_a")).select("_row", "_host", F.col("_a.mark").alias("_mark"), F.col("_a.place").alias("_place"))
+    more = asked.join(most, ["_host", "_mark"]).groupBy("_row").agg(F.collect_list("_place").alias("_more"))
+    gone = gone.filter("_paired").join(more, "_row", "left").withColumn("_gone", F.concat("_gone", F.coalesce("_more", F.array().cast("array<int>"))))
 
     # repeated rows have one pairing: that which deletes from the first place on
-    gone = found.mapInArrow(difference, gone_schema).filter("_gone IS NOT NULL").groupBy("_id", "_h")
-    gone = gone.agg(F.coalesce(F.min(F.when(F.size("_gone") > 0, F.col("_gone"))), F.min("_gone")).alias("_gone"))
+    gone = gone.groupBy("_id", "_h").agg(F.coalesce(F.min(F.when(F.size("_gone") > 0, F.col("_gone"))), F.min("_gone")).alias("_gone"))
     gone = gone.withColumnsRenamed({"_id": "_id2", "_h": "_h2"})
     joined = p.join(gone, p["_id"].eqNullSafe(gone["_id2"]) & (p["_h"] == gone["_h2"]), "left").select("_id", "_url", "_text", "_gone")
     schema = T.StructType([T.StructField(id_col, p.schema["_id"].dataType), T.StructField(url_col, T.StringType()), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
@@ -294,13 +430,13 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
         for b in batches:
             texts = []
             for source, gone in zip(b.column(2), b.column(3), strict=True):
-                whole = lines(source.as_py())
+                whole = [(t, m, f and names) for t, m, f, _ in lines(source.as_py())]
                 places = gone.as_py()
                 if places is None:  # no pair: nothing is shared, and a marked article is all there is to go by
                     kept = [t for t, m, f in whole if m and not f]
                 else:
                     lost = set(places)
-                    kept = [t for k, (t, m, f) in enumerate(whole) if not f and (m or k not in lost)]
+                    kept = [t for k, (t, _, f) in enumerate(whole) if not f and k not in lost]
                 kept = kept or [t for t, _, f in whole if not f]
                 texts.append("\n\n".join(kept))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], out_names)

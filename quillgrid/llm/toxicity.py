@@ -1,13 +1,18 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on ordinary text, one on what toxic
-texts hold beyond ordinary ones (their words that are far more usual in toxic
-than in ordinary texts of the sample). A text is cut into windows of words; each
-is compressed with the ordinary dictionary and again with the toxic one beside
-it. The bytes that the second saves are a window's gain. A text's greatest gain,
-the mean of its three greatest, the mean gain and the share of windows with a
-clear gain go through a logistic curve, calibrated on labelled texts that
-trained no dictionary; its value is the score.
+Two zstandard dictionaries are trained: one on the windows of ordinary texts, one on
+the stretches of toxic texts that set them apart: a run of ``GRAM`` bytes, anywhere
+in a text, is distinctive if more toxic texts hold it than chance allows, given how
+many ordinary ones do (``CHANCE`` standard deviations over that rate; of those the
+``MOST`` furthest from it, as a dictionary of 2 KB holds no more). A text is cut into windows of words; each is compressed with the ordinary
+dictionary and again with the toxic one beside it. The bytes that the second saves
+are a window's gain. A text's three greatest gains, the mean gain, the share of
+windows with a clear gain and the logarithm of their number go through a logistic
+curve; its value is the score.
+
+Calibration is out of sample: each toxic text is measured with a dictionary of the
+other folds' texts, and the ordinary texts with one that none of them trained. The
+curve is then moved so that ``FALSE_ALARMS`` of those ordinary texts score 0.5 or more.
 
 Learning takes a bounded sample: of each label at most ``per_class`` (ordinary:
 twice that) texts of at most ``sample_bytes`` bytes, those with the least hash
@@ -15,14 +20,16 @@ of their id. Scoring reads every whole text, in one pass without a shuffle, and
 neither label, language, source nor id is an input of a score.
 
 Defined results: a null or blank text has no window, all features zero, and the
-score the calibration gives that. Without learnable texts of both labels every
-score is the share of label 1 (0 if there is no label).
+score the calibration gives that. Repeated rows are each scored, alike; a long text
+has more windows, each of at most ``WINDOW_BYTES`` bytes. Of an empty table the result
+is empty. Without learnable texts of both labels every score is the share of label 1
+(0 if there is no label). Other columns are not read.
 """
 
 from __future__ import annotations
 
+import math
 import sys
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,8 +42,9 @@ from pyspark.sql import types as T
 
 from quillgrid.llm.common import pick
 
-WINDOW_WORDS, WINDOW_BYTES, LEVEL = 16, 4096, 9
-FEATURES = 4
+WINDOW_WORDS, WINDOW_BYTES, LEVEL = 24, 4096, 9
+GRAM, CHANCE, MOST, LEAST_TEXTS, FOLDS, FALSE_ALARMS = 7, 6.0, 1024, 3, 4, 0.01
+FEATURES = 6
 
 
 @dataclass(frozen=True)
@@ -81,8 +89,9 @@ def features(text: str, pair: tuple[zstandard.ZstdCompressor, zstandard.ZstdComp
     gains = np.array([len(a(w)) - len(b(w)) for w in windows(text)], dtype=float)
     if not len(gains):
         return np.zeros(FEATURES)
-    top = np.sort(gains)[-3:]
-    return np.array([top[-1] / 10, top.mean() / 10, gains.mean(), (gains >= 4).mean() * 4])
+    top = np.sort(gains)[::-1][:3]
+    top = np.append(top, np.full(3 - len(top), top[-1]))
+    return np.array([*top, gains.mean(), (gains >= 4).mean(), math.log(len(gains))])
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 50) -> tuple[tuple[float, ...], float]:
@@ -98,38 +107,79 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 50)
     return tuple(float(v) for v in w[:-1]), float(w[-1])
 
 
-def trained(size: int, samples: list[bytes]) -> bytes:
+def trained(size: int, samples: list[bytes], segment: int, gram: int) -> bytes:
     """A dictionary's content; of too few samples for the trainer, the samples themselves."""
     samples = [s for s in samples if len(s) >= 8]
     try:
-        return zstandard.train_dictionary(size, samples, k=20 if size < 8192 else 16, d=6, level=LEVEL).as_bytes()
+        return zstandard.train_dictionary(size, samples, k=segment, d=gram, level=LEVEL).as_bytes()
     except zstandard.ZstdError:
         return b" ".join(samples)[-size:]
 
 
-def fit(toxic: list[str], ordinary: list[str], ordinary_size: int = 65536, toxic_size: int = 2048, share: float = 0.0) -> Model:
-    """Dictionaries from the first half of each list, calibration from the other."""
+def as_bytes(text: str) -> bytes:
+    return f" {' '.join(text.lower().split())} ".encode()
+
+
+def runs(data: bytes) -> np.ndarray:
+    """Each run of ``GRAM`` bytes as a number, in order."""
+    padded = np.frombuffer(data + bytes(8), np.uint8)
+    words = np.ndarray(max(0, len(data) - GRAM + 1), "<u8", padded, 0, (1,))
+    return words & np.uint64((1 << 8 * GRAM) - 1)
+
+
+def stretches(data: bytes, chosen: np.ndarray) -> bytes:
+    """The parts of a text that chosen runs cover, a blank before each."""
+    at = np.flatnonzero(np.isin(runs(data), chosen))
+    if not len(at):
+        return b""
+    cut = np.flatnonzero(np.diff(at) > GRAM) + 1
+    first, last = at[np.append(0, cut)], at[np.append(cut - 1, len(at) - 1)] + GRAM
+    return b"".join(b" " + data[x:y] for x, y in zip(first.tolist(), last.tolist(), strict=True))
+
+
+def texts_with(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct runs of some texts, and how many of the texts hold each."""
+    return np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+def fit(toxic: list[str], ordinary: list[str], ordinary_size: int = 112_640, toxic_size: int = 2048, share: float = 0.0) -> Model:
+    """The ordinary dictionary from every other ordinary text, the toxic one from all
+    toxic texts; calibration as the module says."""
     if len(toxic) < 4 or len(ordinary) < 4:
         share = min(max(share, 1e-6), 1 - 1e-6)
         return Model(b"", b"", (0.0,) * FEATURES, float(np.log(share / (1 - share))))
-    t, o = toxic[::2], ordinary[::2]
-
-    def held_by(texts: list[str]) -> Counter:
-        out: Counter = Counter()
-        for x in texts:
-            out.update(set(x.lower().split()))
-        return out
-
-    in_t, in_o = held_by(t), held_by(o)
-    least = 6 if len(t) >= 400 else 3 if len(t) >= 30 else 2
-    beyond = {w for w, n in in_t.items() if n >= least and n / len(t) > 8 * (in_o[w] + 0.5) / len(o)}
-    rest = [" ".join(w for w in x.lower().split() if w in beyond).encode() for x in t]
-    model = Model(trained(ordinary_size, [w for x in o for w in windows(x)]), trained(toxic_size, rest), (0.0,) * FEATURES, 0.0)
+    plain = trained(ordinary_size, [w for x in ordinary[::2] for w in windows(x)], 48, 8)
+    texts = [as_bytes(x) for x in toxic]
+    found = [np.unique(runs(x)) for x in texts]
+    usual, usual_in = texts_with([np.unique(runs(as_bytes(x))) for x in ordinary[::2]])
+    usual, usual_in = np.append(usual, ~np.uint64(0)), np.append(usual_in, 0)  # no run has that number
+
+    def dictionary(rows: list[int]) -> bytes:
+        held, n = texts_with([found[i] for i in rows])
+        held, n = held[n >= LEAST_TEXTS], n[n >= LEAST_TEXTS]
+        at = np.searchsorted(usual, held)
+        expected = np.where(usual[at] == held, usual_in[at], 0) * (len(rows) / len(ordinary[::2]))
+        beyond = (n - expected) / np.sqrt(expected + 1)
+        order = np.lexsort((held, -beyond))
+        chosen = held[order[beyond[order] > CHANCE][:MOST]]
+        return trained(toxic_size, [stretches(texts[i], chosen) for i in rows], 16, 6)
+
+    a, rows = compressor(plain), list(range(len(toxic)))
+    measured: list[np.ndarray] = []
+    for k in range(FOLDS):
+        b = compressor(dictionary([i for i in rows if i % FOLDS != k]) + plain)
+        measured += [features(toxic[i], (a, b)) for i in rows[k::FOLDS]]
+    model = Model(plain, dictionary(rows), (0.0,) * FEATURES, 0.0)
     pair = compressors(model)
-    x = np.array([features(s, pair) for s in (*toxic[1::2], *ordinary[1::2])])
-    y = np.array([1.0] * len(toxic[1::2]) + [0.0] * len(ordinary[1::2]))
-    weights, bias = logistic(x, y)
-    return Model(model.ordinary, model.toxic, weights, bias)
+    apart = np.array([features(x, pair) for x in ordinary[1::2]])
+    x = np.vstack([np.array(measured), apart])
+    y = np.append(np.ones(len(toxic)), np.zeros(len(apart)))
+    mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-9
+    weights, bias = logistic((x - mean) / spread, y)
+    weights = np.array(weights) / spread
+    bias -= float(weights @ mean)
+    bias -= float(np.quantile(apart @ weights + bias, 1 - FALSE_ALARMS, method="higher"))
+    return Model(model.ordinary, model.toxic, tuple(map(float, weights)), bias - 1e-9)
 
 
 def held_out(id_col: Column, modulus: int, remainder: int) -> Column:

@@ -8,10 +8,13 @@ with one anchor make a segment. Segments are dealt by anchor, so that all
 occurrences of a window meet:
 
 * anchors that occur once are unique, and so are their windows;
-* segments that occur whole more than once are repeated, whatever their number:
-  copies are counted, not compared;
+* segments that occur whole (told by 128 bits of hash) more than once are repeated,
+  whatever their number: copies are counted, not compared;
 * the distinct segments of the other anchors go on to the merge.
 
+Keys with over a thousandth of the rows are at most a thousand; joins with them are
+broadcast, so no task holds all copies of a common passage.
+
 Merge. A segment is a string over cells of 8 bytes that start at multiples of 8
 from its anchor. Segments are spread over shards, each shard's Burrows-Wheeler
 transform is built, and the transforms are merged by iterative interleave
@@ -26,7 +29,9 @@ of one anchor. Groups of more than ``hot_segments`` distinct segments don't go
 to one task: their windows are counted one by one by 128-bit hash.
 
 Defined results: a null text is empty; documents shorter than ``length`` keep all
-bytes; repeated rows repeat each other; a null id is a value.
+bytes; repeated rows repeat each other; a null id is a value; an empty table gives
+an empty result; other columns are not read. Spans are joined before they are
+collected, so a long periodic text, which has a segment at each byte, ends as one.
 """
 
 from __future__ import annotations
@@ -38,14 +43,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillgrid.llm.common import pick, with_key
 from quillgrid.session import checkpoint_root
 
-GRAM, CELL, BATCH, SHARDS = 32, 8, 3_000_000, 4
+GRAM, CELL, BATCH, SHARDS, SHAPE = 32, 8, 3_000_000, 4, 1 << 20
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
 
@@ -55,7 +60,8 @@ def words_at(data: np.ndarray) -> np.ndarray:
 
 
 def segments(data: bytes, length: int) -> tuple[np.ndarray, ...] | None:
-    """For each segment: first and last window start, anchor place, anchor hash, segment hash."""
+    """For each segment: first window start, ``SHAPE`` times the number of further
+    starts plus the anchor's place from the first, anchor hash, segment hash (two words)."""
     if len(data) < length:
         return None
     w = words_at(np.frombuffer(data, np.uint8))
@@ -74,9 +80,9 @@ def segments(data: bytes, length: int) -> tuple[np.ndarray, ...] | None:
     starts = np.flatnonzero(np.diff(place, prepend=-1))
     ends = np.append(starts[1:], len(place)) - 1
     at = place[starts]
-    digest = xxhash.xxh3_64_intdigest
-    whole = np.fromiter((digest(data[a : b + length]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(starts))
-    return starts, ends, at, g[at].view(np.int64), whole.view(np.int64)
+    digest = xxhash.xxh3_128_digest
+    whole = np.frombuffer(b"".join(digest(data[a : b + length]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.int64).reshape(-1, 2)
+    return starts, (ends - starts) * SHAPE + at - starts, g[at].view(np.int64), whole[:, 0], whole[:, 1]
 
 
 def sort_suffixes(symbols: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -213,12 +219,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def with_common(rows: DataFrame, keys: DataFrame, on: list[str], total: int) -> DataFrame:
+    """``rows`` joined with ``keys``, which has one row for each key with its count
+    ``n`` among ``rows``. At most 1,000 keys have over a thousandth of the rows: those
+    are broadcast, the others dealt by key."""
+    many = F.broadcast(keys.filter(F.col("n") * 1000 > total))
+    few = rows.join(many.select(*on), on, "left_anti").join(keys.filter(F.col("n") * 1000 <= total), on)
+    return rows.join(many, on).unionByName(few)
+
+
 def repeated_spans(keyed: DataFrame, length: int = 200, hot_segments: int = 20_000) -> DataFrame:
     """(_id, _h, start, stop): covering spans, some of them overlapping, of the
     documents ``keyed`` (_id, _h, _text)."""
     key_fields = [keyed.schema["_id"], T.StructField("_h", T.LongType())]
-    place = [T.StructField(c, T.LongType()) for c in ("first", "last", "at")]
-    found_schema = T.StructType([*key_fields, *place, T.StructField("anchor", T.LongType()), T.StructField("whole", T.LongType())])
+    place = [T.StructField(c, T.LongType()) for c in ("first", "shape")]
+    found_schema = T.StructType([*key_fields, *place, *(T.StructField(c, T.LongType()) for c in ("anchor", "whole", "whole2"))])
     found_names = found_schema.names
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,20 +248,21 @@ def repeated_spans(keyed: DataFrame, length: int = 200, hot_segments: int = 20_0
                 yield pa.RecordBatch.from_arrays([b.column(0).take(r), b.column(1).take(r), *(pa.array(np.concatenate(c)) for c in zip(*parts, strict=True))], found_names)
 
     found = written(keyed.select("_id", "_h", "_text").mapInArrow(find, found_schema), "segments")
-    anchors = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("whole").alias("w1"), F.max("whole").alias("w2")).filter("n > 1")
-    # written, so that both sides of the join are plain exchanges, whose large partitions are split
-    anchors = written(anchors.select("anchor", (F.col("w1") == F.col("w2")).alias("uniform")), "anchors")
-    again = written(found.join(anchors, "anchor"), "again")
+    whole = F.struct("whole", "whole2")
+    anchors = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min(whole).alias("w1"), F.max(whole).alias("w2")).filter("n > 1")
+    anchors = written(anchors.select("anchor", "n", (F.col("w1") == F.col("w2")).alias("uniform")), "anchors")
+    again = written(with_common(found, anchors, ["anchor"], found.count()).drop("n"), "again")
     mixed = again.filter("NOT uniform")
-    spans = lambda df: df.select("_id", "_h", F.col("first").alias("start"), (F.col("last") + length).alias("stop"))
+    spans = lambda df: df.select("_id", "_h", F.col("first").alias("start"), F.expr(f"first + shape div {SHAPE} + {length}").alias("stop"))
 
-    distinct = mixed.groupBy("anchor", "whole").agg(F.count("*").alias("n"), F.min(F.struct("_id", "_h", "first", "last", "at")).alias("one"))
-    distinct = written(distinct.select("anchor", "whole", "n", "one.*"), "distinct")
-    copied = mixed.join(distinct.filter("n > 1").select("anchor", "whole"), ["anchor", "whole"], "left_semi")
+    same = ["anchor", "whole", "whole2"]
+    distinct = mixed.groupBy(*same).agg(F.count("*").alias("n"), F.min(F.struct("_id", "_h", "first", "shape")).alias("one"))
+    distinct = written(distinct.select(*same, "n", "one.*"), "distinct")
+    copied = with_common(mixed, distinct.filter("n > 1").select(*same, "n"), same, mixed.count())
     hot = distinct.groupBy("anchor").agg(F.count("*").alias("k")).filter(F.col("k") > hot_segments).select("anchor")
 
     # the distinct segments' bytes, cut from their documents
-    asked = distinct.groupBy("_id", "_h").agg(F.collect_list(F.struct("anchor", "first", "last", "at")).alias("_asked"))
+    asked = distinct.groupBy("_id", "_h").agg(F.collect_list(F.struct("anchor", "first", "shape")).alias("_asked"))
     texts = keyed.select(F.col("_id").alias("_id2"), F.col("_h").alias("_h2"), "_text")
     sliced_schema = T.StructType([*key_fields, *place, T.StructField("anchor", T.LongType()), T.StructField("segment", T.BinaryType())])
     sliced_names = sliced_schema.names
@@ -258,10 +274,10 @@ def repeated_spans(keyed: DataFrame, length: int = 200, hot_segments: int = 20_0
                 data = b.column(3)[r].as_py().encode()
                 for x in b.column(2)[r].as_py():
                     rows.append(r)
-                    out.append((x["first"], x["last"], x["at"], x["anchor"], data[x["first"] : x["last"] + length]))
+                    out.append((x["first"], x["shape"], x["anchor"], data[x["first"] : x["first"] + x["shape"] // SHAPE + length]))
             if rows:
                 r = pa.array(rows)
-                columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(),) * 4 + (pa.binary(),), strict=True)]
+                columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(),) * 3 + (pa.binary(),), strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0).take(r), b.column(1).take(r), *columns], sliced_names)
 
     sliced = asked.join(texts, asked["_id"].eqNullSafe(texts["_id2"]) & (asked["_h"] == texts["_h2"])).select("_id", "_h", "_asked", "_text").mapInArrow(slices, sliced_schema)
@@ -278,18 +294,18 @@ def repeated_spans(keyed: DataFrame, length: int = 200, hot_segments: int = 20_0
         size, kind = 0, None
 
         def done() -> pa.RecordBatch:
-            hits = repeated_windows([x[6] for x in held], np.array([x[4] - x[2] for x in held]), length)
+            hits = repeated_windows([x[5] for x in held], np.array([x[3] % SHAPE for x in held]), length)
             rows = [(x[0], x[1], x[2] + a, x[2] + b) for x, w in zip(held, hits, strict=True) for a, b in runs(w, length)]
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((kind, pa.int64(), pa.int64(), pa.int64()))], span_names)
 
         for b in batches:
             kind = b.schema.field(0).type
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if size > BATCH and held[-1][5] != row[5]:
+                if size > BATCH and held[-1][4] != row[4]:
                     yield done()
                     held, size = [], 0
                 held.append(row)
-                size += len(row[6])
+                size += len(row[5])
         if held:
             yield done()
 
@@ -338,7 +354,13 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _removed(keyed: DataFrame, id_name: str, length: int, hot_segments: int) -> DataFrame:
-    spans = repeated_spans(keyed, length, hot_segments).groupBy("_id", "_h").agg(F.collect_list(F.struct("start", "stop")).alias("_spans"))
+    # spans that touch are one before any are collected
+    in_order = Window.partitionBy("_id", "_h").orderBy("start", "stop")
+    reach = F.max("stop").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    spans = repeated_spans(keyed, length, hot_segments).withColumn("_new", F.when(F.col("start") <= reach, 0).otherwise(1))
+    spans = spans.withColumn("_run", F.sum("_new").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = spans.groupBy("_id", "_h", "_run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    spans = spans.groupBy("_id", "_h").agg(F.collect_list(F.struct("start", "stop")).alias("_spans"))
     spans = spans.withColumnsRenamed({"_id": "_id2", "_h": "_h2"})
     carried = [c for c in keyed.columns if c == "_row"]
     joined = keyed.join(spans, keyed["_id"].eqNullSafe(spans["_id2"]) & (keyed["_h"] == spans["_h2"]), "left").select("_id", "_text", "_spans", *carried)

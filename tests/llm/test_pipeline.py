@@ -3,11 +3,12 @@ import os
 import pytest
 
 import corpus_pipeline
+from quillgrid.llm import bpe
 from quillgrid.llm import queries as q
 from tests.llm import edges
 
 SF = "/root/testdata/sf0.001"
-pytestmark = pytest.mark.skipif(not os.path.isdir(SF) or not os.path.exists(q.TOKENIZER), reason="no tables")
+pytestmark = pytest.mark.skipif(not os.path.isdir(SF) or not os.path.exists(bpe.file_of(q.TOKENIZER)), reason="no tables")
 
 
 def test_stages_agree_with_the_operators(spark, tmp_path):

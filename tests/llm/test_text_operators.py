@@ -100,6 +100,20 @@ def test_merge_orders_like_a_full_sort():
     assert [min(keys[x]) for x in ordered] == sorted(min(v) for v in keys.values())
 
 
+def test_long_periodic_text(spark):
+    docs = ["a" * 60_000, "xy" * 20_000 + "z" * 100, "b" * 199]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in suffix_dedup.remove_repeats(df).collect()}
+    assert got == {0: (60_000, 1), 1: (40_000, 1), 2: (0, 0)}
+
+
+def test_common_keys_are_broadcast(spark):
+    rows = spark.createDataFrame([(1, k) for k in range(3000)] + [(k, 0) for k in range(2, 400)], "key long, x long")
+    keys = rows.groupBy("key").count().withColumnRenamed("count", "n")
+    got = suffix_dedup.with_common(rows, keys, ["key"], rows.count())
+    assert sorted((r.key, r.x, r.n) for r in got.collect()) == sorted([(1, k, 3000) for k in range(3000)] + [(k, 0, 1) for k in range(2, 400)])
+
+
 def test_suffix_dedup_edges(spark):
     got = suffix_dedup.remove_repeats(edges.table(spark)).collect()
     by = {}
@@ -222,6 +236,39 @@ def test_toxicity_on_held_out_rows(spark):
     assert kept.columns == docs.columns and 400 < kept.count() < 500
 
 
+def test_toxicity_scores_like_a_plain_form(spark):
+    """The score from the model's parts, window by window, without the operator's code."""
+    import zstandard
+
+    def mark(words):
+        words[3] = "zugwreth"
+        return words
+
+    docs, labels = labelled(spark, mark)
+    model = toxicity.learn(docs, labels)
+    given = zstandard.ZstdCompressionParameters.from_level(9, min_match=3, write_content_size=0, write_checksum=0, write_dict_id=0)
+
+    def size(content, data):
+        held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        held.precompute_compress(compression_params=given)
+        return len(zstandard.ZstdCompressor(dict_data=held, compression_params=given).compress(data))
+
+    rows = docs.limit(12).collect()
+    got = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame(rows), model).collect()}
+    for r in rows:
+        words = r.text.lower().split()
+        parts = [" ".join(words[i : i + 24]).encode() for i in range(0, len(words), 24)]
+        gains = sorted((size(model.ordinary, w) - size(model.toxic + model.ordinary, w) for w in parts), reverse=True)
+        top = (gains + [gains[-1]] * 3)[:3] if len(gains) < 3 else gains[:3]
+        x = [*top, sum(gains) / len(gains), sum(g >= 4 for g in gains) / len(gains), np.log(len(gains))]
+        assert abs(got[r.doc_id] - 1 / (1 + np.exp(-(np.dot(x, model.weights) + model.bias)))) < 1e-9
+
+
+def test_toxic_stretches():
+    chosen = np.array([int.from_bytes(x, "little") for x in (b"abcdefg", b"bcdefgh", b"tuvwxyz")], np.uint64)
+    assert toxicity.stretches(b"--abcdefgh--tuvwxyz", chosen) == b" abcdefgh tuvwxyz" and toxicity.stretches(b"abc", chosen) == b""
+
+
 def test_toxicity_edges(spark):
     t = edges.table(spark)
     model = toxicity.learn(t, spark.createDataFrame([], "doc_id long, toxic int"))
@@ -397,6 +444,59 @@ def test_differencing_decides_beside_a_marked_article(spark):
         assert got == {1: "Lead of the first\n\nQuoted by both\n\nFirst", 2: "Lead of the second\n\nQuoted by both\n\nSecond", 3: "Quoted by both\n\nAlone"}
 
 
+def test_differencing_without_names(spark):
+    """Menus, adverts and footers go by their place in the template, whatever their words."""
+    rows = []
+    for k in range(12):
+        menu = "".join(f"<li><a href='/{k}{j}'>Entry {k} {j}</a></li>" for j in range(4 + k % 3))
+        body = f"<nav><ul>{menu}</ul></nav><div class='x7 y'>Buy {k}</div><article><h1>Head {k}</h1><p>Story {k}<p>Join our list today<p>Other {k}</article><footer>Foot {k}</footer>"
+        rows.append((k, f"http://a.org/n/{k}", page(body)))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for parts in (1, 5):
+        got = {r.page_id: r.text for r in html_main.main_text(df, partitions=parts, names=False).collect()}
+        # the line that all pages of the host have goes from the articles too
+        assert got == {k: f"Head {k}\n\nStory {k}\n\nOther {k}" for k in range(12)}
+    few = df.filter("page_id < 3")
+    assert {r.text for r in html_main.main_text(few).collect()} == {f"Head {k}\n\nStory {k}\n\nJoin our list today\n\nOther {k}" for k in range(3)}
+
+
+def test_names_of_frames():
+    text = lambda body: [t for t, _, f, _ in html_main.lines(page(f"<article>{body}</article>")) if not f]
+    assert text("<section class='market-share-figures'><p>a</section><div id='notice-and-takedown'>b</div><p class='ad-hoc related-work'>c") == ["a", "b", "c"]
+    assert text("<div class='share-buttons'>a</div><div class='x cookie-notice'>b</div><div id=comments-list>c</div><aside>d</aside>") == []
+    assert text("<p>x <math><mi>y</mi></math> z <noscript>n</noscript><object>o</object><video>v</video>") == ["x y z nov"]
+
+
+def test_pages_align_like_a_plain_table(monkeypatch):
+    def longest(a, b):
+        t = np.zeros((len(a) + 1, len(b) + 1), int)
+        for i in range(len(a)):
+            for j in range(len(b)):
+                t[i + 1, j + 1] = t[i, j] + 1 if a[i] == b[j] else max(t[i, j + 1], t[i + 1, j])
+        return t[-1, -1]
+
+    random.seed(13)
+    for size in (32 << 20, 200):
+        monkeypatch.setattr(html_main, "ROW_BYTES", size)
+        for _ in range(60):
+            a, b = ([random.choice("ab" if _ % 2 else "abcdefgh") for _ in range(random.randrange(90))] for _ in range(2))
+            pairs = html_main.aligned(a, b)
+            assert len(pairs) == longest(a, b) and all(a[i] == b[j] for i, j in pairs)
+            assert all(x[0] < y[0] and x[1] < y[1] for x, y in itertools.pairwise(pairs))
+
+
+def test_many_equal_lines_align_soon():
+    a = ["x", "y"] * 10_000 + ["z"]
+    assert len(html_main.aligned(a, ["w", "x"] * 10_000)) == 10_000
+
+
+def test_long_page(spark):
+    body = "".join(f"<p>{'same' if k % 2 else k}" for k in range(8000))
+    rows = [(1, "http://a.org/1", page(f"<nav>m</nav><article>{body}</article>")), (2, "http://a.org/2", page(f"<nav>m</nav><article><p>same{body[::-1]}</article>"))]
+    got = {r.page_id: r for r in html_main.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1].text.count("\n\n") == 7999 and got[1].n_chars == len(got[1].text)
+
+
 def test_common_subsequence():
     random.seed(3)
     for _ in range(200):

@@ -86,3 +86,20 @@ def to_unit(k: Column) -> Column:
 def unsigned_order(k: Column) -> Column:
     """Sorts BIGINTs as unsigned numbers."""
     return k.bitwiseXOR(F.lit(-(1 << 63)))
+
+
+def poisson(u: Column, mean: Column) -> Column:
+    """The count at ``u`` of a Poisson law: how many partial sums of p(0), p(1), ... are
+    at ``u`` or under, from p(n) = p(n - 1) mean / n. Sums stop 12 deviations and 30
+    beyond the mean, past which a double has no room, so no tail is cut. Means go up to
+    700, where exp(-mean) still is a normal number; null beyond, and zero at or below 0."""
+    stop = F.ceil(mean + 12 * F.sqrt(mean) + 30).cast("int")
+    begin = F.exp(-mean)
+
+    def more(s: Column, n: Column) -> Column:
+        p = s["p"] * mean / n
+        return F.struct(p.alias("p"), (s["c"] + p).alias("c"), (s["k"] + F.when(s["c"] + p <= u, 1).otherwise(0)).alias("k"))
+
+    first = F.struct(begin.alias("p"), begin.alias("c"), F.when(begin <= u, 1).otherwise(0).alias("k"))
+    count = F.aggregate(F.sequence(F.lit(1), stop), first, more, lambda s: s["k"].cast("long"))
+    return F.when(mean <= 0, F.lit(0).cast("long")).when(mean <= 700, count)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Metres of a cell of level 0, and the layout of a cell's id from its
+#: highest bit down: level of detail, i, j, each with an offset that makes it positive.
 NATIVE_M = 30.0
 
 

@@ -6,16 +6,13 @@ so a path of n steps needs log2(n) rounds; each round is cut by a checkpoint.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgrid.operators.spatial import neighbours
-from quillgrid.session import checkpoint_root
-
-
-def cut(df: DataFrame) -> DataFrame:
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+from quillgrid.session import cut
 
 
 def steepest_receivers(grid: DataFrame) -> DataFrame:
@@ -87,21 +84,52 @@ def dilate(cells: DataFrame, allowed: DataFrame, steps: int) -> DataFrame:
     return now
 
 
-def strahler(nodes: DataFrame, most_levels: int = 64) -> DataFrame:
+def downstream(nodes: DataFrame, starts: DataFrame, most_rounds: int = 40) -> DataFrame:
+    """(start, cell, step): all cells that each of ``starts`` (cell) drains through, itself
+    at step 0. Doubling: with the pointers of 2^n steps, the first 2^n cells of a path
+    give the next 2^n, so a path of any length takes its logarithm in rounds."""
+    jump = cut(nodes.filter("receiver IS NOT NULL").select("cell", F.col("receiver").alias("to")))
+    path = cut(starts.select(F.col("cell").alias("start"), "cell", F.lit(0).cast("long").alias("step")))
+    for n in range(most_rounds):
+        ahead = cut(path.join(jump, "cell").select("start", F.col("to").alias("cell"), (F.col("step") + (1 << n)).alias("step")))
+        if not ahead.head(1):
+            return path
+        path = cut(path.unionByName(ahead))
+        jump = cut(jump.join(jump.select(F.col("cell").alias("to"), F.col("to").alias("next")), "to").select("cell", F.col("next").alias("to")))
+    raise RuntimeError("receivers make a cycle, or paths are longer than 2^40")
+
+
+def strahler(nodes: DataFrame) -> DataFrame:
     """(cell, order): the greatest order of the donors, one more if two or more have it;
-    1 without donors. Levels from the leaves down, each one grouped join."""
-    ranked = cut(nodes.select("cell", "receiver"))
-    done, left = None, ranked
-    for _ in range(most_levels):
-        fed = left.filter("receiver IS NOT NULL").select(F.col("receiver").alias("cell")).distinct()
-        ready = left.join(fed, "cell", "left_anti")
-        if done is None:
-            now = ready.select("cell", "receiver", F.lit(1).cast("long").alias("order"))
-        else:
-            tops = done.filter("receiver IS NOT NULL").groupBy(F.col("receiver").alias("cell")).agg(F.max("order").alias("m"), F.collect_list("order").alias("all"))
-            now = ready.join(tops, "cell", "left").select("cell", "receiver", F.expr("m + IF(size(filter(all, x -> x = m)) > 1, 1, 0)").cast("long").alias("order"))
-        done = cut(now if done is None else done.unionByName(now))
-        left = cut(left.join(ready.select("cell"), "cell", "left_anti"))
-        if not left.head(1):
-            return done.select("cell", "order")
-    raise RuntimeError("receivers make a cycle, or there are more levels")
+    1 without donors.
+
+    Cells with one donor have its order, so chains are first drawn together by doubling:
+    each cell's head is the source or confluence it hangs on. Confluences are then
+    settled once all chains into them are; a round only reads chains that no confluence
+    has taken yet. Rounds are as many as confluences follow each other, without a bound.
+    """
+    own = cut(nodes.select("cell", "receiver"))
+    donors = own.filter("receiver IS NOT NULL").groupBy(F.col("receiver").alias("cell")).agg(F.count("*").alias("n"), F.min("cell").alias("donor"))
+    fed = cut(own.join(donors, "cell", "left"))
+    heads = roots(fed.select("cell", F.when(F.col("n") == 1, F.col("donor")).alias("receiver"))).select("cell", F.col("root").alias("head"))
+    heads = cut(heads)
+    # a head drains into the confluence that the last cell of its chain drains into
+    into = fed.select(F.col("cell").alias("to"), F.col("n").alias("_n")).filter("_n > 1")
+    after = heads.join(own, "cell").join(into, F.col("receiver") == F.col("to")).select("head", "to")
+    pending = cut(fed.filter("n > 1").select(F.col("cell").alias("head"), "n").join(after, "head", "left"))
+    free = cut(fed.filter("n IS NULL").select(F.col("cell").alias("head"), F.lit(1).cast("long").alias("order")).join(after, "head", "left"))
+    settled = [free.select("head", "order")]
+    while pending.head(1):
+        alike = free.filter("to IS NOT NULL").groupBy("to", "order").agg(F.count("*").alias("k"))
+        met = alike.groupBy("to").agg(F.max(F.struct("order", "k")).alias("top"), F.sum("k").alias("all"))
+        ready = cut(
+            pending.withColumnRenamed("to", "next").join(met, F.col("head") == F.col("to")).filter("all = n")
+            .select("head", (F.col("top.order") + F.when(F.col("top.k") > 1, 1).otherwise(0)).alias("order"), F.col("next").alias("to"))
+        )
+        if not ready.head(1):
+            raise RuntimeError("receivers make a cycle")
+        settled.append(ready.select("head", "order"))
+        taken = ready.select("head")
+        free = cut(free.join(taken, free["to"] == taken["head"], "left_anti").unionByName(ready))
+        pending = cut(pending.join(taken, "head", "left_anti"))
+    return heads.join(reduce(DataFrame.unionByName, settled), "head").select("cell", "order")

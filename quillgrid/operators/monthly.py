@@ -1,8 +1,20 @@
-"""Periodic monthly state: snow, soil and groundwater folded over the year."""
+"""Water stores of a cell through the months of a year, in series.
+
+Three stores feed each other and nothing feeds back: a snow pack (degree days), a soil
+(filled by water beyond demand, dried by the exponential law of Thornthwaite and
+Mather) and a linear groundwater reservoir. Each is one scan over an array of monthly
+inputs that gives an array of monthly outputs, which are the inputs of the next.
+
+As no store depends on a later one, a periodic year is found store by store, from
+each one's annual map (its level after a year as a function of the level before):
+the pack's is settled after two years or grows to its cap, the soil's only ever rises
+with its argument and is solved by halving, the reservoir's is linear.
+"""
 
 from __future__ import annotations
 
-from math import exp
+from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,77 +22,149 @@ from pyspark.sql import functions as F
 from quillgrid.functions.hydrology import MONTH_DAYS
 
 
-def water_year(
-    temp: Column, rain: Column, pet: Column, years: int, snow_cap: float = 1000.0, soil_cap: float = 150.0, degree_day: float = 3.0, recharge: float = 0.3, gw_days: float = 90.0, start: Column | None = None
-) -> Column:
-    """The state and last-year totals after ``years`` of the same twelve months.
+@dataclass(frozen=True)
+class Stores:
+    """Capacities (mm), melt (mm a degree and day), the share of surplus that seeps, and the reservoir's time (days)."""
 
-    ``temp``, ``rain`` (rain and snow together) and ``pet`` are arrays of twelve. A
-    month: snow falls at or below zero, melts by degree days, spills over its cap;
-    soil gains what exceeds evaporation or dries by exp(-deficit / capacity); surplus
-    splits into recharge and runoff; groundwater drains by exp(-days / time).
-    Stores begin at zero, or at the snow, soil and gw of ``start``; ``low`` is then
-    also returned, the least snow of any month's end.
-    """
-    zero = F.lit(0.0)
-    track = start is not None
-    first_state = [start[n] if track else zero for n in ("snow", "soil", "gw")]
-    begin = F.struct(*(x.alias(n) for x, n in zip(first_state, ("snow", "soil", "gw"), strict=True)), zero.alias("aet"), zero.alias("runoff"), *([F.lit(float("inf")).alias("low")] if track else []))
-    days = F.array(*(F.lit(float(d)) for d in MONTH_DAYS))
-
-    def month(s: Column, n: Column) -> Column:
-        m = n % 12
-        t, p, e, d = temp[m], rain[m], pet[m], days[m]
-        first = m == 0
-        fall = F.when(t <= 0, p).otherwise(zero)
-        full = s["snow"] + fall
-        melt = F.least(full, degree_day * F.greatest(t, zero) * d)
-        spill = F.greatest(full - melt - snow_cap, zero)
-        liquid = p - fall + melt + spill
-        deficit = e - liquid
-        wet = s["soil"] * F.exp(F.greatest(deficit, zero) / -soil_cap) - F.least(deficit, zero)
-        aet = liquid + s["soil"] - wet
-        surplus = F.greatest(wet - soil_cap, zero)
-        ground = s["gw"] + surplus * recharge
-        base = ground * -F.expm1(-d / gw_days)
-        return F.struct(
-            (full - melt - spill).alias("snow"), (wet - surplus).alias("soil"), (ground - base).alias("gw"),
-            (F.when(first, zero).otherwise(s["aet"]) + aet).alias("aet"),
-            (F.when(first, zero).otherwise(s["runoff"]) + surplus * (1 - recharge) + base).alias("runoff"),
-            *([F.least(s["low"], full - melt - spill).alias("low")] if track else []),
-        )
-
-    return F.aggregate(F.sequence(F.lit(0), F.lit(12 * years - 1)), begin, month)
-
-
-def periodic_year(temp: Column, rain: Column, pet: Column, most_years: int = 40, tolerance: float = 0.01, snow_cap: float = 1000.0, soil_cap: float = 150.0, gw_days: float = 90.0) -> Column:
-    """The last year of ``water_year`` run until the stores change by ``tolerance`` mm a
-    year at most, or for ``most_years``: its end state and totals, ``years`` run and
-    ``change``, what the stores still change by.
-
-    Between years snow that grows all year jumps to its cap, soil to the secant fixed
-    point of its annual map, groundwater to the exact one of its linear map.
+    snow_cap: float = 1000.0
+    soil_cap: float = 150.0
+    degree_day: float = 3.0
+    seepage: float = 0.3
+    gw_days: float = 90.0
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it is read."""
+    return F.transform(F.array(value), use)[0]
+
+
+def scan(start: Column, inputs: Column, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """(level, out): the level after all ``inputs``, and the output of each."""
+
+    def month(s: Column, x: Column) -> Column:
+        level, out = step(s["level"], x)
+        return F.struct(level.alias("level"), F.array_append(s["out"], out).alias("out"))
+
+    return F.aggregate(inputs, F.struct(start.cast("double").alias("level"), F.array().cast("array<double>").alias("out")), month)
+
+
+def pack(start: Column, temp: Column, precipitation: Column, days: Column, p: Stores) -> Column:
+    """Snow; its output is all water that reaches the soil: rain, melt and what the cap sheds."""
+    inputs = F.arrays_zip(temp.alias("t"), precipitation.alias("p"), days.alias("d"))
+
+    def step(level: Column, x: Column) -> tuple[Column, Column]:
+        frozen = x["t"] <= 0
+        held = level + F.when(frozen, x["p"]).otherwise(F.lit(0.0))
+        left = F.least(F.greatest(held - p.degree_day * F.greatest(x["t"], F.lit(0.0)) * x["d"], F.lit(0.0)), F.lit(p.snow_cap))
+        return left, F.when(frozen, F.lit(0.0)).otherwise(x["p"]) + held - left
+
+    return scan(start, inputs, step)
+
+
+def soil(start: Column, water: Column, demand: Column, p: Stores) -> Column:
+    """Soil moisture; its output is the surplus over the capacity."""
+
+    def step(level: Column, x: Column) -> tuple[Column, Column]:
+        short = x["e"] - x["w"]
+        moist = F.when(short > 0, level * F.exp(-short / p.soil_cap)).otherwise(level - short)
+        kept = F.least(moist, F.lit(p.soil_cap))
+        return kept, moist - kept
+
+    return scan(start, F.arrays_zip(water.alias("w"), demand.alias("e")), step)
+
+
+def reservoir(start: Column, recharge: Column, days: Column, p: Stores) -> Column:
+    """Groundwater; its output is the flow that a linear reservoir gives in the month."""
+
+    def step(level: Column, x: Column) -> tuple[Column, Column]:
+        held = level + x["r"]
+        flow = held * -F.expm1(-x["d"] / p.gw_days)
+        return held - flow, flow
+
+    return scan(start, F.arrays_zip(recharge.alias("r"), days.alias("d")), step)
+
+
+def total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+
+
+def month_days() -> Column:
+    return F.array(*(F.lit(float(d)) for d in MONTH_DAYS))
+
+
+def water_year(temp: Column, rain: Column, pet: Column, years: int, stores: Stores = Stores()) -> Column:
+    """snow, soil, gw after ``years`` of the same twelve months from empty stores, and
+    the last year's aet and runoff. ``temp``, ``rain`` (rain and snow together) and
+    ``pet`` are arrays of twelve."""
+    again = lambda x: F.flatten(F.array_repeat(x, years))
+    days, last, zero = again(month_days()), lambda x: total(F.slice(x, -12, 12)), F.lit(0.0)
+
+    def from_soil(snow: Column, ground: Column, water_last: Column) -> Column:
+        def from_gw(gw: Column) -> Column:
+            surplus = last(ground["out"])
+            before = ground["before"]
+            return F.struct(
+                snow["level"].alias("snow"), ground["level"].alias("soil"), gw["level"].alias("gw"),
+                (water_last + before - ground["level"] - surplus).alias("aet"), (surplus * (1 - stores.seepage) + last(gw["out"])).alias("runoff"),
+            )
+
+        return once(reservoir(zero, F.transform(ground["out"], lambda x: x * stores.seepage), days, stores), from_gw)
+
+    def from_snow(snow: Column) -> Column:
+        # the soil up to the last year, and then that year
+        early = F.slice(snow["out"], 1, 12 * (years - 1)) if years > 1 else F.array().cast("array<double>")
+        first = soil(zero, early, F.slice(again(pet), 1, 12 * (years - 1)) if years > 1 else F.array().cast("array<double>"), stores)
+
+        def join(a: Column) -> Column:
+            end = soil(a["level"], F.slice(snow["out"], -12, 12), pet, stores)
+            whole = once(end, lambda b: F.struct(b["level"].alias("level"), F.concat(a["out"], b["out"]).alias("out"), a["level"].alias("before")))
+            return once(whole, lambda ground: from_soil(snow, ground, last(snow["out"])))
+
+        return once(first, join)
+
+    return once(pack(zero, again(temp), again(rain), days, stores), from_snow)
+
+
+def periodic_year(temp: Column, rain: Column, pet: Column, stores: Stores = Stores(), halvings: int = 30) -> Column:
+    """snow, soil and gw at the end of the year that repeats itself, its aet and runoff,
+    and ``change``: by how much the three levels still differ from those it began with.
+
+    Of several such years that which empty stores come to. The soil's level is known
+    to its capacity over 2 ** ``halvings``.
     """
-    zero, decay = F.lit(0.0), exp(-sum(MONTH_DAYS) / gw_days)
-    names = ("snow", "soil", "gw", "aet", "runoff", "change", "next_snow", "next_soil", "next_gw", "moved")
-    begin = F.struct(*(zero.alias(n) for n in names), F.lit(0).alias("years"), F.lit(False).alias("done"))
-
-    def ended(s: Column, y: Column) -> Column:
-        snow, soil, gw = y["snow"] - s["next_snow"], y["soil"] - s["next_soil"], y["gw"] - s["next_gw"]
-        change = F.abs(snow) + F.abs(soil) + F.abs(gw)
-        alpha = F.when((s["moved"] * soil > 0) & (F.abs(soil) < F.abs(s["moved"])), soil / s["moved"]).otherwise(zero)
-        return F.struct(
-            *(y[n].alias(n) for n in ("snow", "soil", "gw", "aet", "runoff")), change.alias("change"),
-            F.when((y["low"] > 0) & (snow > 0), F.lit(snow_cap)).otherwise(y["snow"]).alias("next_snow"),
-            F.greatest(zero, F.least(F.lit(soil_cap), (y["soil"] - alpha * s["next_soil"]) / (1 - alpha))).alias("next_soil"),
-            ((y["gw"] - decay * s["next_gw"]) / (1 - decay)).alias("next_gw"),
-            soil.alias("moved"), (s["years"] + 1).alias("years"), (change <= tolerance).alias("done"),
-        )
-
-    def year(s: Column, _: Column) -> Column:
-        start = F.struct(*(s[f"next_{n}"].alias(n) for n in ("snow", "soil", "gw")))
-        run = water_year(temp, rain, pet, 1, snow_cap=snow_cap, soil_cap=soil_cap, gw_days=gw_days, start=start)
-        # an array of one, so that the year is run once for all that is read of it
-        return F.when(s["done"], s).otherwise(F.transform(F.array(run), lambda y: ended(s, y))[0])
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(most_years)), begin, year)
+    days, zero = month_days(), F.lit(0.0)
+    snow_year = lambda level: pack(level, temp, rain, days, stores)
+
+    def settled_snow(a: Column) -> Column:
+        """What the pack begins the year with: it melts away at some time, or grows to its cap."""
+        return once(snow_year(a)["level"], lambda b: F.when(b > a, snow_year(F.lit(stores.snow_cap))["level"]).otherwise(b))
+
+    def with_snow(begin: Column) -> Column:
+        return once(snow_year(begin), lambda snow: once(settled_soil(snow["out"]), lambda at: with_soil(begin, snow, at)))
+
+    def settled_soil(water: Column) -> Column:
+        """The least level that a year does not raise."""
+
+        def halve(s: Column, _: Column) -> Column:
+            middle = (s["lo"] + s["hi"]) / 2
+            rises = soil(middle, water, pet, stores)["level"] > middle
+            return once(F.struct(middle.alias("m"), rises.alias("r")), lambda x: F.struct(F.when(x["r"], x["m"]).otherwise(s["lo"]).alias("lo"), F.when(x["r"], s["hi"]).otherwise(x["m"]).alias("hi")))
+
+        found = F.aggregate(F.sequence(F.lit(1), F.lit(halvings)), F.struct(zero.alias("lo"), F.lit(stores.soil_cap).alias("hi")), halve, lambda s: s["hi"])
+        return F.when(soil(zero, water, pet, stores)["level"] <= 0, zero).otherwise(found)
+
+    def with_soil(snow0: Column, snow: Column, soil0: Column) -> Column:
+        def rest(ground: Column) -> Column:
+            recharge = F.transform(ground["out"], lambda x: x * stores.seepage)
+            empty = reservoir(zero, recharge, days, stores)["level"]
+            kept = F.exp(F.lit(-sum(MONTH_DAYS) / stores.gw_days))
+            return once(empty / (1 - kept), lambda gw0: once(reservoir(gw0, recharge, days, stores), lambda gw: F.struct(
+                snow["level"].alias("snow"), ground["level"].alias("soil"), gw["level"].alias("gw"),
+                (total(snow["out"]) + soil0 - ground["level"] - total(ground["out"])).alias("aet"),
+                (total(ground["out"]) * (1 - stores.seepage) + total(gw["out"])).alias("runoff"),
+                (F.abs(snow["level"] - snow0) + F.abs(ground["level"] - soil0) + F.abs(gw["level"] - gw0)).alias("change"),
+            )))
+
+        return once(soil(soil0, snow["out"], pet, stores), rest)
+
+    return once(snow_year(zero)["level"], lambda a: once(settled_snow(a), with_snow))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillgrid.session import cut
+
 #: The eight directions, clockwise from north.
 DIRECTIONS = ((-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1))
 
@@ -32,32 +36,36 @@ def bilinear(points: DataFrame, grid: DataFrame, quarter: int = 4) -> DataFrame:
     )
 
 
-def nearest_k(queries: DataFrame, points: DataFrame, k: int, bucket: int, most_rings: int = 12) -> DataFrame:
+def nearest_k(queries: DataFrame, points: DataFrame, k: int, bucket: int) -> DataFrame:
     """The ``k`` nearest of ``points`` (pid, x, y) to each of ``queries`` (qid, qx, qy), exact,
-    ties by id. Points meet queries in buckets; a query is settled once its k-th
-    distance is within the ring searched, and only unsettled ones search a wider ring."""
-    points = points.withColumns({"bx": F.expr(f"x div {bucket}"), "by": F.expr(f"y div {bucket}")})
-    left, done = queries, None
-    ring = 1
+    ties by id; all of them where there are fewer.
+
+    Points meet queries in a query's own bucket and the eight around it, which hold all
+    that is nearer than a bucket's side. A query is settled once its k-th distance is
+    under that; the others look again in buckets twice as wide, until one is as wide as
+    everything. So a query far from all points costs a few more rounds, not more buckets.
+    """
+    spread = lambda df, x, y: df.agg(F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1"))
+    box = spread(points, "x", "y").unionByName(spread(queries, "qx", "qy")).agg(F.max("x1") - F.min("x0"), F.max("y1") - F.min("y0")).first()
+    widest = max(0, *(v or 0 for v in box))
+    at = lambda c: F.floor(F.col(c) / F.lit(bucket))
+    left, done = queries, []
+    around = F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)))
     while True:
-        span = F.sequence(F.lit(-ring), F.lit(ring))
-        probes = left.withColumn("_dx", F.explode(span)).withColumn("_dy", F.explode(span)).select(
-            "qid", "qx", "qy", (F.expr(f"qx div {bucket}") + F.col("_dx")).alias("bx"), (F.expr(f"qy div {bucket}") + F.col("_dy")).alias("by")
-        )
+        probes = left.select("qid", "qx", "qy", F.explode(around).alias("_d")).select("qid", "qx", "qy", (at("qx") + F.col("_d.dx")).alias("bx"), (at("qy") + F.col("_d.dy")).alias("by"))
         d2 = (F.col("x") - F.col("qx")) * (F.col("x") - F.col("qx")) + (F.col("y") - F.col("qy")) * (F.col("y") - F.col("qy"))
-        near = probes.join(points, ["bx", "by"]).select("qid", "pid", d2.alias("d2"))
-        w = Window.partitionBy("qid").orderBy("d2", "pid")
-        best = near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-        settled = best.filter((F.col("rank") == k) & (F.col("d2") < (ring * bucket) ** 2)).select("qid")
-        if ring >= most_rings:
-            out = best
-            return out if done is None else done.unionByName(out)
-        got = best.join(settled, "qid", "left_semi")
-        done = got if done is None else done.unionByName(got)
-        left = left.join(settled, "qid", "left_anti")
+        near = probes.join(points.withColumns({"bx": at("x"), "by": at("y")}), ["bx", "by"]).select("qid", "pid", d2.alias("d2"))
+        rank = F.row_number().over(Window.partitionBy("qid").orderBy("d2", "pid"))
+        best = cut(near.withColumn("rank", rank).filter(F.col("rank") <= k))
+        if bucket > widest:
+            done.append(best)
+            return reduce(DataFrame.unionByName, done)
+        settled = best.filter((F.col("rank") == k) & (F.col("d2") < bucket * bucket)).select("qid")
+        done.append(best.join(settled, "qid", "left_semi"))
+        left = cut(left.join(settled, "qid", "left_anti"))
         if not left.head(1):
-            return done
-        ring *= 2
+            return reduce(DataFrame.unionByName, done)
+        bucket *= 2
 
 
 def within_radius(points: DataFrame, x: int, y: int, radius: int, limit: int) -> DataFrame:

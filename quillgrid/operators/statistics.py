@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgrid.operators.graph import cut
@@ -73,15 +73,15 @@ def block_mean(grid: DataFrame, row: str, col: str, value: str, factor: int) ->
     )
 
 
-def window_fusion(grid: DataFrame, row: str, col: str, value: str, size: int, stride: int) -> DataFrame:
+def window_fusion(grid: DataFrame, row: str, col: str, value: str, size: int, stride: int, seen: Column | None = None) -> DataFrame:
     """Overlapping windows of ``size`` cells at every ``stride``, triangular integer
     weights; each cell becomes sum(w v) / sum(w). Windows of a cell are made by a
-    bounded explode (size / stride in each direction)."""
+    bounded explode (size / stride in each direction). ``seen`` is what a window makes of
+    its cell's value, given the window's numbers ``_wi`` and ``_wj``: the value itself unless given."""
     def starts(x: str) -> str:
         return f"filter(transform(sequence(0, {size // stride - 1}), k -> ({x} div {stride} - k)), s -> s >= 0)"
 
     weight = lambda x, s: f"least({x} - {s} * {stride} + 1, {size} - ({x} - {s} * {stride}))"
     rows = grid.withColumn("_wi", F.explode(F.expr(starts(row)))).withColumn("_wj", F.explode(F.expr(starts(col))))
-    # what a window makes of its cell here is the cell's value plus the window's parity
-    rows = rows.select(row, col, (F.col(value) + (F.col("_wi") + F.col("_wj")) % 2).alias("_v"), F.expr(f"{weight(row, '_wi')} * {weight(col, '_wj')}").alias("_w"))
+    rows = rows.select(row, col, (F.col(value) if seen is None else seen).alias("_v"), F.expr(f"{weight(row, '_wi')} * {weight(col, '_wj')}").alias("_w"))
     return rows.groupBy(row, col).agg((F.sum(F.col("_w") * F.col("_v")) / F.sum("_w")).alias("fused"))

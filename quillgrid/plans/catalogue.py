@@ -116,11 +116,8 @@ def splitmix_draw(spark, sf_dir):
     SELECT lam, k, count(*) AS n FROM k GROUP BY 1, 2""",
 )
 def poisson_counts(spark, sf_dir):
-    """Inverse CDF by the recurrence p(n) = p(n - 1) lam / n, up to 40."""
     df = table(spark, sf_dir, "orders").select((1 + F.col("o_orderkey") % 5).alias("lam"), keys.to_unit(keys.cell_key(42, DRAW, F.col("o_orderkey"))).alias("u"))
-    k = F.expr("""aggregate(sequence(1, 40), named_struct('p', exp(-CAST(lam AS DOUBLE)), 'c', exp(-CAST(lam AS DOUBLE)), 'k', IF(exp(-CAST(lam AS DOUBLE)) <= u, 1, 0)),
-        (s, n) -> named_struct('p', s.p * lam / n, 'c', s.c + s.p * lam / n, 'k', s.k + IF(s.c + s.p * lam / n <= u, 1, 0)), s -> CAST(s.k AS BIGINT))""")
-    return df.groupBy("lam", k.alias("k")).agg(F.count("*").alias("n"))
+    return df.groupBy("lam", keys.poisson(F.col("u"), F.col("lam").cast("double")).alias("k")).agg(F.count("*").alias("n"))
 
 
 # ---- exact budgets -----------------------------------------------------------
@@ -221,7 +218,9 @@ def block_mean_complete(spark, sf_dir):
     SELECT r, c, round(sum(w * v)::DOUBLE / sum(w)::DOUBLE, 6) AS fused FROM w GROUP BY 1, 2""",
 )
 def window_fusion(spark, sf_dir):
-    return st.window_fusion(fx.grid(spark, sf_dir), "r", "c", "z", 64, 32).select("r", "c", F.round("fused", 6).alias("fused"))
+    """Windows that each see the height plus their own parity, fused again."""
+    seen = F.col("z") + (F.col("_wi") + F.col("_wj")) % 2
+    return st.window_fusion(fx.grid(spark, sf_dir), "r", "c", "z", 64, 32, seen).select("r", "c", F.round("fused", 6).alias("fused"))
 
 
 # ---- joins ------------------------------------------------------------------
@@ -367,9 +366,9 @@ def upstream_watershed(spark, sf_dir):
     f"WITH RECURSIVE {fx.FOREST_SQL}, p AS (SELECT max(cell) AS cell, 0 AS step FROM f UNION ALL SELECT f.receiver, step + 1 FROM p JOIN f ON f.cell = p.cell WHERE f.receiver IS NOT NULL) SELECT cell, step::BIGINT AS step FROM p",
 )
 def downstream_path(spark, sf_dir):
-    fx.forest(spark, sf_dir).createOrReplaceTempView("quillgrid_forest")
-    return spark.sql("""WITH RECURSIVE p(cell, step) AS (SELECT max(cell), 0L FROM quillgrid_forest
-        UNION ALL SELECT f.receiver, step + 1L FROM p JOIN quillgrid_forest f ON f.cell = p.cell WHERE f.receiver IS NOT NULL) SELECT cell, step FROM p""")
+    """The cells that the last cell drains through, by doubling."""
+    f = fx.forest(spark, sf_dir)
+    return graph.downstream(f, f.agg(F.max("cell").alias("cell"))).select("cell", "step")
 
 
 @query(
@@ -623,10 +622,10 @@ def climate(spark, sf_dir):
 
 @query("periodic_water_balance")
 def periodic_water_balance(spark, sf_dir):
-    """The periodic snow, soil and groundwater state: years are run until the stores
-    change by 0.01 mm at most, 40 at most; what they still change by is returned."""
+    """The snow, soil and groundwater state that a year returns to; what it still changes
+    them by is returned."""
     df = climate(spark, sf_dir).withColumn("s", monthly.periodic_year(F.col("temp"), F.col("rain"), F.col("pet")))
-    return df.select("cell", *(F.round(f"s.{c}", 4).alias(c) for c in ("snow", "soil", "gw", "aet", "runoff", "change")), "s.years")
+    return df.select("cell", *(F.round(f"s.{c}", 4).alias(c) for c in ("snow", "soil", "gw", "aet", "runoff", "change")))
 
 
 # ---- audits and selection ------------------------------------------------------------

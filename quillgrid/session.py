@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Set by the cluster; a folder all executors share.
 CHECKPOINT_KEY = "spark.checkpoint.dir"
@@ -27,15 +27,23 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8) -> SparkSess
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; only where it names none
-    (tests, one machine) a temporary folder is set."""
+    """The shared folder that the cluster names; only on one machine (master ``local``)
+    and where none is named, a temporary folder is set."""
     sc = spark.sparkContext
     named = spark.conf.get(CHECKPOINT_KEY, None)
     if not named:
         current = sc._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError(f"{CHECKPOINT_KEY} names no folder that all executors share")
         named = tempfile.mkdtemp(prefix="quillgrid-checkpoint-")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(named)
     return named
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Writes ``df`` to the shared checkpoint folder and reads it from there: the lineage ends here."""
+    checkpoint_root(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -94,3 +94,69 @@ def test_running_totals_of_one_large_group(spark):
         for r in sorted((r for r in got if r.g == g), key=lambda r: (-r.o, r.k)):
             assert r["_before"] == total and r["_all"] == sum(x[2] for x in rows if x[0] == g)
             total += r.v
+
+
+def test_far_points_are_found(spark):
+    pts = spark.createDataFrame([(k, 10_000 + k, -10_000) for k in range(6)], "pid long, x long, y long")
+    asks = spark.createDataFrame([(0, 0, 0), (1, 10_002, -10_000)], "qid long, qx long, qy long")
+    got = spatial.nearest_k(asks, pts, 4, 16).collect()
+    assert sorted((r.qid, r["rank"], r.pid) for r in got) == [(0, 1, 0), (0, 2, 1), (0, 3, 2), (0, 4, 3), (1, 1, 2), (1, 2, 1), (1, 3, 3), (1, 4, 0)]
+    assert spatial.nearest_k(asks, pts.filter("pid < 2"), 4, 16).count() == 4
+
+
+def test_orders_of_long_chains_and_trees(spark):
+    n = 10_000
+    rows = [(k, k + 1 if k + 1 < n else None) for k in range(n)]
+    got = graph.strahler(spark.createDataFrame(rows, "cell long, receiver long")).collect()
+    assert len(got) == n and {r.order for r in got} == {1}
+    random.seed(9)
+    receiver = {k: random.choice([None, *range(max(0, k - 4), k)]) if k else None for k in range(300)}
+    order = {}
+    for k in sorted(receiver, reverse=True):
+        given = sorted((order[d] for d in receiver if receiver[d] == k), reverse=True)
+        order[k] = 1 if not given else given[0] + (len(given) > 1 and given[0] == given[1])
+    got = graph.strahler(spark.createDataFrame(list(receiver.items()), "cell long, receiver long")).collect()
+    assert {r.cell: r.order for r in got} == order
+
+
+def test_long_way_down(spark):
+    nodes = spark.createDataFrame([(k, k - 1 if k else None) for k in range(3000)], "cell long, receiver long")
+    got = graph.downstream(nodes, spark.createDataFrame([(2999,), (4,)], "cell long")).collect()
+    assert sorted((r.start, r.step, r.cell) for r in got) == [(4, k, 4 - k) for k in range(5)] + [(2999, k, 2999 - k) for k in range(3000)]
+
+
+def test_windows_without_a_view_keep_the_value(spark):
+    g = spark.createDataFrame([(r, c, r * 10 + c) for r in range(8) for c in range(8)], "r long, c long, z long")
+    assert all(abs(x.fused - (x.r * 10 + x.c)) < 1e-9 for x in st.window_fusion(g, "r", "c", "z", 4, 2).collect())
+
+
+def test_poisson_counts_have_no_cut_tail(spark):
+    import math
+
+    from quillgrid.functions import keys
+
+    def plain(u, lam):
+        p = c = math.exp(-lam)
+        k = 0
+        while c <= u:
+            k += 1
+            p *= lam / k
+            c += p
+        return k
+
+    rows = [(u, lam) for lam in (0.5, 4.0, 45.0, 200.0, 600.0) for u in (0.0, 0.3, 0.9, 0.999999, 1 - 2**-40)]
+    got = spark.createDataFrame(rows, "u double, lam double").select("u", "lam", keys.poisson(F.col("u"), F.col("lam")).alias("k")).collect()
+    assert all(r.k == plain(r.u, r.lam) for r in got) and max(r.k for r in got) > 700
+
+
+def test_water_closes(spark):
+    """Rain is what evaporates, runs off and stays in the stores."""
+    from quillgrid.operators import monthly
+
+    random.seed(3)
+    rows = [(k, [random.uniform(-20, 25) for _ in range(12)], [random.uniform(0, 200) for _ in range(12)], [random.uniform(0, 150) for _ in range(12)]) for k in range(40)]
+    df = spark.createDataFrame(rows, "k int, t array<double>, p array<double>, e array<double>")
+    args = F.col("t"), F.col("p"), F.col("e")
+    for r in df.select("p", monthly.water_year(*args, 1).alias("y"), monthly.periodic_year(*args).alias("s")).collect():
+        assert abs(sum(r.p) - r.y.aet - r.y.runoff - r.y.snow - r.y.soil - r.y.gw) < 1e-6
+        assert r.s.change < 1e-3 and abs(sum(r.p) - r.s.aet - r.s.runoff) < 2e-3

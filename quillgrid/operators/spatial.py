@@ -68,6 +68,25 @@ def nearest_k(queries: DataFrame, points: DataFrame, k: int, bucket: int) -> Dat
         bucket *= 2
 
 
+def meeting_boxes(boxes: DataFrame, asks: DataFrame, bucket: int, period: int | None = None) -> DataFrame:
+    """(id, ask) of half-open boxes (x0, y0, x1, y1) that overlap; with ``period``, asks
+    are also tried one world width to either side. Boxes meet in the buckets they lie
+    over, so there is a key to join by; a pair that shares several buckets is counted
+    in the one with the upper corner of its overlap, so none needs sorting out."""
+    def laid(df: DataFrame) -> DataFrame:
+        span = lambda a, b: F.sequence(F.floor(F.col(a) / bucket), F.floor((F.col(b) - 1) / bucket))
+        return df.withColumn("bx", F.explode(span("x0", "x1"))).withColumn("by", F.explode(span("y0", "y1")))
+
+    if period is not None:
+        asks = asks.withColumn("_s", F.explode(F.array(F.lit(-period), F.lit(0), F.lit(period))))
+        asks = asks.withColumns({"x0": F.col("x0") + F.col("_s"), "x1": F.col("x1") + F.col("_s")}).drop("_s")
+    a, b = laid(boxes).alias("a"), laid(asks.withColumnRenamed("id", "ask")).alias("b")
+    left, top = F.greatest("a.x0", "b.x0"), F.greatest("a.y0", "b.y0")
+    overlap = (left < F.least("a.x1", "b.x1")) & (top < F.least("a.y1", "b.y1"))
+    first = (F.floor(left / bucket) == F.col("bx")) & (F.floor(top / bucket) == F.col("by"))
+    return a.join(b, ["bx", "by"]).filter(overlap & first).select("id", "ask")
+
+
 def within_radius(points: DataFrame, x: int, y: int, radius: int, limit: int) -> DataFrame:
     """The nearest ``limit`` points of one place within a radius (a top-k, never a full sort)."""
     d2 = (F.col("x") - x) * (F.col("x") - x) + (F.col("y") - y) * (F.col("y") - y)

@@ -7,7 +7,7 @@ import pytest
 
 from quillgrid.functions import hydrology
 from quillgrid.operators import spatial
-from quillgrid.plans import catalogue, catalogue_more  # noqa: F401
+from quillgrid.plans import catalogue, catalogue_fields, catalogue_more  # noqa: F401
 from quillgrid.plans import fixtures as fx
 
 SF = "/root/testdata/sf0.001"

@@ -421,16 +421,6 @@ def dilate_k2(spark, sf_dir):
     return graph.dilate(g.filter("z > 3900"), g, 2)
 
 
-@query(
-    "route_monthly",
-    f"""WITH RECURSIVE {fx.FOREST_SQL}, up AS (SELECT cell AS source, cell FROM f UNION ALL SELECT up.source, f.receiver FROM up JOIN f ON up.cell = f.cell WHERE f.receiver IS NOT NULL)
-    SELECT cell, m AS month, sum((source * (m + 1)) % 10)::BIGINT AS outflow FROM up, unnest(range(12)) t(m) WHERE cell < 200 GROUP BY 1, 2""",
-)
-def route_monthly(spark, sf_dir):
-    """The first 200 cells of ``route_monthly_all``."""
-    return route_monthly_all(spark, sf_dir).filter("cell < 200")
-
-
 @query(
     "route_monthly_all",
     f"""WITH RECURSIVE {fx.FOREST_SQL}, up AS (SELECT cell AS source, cell FROM f UNION ALL SELECT up.source, f.receiver FROM up JOIN f ON up.cell = f.cell WHERE f.receiver IS NOT NULL)
@@ -458,23 +448,10 @@ def land_mask_blocks(spark, sf_dir):
 
 
 @query(
-    "shore_distance",
+    "shore_distance_all",
     f"""WITH {fx.GRID_SQL}, w AS (SELECT r, c FROM g WHERE z < 0)
-    SELECT g.r, g.c, min(abs(g.r - w.r) + abs(g.c - w.c)) AS steps FROM g JOIN w ON abs(g.r - w.r) <= 12 AND abs(g.c - w.c) <= 12 WHERE abs(g.r - w.r) + abs(g.c - w.c) <= 12 GROUP BY 1, 2""",
+    SELECT g.r, g.c, min(abs(g.r - w.r) + abs(g.c - w.c))::BIGINT AS steps FROM g LEFT JOIN w ON true GROUP BY 1, 2""",
 )
-def shore_distance(spark, sf_dir):
-    """Steps along rows and columns to the nearest water, up to 12: two passes of windows
-    over rows and columns, no join."""
-    g = fx.grid(spark, sf_dir).withColumn("d", F.when(F.col("z") < 0, 0))
-    for line, along in (("r", "c"), ("c", "r")):
-        w = Window.partitionBy(line).orderBy(along)
-        before = F.min(F.col("d") - F.col(along)).over(w.rangeBetween(-12, 0)) + F.col(along)
-        after = F.min(F.col("d") + F.col(along)).over(w.rangeBetween(0, 12)) - F.col(along)
-        g = g.withColumn("d", F.least(before, after))
-    return g.filter("d <= 12").select("r", "c", F.col("d").cast("long").alias("steps"))
-
-
-@query("shore_distance_all")
 def shore_distance_all(spark, sf_dir):
     """Steps along rows and columns to the nearest water, of every cell; null without
     any water."""
@@ -535,19 +512,6 @@ def flow_statistics(spark, sf_dir):
     return months(spark, sf_dir).select("cell", *(v.alias(k) for k, v in s.items()))
 
 
-@query(
-    "channel_hydraulics",
-    f"""WITH {MONTHS_SQL}, a AS (SELECT cell, slope, greatest(list_sum(list_transform(range(1, 13), lambda m: q[m] * ({SECONDS_SQL})[m])) / list_sum({SECONDS_SQL}), 1e-12) AS mean, q[7] AS f FROM mo),
-    b AS (SELECT *, 7.2 * sqrt(mean) * pow(f / mean, 0.26) AS w FROM a),
-    c AS (SELECT *, CASE WHEN slope >= 1e-5 THEN pow(f * 0.035 / (w * sqrt(greatest(slope, 1e-5))), 0.6) ELSE 0.27 * pow(mean, 0.39) * pow(f / mean, 0.40) END AS d FROM b)
-    SELECT cell, round(CASE WHEN f > 0 THEN w ELSE 0 END, 6)::DOUBLE AS width_m, round(CASE WHEN f > 0 THEN d ELSE 0 END, 6)::DOUBLE AS depth_m, round(CASE WHEN f > 0 THEN f / (w * d) ELSE 0 END, 6)::DOUBLE AS velocity_m_s FROM c""",
-)
-def channel_hydraulics(spark, sf_dir):
-    """July's channel of each cell; ``channel_hydraulics_monthly`` has all months."""
-    h = hydrology.channel(F.col("q")[6], F.col("mean"), F.col("slope"))
-    return months(spark, sf_dir).withColumn("mean", hydrology.month_mean(F.col("q"))).select("cell", *(F.round(v, 6).alias(k) for k, v in h.items()))
-
-
 @query(
     "channel_hydraulics_monthly",
     f"""WITH {MONTHS_SQL}, a AS (SELECT cell, slope, m AS month, greatest(list_sum(list_transform(range(1, 13), lambda k: q[k] * ({SECONDS_SQL})[k])) / list_sum({SECONDS_SQL}), 1e-12) AS mean, q[m + 1] AS f FROM mo, unnest(range(12)) t(m)),
@@ -685,18 +649,6 @@ def lru_evict(spark, sf_dir):
     return a.withColumn("kept", F.sum("bytes").over(w)).filter("kept > 600").select("session", "key", "bytes")
 
 
-@query(
-    "job_rank",
-    f"""WITH {fx.REQUESTS_SQL}, p AS (SELECT session, event_id, event_id * 7 % 3000 AS priority, least(50, key) AS age FROM q)
-    SELECT session, event_id, row_number() OVER (PARTITION BY session ORDER BY priority // 1000, priority % 1000 - age, event_id)::INTEGER AS rank FROM p QUALIFY rank <= 10""",
-)
-def job_rank(spark, sf_dir):
-    """The first ten jobs of each session, by the order of ``job_rank_all``."""
-    p = fx.requests(spark, sf_dir).select("session", "event_id", (F.col("event_id") * 7 % 3000).alias("priority"), F.least(F.lit(50), "key").alias("age"))
-    w = Window.partitionBy("session").orderBy(F.expr("priority div 1000"), F.col("priority") % 1000 - F.col("age"), "event_id")
-    return p.withColumn("rank", F.row_number().over(w)).filter("rank <= 10").select("session", "event_id", "rank")
-
-
 @query(
     "job_rank_all",
     f"""WITH {fx.REQUESTS_SQL}, p AS (SELECT session, event_id, event_id * 7 % 3000 AS priority, least(50, key) AS age FROM q)

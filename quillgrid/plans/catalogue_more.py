@@ -162,20 +162,6 @@ def queue_backpressure(spark, sf_dir):
     return r.select("event_id", (F.row_number().over(Window.partitionBy("b").orderBy("event_id")) > 64).alias("rejected"))
 
 
-@query(
-    "priority_near_camera",
-    f"""WITH {fx.GRID_SQL}, w AS (SELECT r // 8 AS wi, c // 8 AS wj, max(z) < 3000 AS sea FROM g GROUP BY 1, 2)
-    SELECT wi, wj, row_number() OVER (ORDER BY sea, NOT (abs(wi - 10) <= 3 AND abs(wj - 4) <= 3), (wi - 10) * (wi - 10) + (wj - 4) * (wj - 4), wi, wj)::INTEGER AS rank FROM w ORDER BY rank LIMIT 100""",
-)
-def priority_near_camera(spark, sf_dir):
-    """The first hundred windows of ``priority_near_camera_all``; ranked after the top-k."""
-    w = fx.grid(spark, sf_dir).groupBy(F.expr("r div 8").alias("wi"), F.expr("c div 8").alias("wj")).agg((F.max("z") < 3000).alias("sea"))
-    di, dj = F.col("wi") - 10, F.col("wj") - 4
-    w = w.withColumns({"hidden": ~((F.abs(di) <= 3) & (F.abs(dj) <= 3)), "d2": di * di + dj * dj})
-    order = ("sea", "hidden", "d2", "wi", "wj")
-    return w.orderBy(*order).limit(100).withColumn("rank", F.row_number().over(Window.orderBy(*order))).select("wi", "wj", "rank")
-
-
 @query(
     "priority_near_camera_all",
     f"""WITH {fx.GRID_SQL}, w AS (SELECT r // 8 AS wi, c // 8 AS wj, max(z) < 3000 AS sea FROM g GROUP BY 1, 2)

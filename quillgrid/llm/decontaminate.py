@@ -52,9 +52,9 @@ def decontaminate(
     item_text_col: str = "text", span: int = 10, gram: int = 5, broadcast_rows: int = 1_000_000,
 ) -> DataFrame:
     """Per row of ``docs``: the id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    d = with_key(pick(docs, id_col, text_col)).withColumn("_words", words_of(F.col("_text"))).drop("_text")
+    d = with_key(pick(docs, id_col, text_col))
     hit = hits(d, benchmark, item_col, item_text_col, span, gram, broadcast_rows)
-    base = d.select("_id", "_h", F.size("_words").cast("long").alias("n_words"))
+    base = d.select("_id", "_h", F.size(words_of(F.col("_text"))).cast("long").alias("n_words"))
     return base.join(hit, same_key(base, hit), "left").select(
         base["_id"].alias(id_col), "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
@@ -67,14 +67,15 @@ def decontaminate(
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 10, gram: int = 5, broadcast_rows: int = 1_000_000) -> DataFrame:
     """The rows of ``docs``, all columns, in which no window of the benchmark occurs."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    d = with_key(pick(docs, id_col, text_col)).withColumn("_words", words_of(F.col("_text"))).drop("_text")
+    d = with_key(pick(docs, id_col, text_col))
     hit = hits(d, benchmark, "item_id", "text", span, gram, broadcast_rows).select("_id", "_h")
     return docs.join(hit, docs[id_col].eqNullSafe(hit["_id"]) & (F.xxhash64(text) == hit["_h"]), "left_anti")
 
 
-def hits(d: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, span: int, gram: int, broadcast_rows: int) -> DataFrame:
-    """(_id, _h, n_hit, n_items, items_sha256) of the documents ``d`` (_id, _h, _words) with a hit."""
+def hits(texts: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, span: int, gram: int, broadcast_rows: int) -> DataFrame:
+    """(_id, _h, n_hit, n_items, items_sha256) of the documents ``texts`` (_id, _h, _text) with a hit."""
     width = span - gram + 1
+    d = texts.withColumn("_words", words_of(F.col("_text"))).drop("_text")
     items = pick(benchmark, item_col, item_text_col).select(
         F.coalesce(F.col("_id").cast("string"), F.lit("")).alias("_item"), words_of(F.col("_text")).alias("_words")
     ).filter(F.size("_words") > 0).withColumn("_len", F.least(F.size("_words"), F.lit(span)))
@@ -105,7 +106,9 @@ def hits(d: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str,
         )
     found = found.groupBy("_id", "_h").agg(F.collect_set(F.struct("_len", "_g")).alias("_found"))
 
-    near = d.join(found.withColumnsRenamed({"_id": "_id2", "_h": "_h2"}), F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_h") == F.col("_h2")))
+    # texts are dealt, not their words, and cut again where a fingerprint met
+    near = texts.join(found.withColumnsRenamed({"_id": "_id2", "_h": "_h2"}), F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_h") == F.col("_h2")))
+    near = near.select("_id", "_h", "_found", words_of(F.col("_text")).alias("_words"))
     starts = [
         # places of a met fingerprint, and back from each to every window start that holds it
         f"""IF(size(_words) < {span}, array(), flatten(transform(filter(transform({_grams(gram)}, (g, i) -> struct(g, i)),

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.session import checkpoint_root
+from quillgrid.session import cut as cut
 
 #: Fixed value: the ASCII capitals and what they become.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -46,8 +46,11 @@ def same_key(a: DataFrame, b: DataFrame, keys: Sequence[str] = ("_id", "_h")) ->
     return out
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the shared checkpoint folder and reads it from there:
-    a lost executor then costs a reread, not the whole lineage."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+def fresh(columns: Sequence[str], *names: str) -> list[str]:
+    """``names`` with underscores put before them until none is among ``columns``, in any case."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        out.append(n)
+    return out

@@ -12,6 +12,9 @@ language, source and id are never inputs of a score.
 
 Defined results: a null text is empty (all statistics zero) and gets the score of
 that; without learnable rows of both labels every score is the share of label 1.
+Repeated rows are each scored, alike, and count once in learning; of rows with the
+same hash the lesser id is learned first; a long text is taken whole; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -144,7 +147,7 @@ def learn(
     )
     order = (F.xxhash64("_lid"), F.col("_lid"))
     chosen = named.filter("_y = 1").orderBy(*order).limit(per_class).unionByName(named.filter("_y = 0").orderBy(*order).limit(per_class)).distinct()
-    texts = docs.join(F.broadcast(chosen), docs[id_col] == F.col("_lid")).select(F.col("_lid"), F.col(f"`{text_col}`").alias("_t"), "_y")
+    texts = pick(docs, id_col, text_col).join(F.broadcast(chosen), F.col("_id") == F.col("_lid")).select("_lid", F.col("_text").alias("_t"), "_y")
     stats, names = statistics(texts.select(F.struct("_lid", "_y").alias("_key"), "_t"), "_key", "_t")
     rows = stats.select("_id.*", *names).distinct().orderBy("_lid", "_y", *names).limit(4 * per_class).collect()
     x = np.array([[r[n] for n in names] for r in rows], dtype=float).reshape(-1, len(names))

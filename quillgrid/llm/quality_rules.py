@@ -5,11 +5,15 @@ Two histograms of a text are held against each language's reference by
 Jensen-Shannon distance (base 2, so between 0 and 1): shares of character
 classes, and shares of the language's ten most common words among all words.
 The nearest language counts. Texts below a guard length are not judged by a
-histogram that so few items cannot fill.
+histogram that so few items cannot fill. The references are of four languages in
+Latin letters: a text in which more than ``other_script`` of the characters are
+outside ASCII (prose in other scripts, where those of the four have a tenth at
+most) has no reference and is kept or refused by the base rules alone.
 
 Nothing is shuffled, nothing depends on other rows. A null text is an empty
-text: zero words, fails the base rule. Rows keep their multiplicity; columns
-other than the id and the text are not read.
+text: zero words, fails the base rule. A long text is taken whole, in arrays of its
+words and windows. Rows keep their multiplicity; an empty table gives an empty
+result; columns other than the id and the text are not read.
 """
 
 from __future__ import annotations
@@ -56,6 +60,7 @@ class Rules:
     class_guard_chars: int = 200
     word_distance: float = 0.29
     word_guard_words: int = 200
+    other_script: float = 0.35
 
 
 def js_distance(p: list[Column], q: list[float]) -> Column:
@@ -86,8 +91,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Per row: the id, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, kept, class_distance, word_distance.
 
-    Equal 3-word windows are found by sorting their 64-bit hashes; neighbours
-    with one hash are compared as words.
+    Equal 3-word windows are found by sorting their hashes (64 and 32 bits); neighbours
+    with the same are compared as words.
     """
     t, common = F.col("_text"), sorted({w for words in WORD_SHARES.values() for w in words})
     every_form = ", ".join(f"'{f}'" for w in common for f in forms(w))
@@ -101,7 +106,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         "word_chars": F.char_length(F.array_join("_words", "")).cast("long"),
         # each 3-word window's hash with its place, equal windows side by side
         "_sorted": F.expr("""IF(size(_words) < 3, array(), sort_array(transform(sequence(0, size(_words) - 3),
-            i -> struct(xxhash64(_words[i], _words[i + 1], _words[i + 2]) AS h, i AS i))))"""),
+            i -> struct(xxhash64(_words[i], _words[i + 1], _words[i + 2]) AS h, hash(_words[i], _words[i + 1], _words[i + 2]) AS g, i AS i))))"""),
         # the common words alone, each between two blanks of its own: occurrences are then counted by replacement
         "_common": F.expr(f"concat(' ', lower(regexp_replace(array_join(filter(_words, x -> x IN ({every_form})), '  '), '[,.]', '')), ' ')"),
     })
@@ -117,13 +122,13 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
         **{f"_c_{k}": removed(t, cls, F.col("_n")) for k, cls in CLASSES.items()},
         "_c_blank": F.col("_n") - F.col("word_chars"),
-        "_c_wide": (F.octet_length(t) - F.col("_n")).cast("long"),
+        "_c_wide": F.when(F.octet_length(t) > F.col("_n"), removed(t, r"^\x00-\x7F", F.col("_n"))).otherwise(F.lit(0).cast("long")),
         **{f"_w_{w}": (F.octet_length("_common") - F.octet_length(F.replace("_common", F.lit(f" {w} "), F.lit("")))) / (len(w) + 2) for w in common},
     })
     chars, words = F.greatest(F.col("_n"), F.lit(1)).cast("double"), F.greatest(F.col("n_words"), F.lit(1)).cast("double")
     seen = [F.col(f"_c_{k}") for k in (*CLASSES, "blank", "wide")]
-    # characters of three or four bytes count more than once as "wide"; the rest then stops at zero
-    shares = [c / chars for c in (*seen, F.greatest(F.col("_n") - sum(seen[1:], seen[0]), F.lit(0)))]
+    # blanks are ASCII, so no character is in two classes
+    shares = [c / chars for c in (*seen, F.col("_n") - sum(seen[1:], seen[0]))]
     by_class = [js_distance(shares, list(q)) for q in CLASS_SHARES.values()]
     by_word = []
     for q in WORD_SHARES.values():
@@ -134,6 +139,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     near = ((F.col("_n") < rules.class_guard_chars) | (F.col("class_distance") <= rules.class_distance)) & (
         (F.col("n_words") < rules.word_guard_words) | (F.col("word_distance") <= rules.word_distance)
     )
+    near = near | (F.col("_c_wide") > rules.other_script * F.col("_n"))
     return df.select(
         F.col("_id").alias(id_col), "n_words", "word_chars",
         F.col("_c_symbol").alias("n_symbols"), "n_dup_lines", "n_repeat_words",

@@ -47,7 +47,7 @@ def _op10_sql(rules: qr.Rules = qr.Rules()) -> str:
     classes = ", ".join(f"length(t) - length(regexp_replace(t, '[{c.replace(chr(39), chr(39) * 2)}]+', '', 'g')) AS c_{k}" for k, c in qr.CLASSES.items())
     counts = ", ".join(f"len(list_filter(ws, lambda w: w IN ({', '.join(repr(x) for x in qr.forms(w))}))) AS w_{w}" for w in words)
     seen = [f"c_{k}" for k in (*qr.CLASSES, "blank", "wide")]
-    shares = [f"(({c})::DOUBLE / greatest(n, 1))" for c in (*seen, f"greatest(n - ({' + '.join(seen)}), 0)")]
+    shares = [f"(({c})::DOUBLE / greatest(n, 1))" for c in (*seen, f"(n - ({' + '.join(seen)}))")]
     by_class = ", ".join(_js(shares, list(q)) for q in qr.CLASS_SHARES.values())
     by_word = []
     for q in qr.WORD_SHARES.values():
@@ -65,14 +65,14 @@ def _op10_sql(rules: qr.Rules = qr.Rules()) -> str:
             len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{ws}'))) AS n_lines,
             len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{ws}')))) AS n_lines1,
             coalesce(n_repeat, 0) AS n_repeat_words, n - length(regexp_replace(t, '{blanks}', '', 'g')) AS c_blank,
-            strlen(t) - n AS c_wide, {classes}, {counts}
+            n - length(regexp_replace(t, '[^\x00-\x7F]+', '', 'g')) AS c_wide, {classes}, {counts}
           FROM w LEFT JOIN repeated USING (r)),
     j AS (SELECT *, least({by_class}) AS jc, least({', '.join(by_word)}) AS jw,
             n_words < {rules.min_words} OR 100 * n_repeat_words > {rules.max_repeat_percent} * n_words AS base_failed FROM f)
     SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, c_symbol::BIGINT AS n_symbols,
       (n_lines - n_lines1)::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
-      NOT base_failed AND (n < {rules.class_guard_chars} OR jc <= {rules.class_distance})
-        AND (n_words < {rules.word_guard_words} OR jw <= {rules.word_distance}) AS kept
+      NOT base_failed AND ((n < {rules.class_guard_chars} OR jc <= {rules.class_distance})
+        AND (n_words < {rules.word_guard_words} OR jw <= {rules.word_distance}) OR c_wide > {rules.other_script} * n) AS kept
     FROM j"""
 
 

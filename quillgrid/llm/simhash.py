@@ -16,7 +16,8 @@ minimum-neighbour contraction (see ``components``).
 
 Defined results: a null or blank text has fingerprint zero and links like any
 other; a null id keeps its row and never names a component unless the whole
-component has none; repeated rows are each returned.
+component has none; repeated rows are each returned; long texts are hashed whole,
+in bounded pieces; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillgrid.llm.common import UPPER, LOWER, cut, pick, with_key
+from quillgrid.llm.common import LOWER, UPPER, cut, fresh, pick, with_key
 
 WORD = regex.compile(r"[^\x20\x09-\x0D]+")
 CAPITALS = str.maketrans(UPPER, LOWER)
@@ -162,12 +163,13 @@ def keep_one(
     order = F.struct(F.col("_id").isNull().alias("_none"), "_id", "_h", "_n")
     nodes = cut(rows.groupBy("_fp").agg(F.min(order).alias("_least")))
     best = rooted(nodes, distance, segments).groupBy("_root").agg(F.min("_least").alias("_k"))
-    found = cut(best.select(F.col("_k._id").alias("_kept"), F.col("_k._h").alias("_kept_h"), F.col("_k._n").alias("_n")))
+    id_name, hash_name, n_name, row_hash = fresh(docs.columns, "_kept", "_kept_h", "_n", "_row_h")
+    found = cut(best.select(F.col("_k._id").alias(id_name), F.col("_k._h").alias(hash_name), F.col("_k._n").alias(n_name)))
     digest = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
-    same = docs[id_col].eqNullSafe(F.col("_kept")) & (digest == F.col("_kept_h"))
-    once = docs.join(found.filter("_n = 1"), same, "left_semi")
-    many = found.filter("_n > 1")
+    same = docs[id_col].eqNullSafe(F.col(id_name)) & (digest == F.col(hash_name))
+    once = docs.join(found.filter(F.col(n_name) == 1), same, "left_semi")
+    many = found.filter(F.col(n_name) > 1)
     if not many.head(1):
         return once
-    repeated = docs.join(many, same, "left_semi").withColumn("_keep_one_h", digest)
-    return once.unionByName(repeated.dropDuplicates([id_col, "_keep_one_h"]).drop("_keep_one_h"))
+    repeated = docs.join(many, same, "left_semi").withColumn(row_hash, digest)
+    return once.unionByName(repeated.dropDuplicates([id_col, row_hash]).drop(row_hash))

@@ -598,6 +598,26 @@ def test_quality_rules_edges(spark):
     assert quality_rules.quality_rules(edges.empty(spark)).count() == 0
 
 
+def test_other_scripts_and_wide_characters(spark):
+    words = [f"слово{chr(0x430 + k % 30)}{k}" for k in range(240)]
+    rows = [(1, " ".join(words)), (2, "日本語の文章 " * 60 + " ".join(f"語{k}" for k in range(100))), (3, "кк " * 300)]
+    got = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].kept and got[3].base_failed and not got[3].kept
+    assert all(0 <= r.class_distance <= 1 and 0 <= r.word_distance <= 1 for r in got.values())
+
+
+def test_clashing_columns(spark):
+    names = "_kept", "_kept_h", "_n", "_row_h", "_keep_one_h", "_lid", "_y", "_t", "_row", "_spans", "_words", "_found", "_score"
+    extra = edges.table(spark).selectExpr("*", *(f"{k} AS {n}" for k, n in enumerate(names)))
+    labels = spark.createDataFrame([(1, 1, 0), (5, 0, 1), (6, 1, 0), (7, 0, 1), (9, 1, 1), (8, 0, 0)], "doc_id long, quality int, toxic int").selectExpr("*", "1 AS _y", "2 AS _text")
+    assert simhash.keep_one(extra).columns == extra.columns and simhash.keep_one(extra).count() == 7
+    assert quality_rulefit.score(extra, quality_rulefit.learn(extra, labels)).count() == len(edges.ROWS)
+    assert toxicity.without_toxic(extra, toxicity.learn(extra, labels)).columns == extra.columns
+    assert suffix_dedup.without_repeats(extra).columns == extra.columns and suffix_dedup.without_repeats(extra).count() == len(edges.ROWS)
+    assert decontaminate.without_contaminated(extra, extra.limit(0).selectExpr("doc_id AS item_id", "text")).count() == len(edges.ROWS)
+    assert quality_rules.quality_rules(extra).count() == len(edges.ROWS)
+
+
 def test_js_distance_bounds(spark):
     from pyspark.sql import functions as F
 

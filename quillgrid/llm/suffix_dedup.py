@@ -8,7 +8,7 @@ with one anchor make a segment. Segments are dealt by anchor, so that all
 occurrences of a window meet:
 
 * anchors that occur once are unique, and so are their windows;
-* segments that occur whole (told by 128 bits of hash) more than once are repeated,
+* segments that occur whole (told by 96 bits of hash) more than once are repeated,
   whatever their number: copies are counted, not compared;
 * the distinct segments of the other anchors go on to the merge.
 
@@ -61,7 +61,7 @@ def words_at(data: np.ndarray) -> np.ndarray:
 
 def segments(data: bytes, length: int) -> tuple[np.ndarray, ...] | None:
     """For each segment: first window start, ``SHAPE`` times the number of further
-    starts plus the anchor's place from the first, anchor hash, segment hash (two words)."""
+    starts plus the anchor's place from the first, anchor hash, segment hash (64 and 32 bits)."""
     if len(data) < length:
         return None
     w = words_at(np.frombuffer(data, np.uint8))
@@ -82,7 +82,7 @@ def segments(data: bytes, length: int) -> tuple[np.ndarray, ...] | None:
     at = place[starts]
     digest = xxhash.xxh3_128_digest
     whole = np.frombuffer(b"".join(digest(data[a : b + length]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.int64).reshape(-1, 2)
-    return starts, (ends - starts) * SHAPE + at - starts, g[at].view(np.int64), whole[:, 0], whole[:, 1]
+    return starts, (ends - starts) * SHAPE + at - starts, g[at].view(np.int64), whole[:, 0], whole[:, 1] >> 32
 
 
 def sort_suffixes(symbols: np.ndarray, starts: np.ndarray) -> np.ndarray:

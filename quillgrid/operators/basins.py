@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillgrid.operators.graph import roots, steepest_receivers
 from quillgrid.operators.spatial import neighbours
-from quillgrid.session import cut
+from quillgrid.session import cut, written
 
 
 def filled(grid: DataFrame) -> DataFrame:
@@ -23,30 +23,30 @@ def filled(grid: DataFrame) -> DataFrame:
     land = grid.select("cell", "outlet").withColumnRenamed("outlet", "_out")
     fall = steepest_receivers(grid.select("cell", "r", "c", "z")).join(land, "cell")
     down = roots(fall.select("cell", F.when(~F.col("_out"), F.col("receiver")).alias("receiver"))).select("cell", F.col("root").alias("basin"))
-    at = cut(grid.join(down, "cell"))
+    at = written(grid.join(down, "cell"))
     offers = neighbours(at, "r", "c", ["basin", "z"]).withColumnsRenamed({"basin": "b", "z": "_z"})
     passes = (
         at.join(offers, (at["r"] == offers["_r"]) & (at["c"] == offers["_c"])).filter("basin != b")
         .groupBy(F.col("basin").alias("a"), "b").agg(F.min(F.greatest("z", "_z")).alias("w"))
     )
-    basins = cut(at.filter("cell = basin").select("basin", F.col("basin").alias("label"), F.lit(None).cast(grid.schema["z"].dataType).alias("level"), F.col("outlet").alias("open")))
-    passes = cut(passes)
+    basins = written(at.filter("cell = basin").select("basin", F.col("basin").alias("label"), F.lit(None).cast(grid.schema["z"].dataType).alias("level"), F.col("outlet").alias("open")))
+    passes = written(passes)
     while True:
         groups = basins.groupBy("label").agg(F.bool_or("open").alias("open"))
         shut = groups.filter("NOT open").select(F.col("label").alias("a"))
         order = F.struct("w", F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"), "b")
-        pick = cut(passes.join(shut, "a", "left_semi").groupBy("a").agg(F.min(order).alias("k")).select("a", "k.w", "k.b"))
+        pick = written(passes.join(shut, "a", "left_semi").groupBy("a").agg(F.min(order).alias("k")).select("a", "k.w", "k.b"))
         if not pick.head(1):
             break
         # two groups that choose each other share one pass: the lesser label leads
         back = pick.select(F.col("a").alias("b"), F.col("b").alias("_back"))
         lead = pick.join(back, "b", "left").select(F.col("a").alias("cell"), F.when((F.col("_back") == F.col("a")) & (F.col("a") < F.col("b")), None).otherwise(F.col("b")).alias("receiver"))
         whole = groups.select(F.col("label").alias("cell")).join(lead, "cell", "left")
-        moved = roots(whole).select(F.col("cell").alias("label"), F.col("root").alias("to"))
+        moved = written(roots(whole).select(F.col("cell").alias("label"), F.col("root").alias("to")))
         raised = pick.select(F.col("a").alias("label"), "w")
-        basins = cut(basins.join(raised, "label", "left").join(moved, "label").select("basin", F.col("to").alias("label"), F.greatest("level", "w").alias("level"), "open"))
+        basins = written(basins.join(raised, "label", "left").join(moved, "label").select("basin", F.col("to").alias("label"), F.greatest("level", "w").alias("level"), "open"))
         one, two = (moved.select(F.col("label").alias(x), F.col("to").alias(f"_{x}")) for x in ("a", "b"))
-        passes = cut(passes.join(one, "a").join(two, "b").filter("_a != _b").groupBy(F.col("_a").alias("a"), F.col("_b").alias("b")).agg(F.min("w").alias("w")))
+        passes = written(passes.join(one, "a").join(two, "b").filter("_a != _b").groupBy(F.col("_a").alias("a"), F.col("_b").alias("b")).agg(F.min("w").alias("w")))
     reached = basins.join(groups.withColumnRenamed("open", "_reached"), "label").select("basin", "level", "_reached")
     level = F.when(F.col("_reached"), F.greatest("z", "level"))
     return at.join(reached, "basin").select("cell", level.alias("filled"), (level - F.col("z")).alias("depth"))
@@ -67,7 +67,7 @@ def way_to_stop(nodes: DataFrame, keys: list[str], most_rounds: int = 40) -> Dat
     at = cut(nodes.select(*keys, "cell", stop.alias("stop"), F.when(F.col("receiver").isNotNull(), F.col("length")).otherwise(F.lit(0)).alias("way")))
     for _ in range(most_rounds):
         jump = at.select(*keys, F.col("cell").alias("stop"), F.col("stop").alias("_next"), F.col("way").alias("_more"))
-        ahead = cut(at.join(jump, [*keys, "stop"]).select(*keys, "cell", F.col("_next").alias("stop"), (F.col("way") + F.col("_more")).alias("way"), (F.col("_next") != F.col("stop")).alias("_m")))
+        ahead = written(at.join(jump, [*keys, "stop"]).select(*keys, "cell", F.col("_next").alias("stop"), (F.col("way") + F.col("_more")).alias("way"), (F.col("_next") != F.col("stop")).alias("_m")))
         at = ahead.drop("_m")
         if not ahead.filter("_m").head(1):
             last = nodes.select(*keys, F.col("cell").alias("stop"), "length")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,3 +48,13 @@ def cut(df: DataFrame) -> DataFrame:
     """Writes ``df`` to the shared checkpoint folder and reads it from there: the lineage ends here."""
     checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared checkpoint folder. Beside its lineage it also loses what
+    the planner has inferred of its columns, which a checkpoint keeps: in loops that join
+    their own results that grows from round to round until planning takes longest."""
+    spark = df.sparkSession
+    path = f"{checkpoint_root(spark)}/rounds-{uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

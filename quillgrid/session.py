@@ -51,9 +51,9 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the shared checkpoint folder. Beside its lineage it also loses what
-    the planner has inferred of its columns, which a checkpoint keeps: in loops that join
-    their own results that grows from round to round until planning takes longest."""
+    """``df`` as a table in the shared checkpoint folder. For loops that join
+    their own results, some of which grew slower from round to round with checkpoints
+    (likely by what the planner infers of columns, which a checkpoint keeps)."""
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/rounds-{uuid4().hex}"
     df.write.parquet(path)

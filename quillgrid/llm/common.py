@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgrid.session import cut as cut
+from quillgrid.session import written as written
 
 #: Fixed value: the ASCII capitals and what they become.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -54,3 +55,32 @@ def fresh(columns: Sequence[str], *names: str) -> list[str]:
             n = f"_{n}"
         out.append(n)
     return out
+
+
+def numbered(df: DataFrame, group: str, order: list, name: str = "_i") -> DataFrame:
+    """Adds ``name``, a row's gapless place from 0 within its ``group`` by ``order``; rows
+    that ``order`` doesn't tell apart are placed by their place in the written table.
+
+    The narrow rows are written first, so that what made them runs once, then dealt by
+    range of group, order and place: a group, or a row repeated any number of times, may
+    be larger than a task. A task's sorted rows are numbered as they stand; where each
+    (group, task) begins is told by their counts, of which there are as many as tasks and groups.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    stands = written(df).withColumn("_at", F.monotonically_increasing_id())
+    keys = [F.col(group), *order, F.col("_at")]
+    dealt = written(stands.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()))
+    dealt = dealt.withColumn("_task", F.shiftright("_at", 33))
+    runs = dealt.groupBy(F.col(group).alias("_g"), F.col("_task").alias("_t")).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("_g").orderBy("_t").rowsBetween(Window.unboundedPreceding, -1))
+    runs = runs.select("_g", "_t", (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_shift"))
+    placed = dealt.join(runs, dealt[group].eqNullSafe(runs["_g"]) & (dealt["_task"] == runs["_t"]))
+    return placed.select(*df.columns, (F.col("_at") + F.col("_shift")).alias(name))
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the folder of a table made by ``written`` that nothing will read again."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

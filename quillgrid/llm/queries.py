@@ -9,12 +9,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgrid.llm import bpe, chat, html_main, quality_rulefit, suffix_dedup
+from quillgrid.llm import bpe, centroids, chat, html_main, merkle, quality_rulefit, sharding, suffix_dedup
 from quillgrid.llm import decontaminate as dc
 from quillgrid.llm import quality_rules as qr
 from quillgrid.llm import simhash as sh
 from quillgrid.llm import token_files as tf
 from quillgrid.llm import toxicity
+from quillgrid.llm.common import ascii_lower
 from quillgrid.session import checkpoint_root
 from quillgrid.sources.tables import table
 
@@ -168,3 +169,117 @@ def op5_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
+#: The shards of op11_rendezvous_shards, and those with one more.
+SHARDS, GROWN = dict.fromkeys(range(8), 1.0), dict.fromkeys(range(9), 1.0)
+
+
+@query
+def op11_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.layout(table(spark, sf_dir, "documents"), SHARDS, GROWN)
+
+
+def _crc_sql(codes: str) -> str:
+    """The unsigned CRC-32 of a list of byte values, by the table of the reversed polynomial."""
+    entries = []
+    for k in range(256):
+        for _ in range(8):
+            k = k >> 1 ^ (0xEDB88320 if k & 1 else 0)
+        entries.append(k)
+    return f"xor(list_reduce({codes}, lambda a, b: xor(a >> 8, ({entries}::BIGINT[])[(xor(a, b) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT)"
+
+
+_BYTES = "list_transform(regexp_extract_all(hex(encode({t})), '..'), lambda x: ('0x' || x)::BIGINT)"
+
+
+def _op11_sql() -> str:
+    drawn = lambda n: f"(SELECT max((('0x' || substr(md5(k || '/' || s), 1, 13))::BIGINT, -s)) FROM range({n}) t(s))"
+    return f"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') AS k FROM documents),
+    s AS (SELECT doc_id, (strlen(t) + 1)::BIGINT AS size, {_crc_sql(_BYTES.format(t="t"))} AS text_crc32, {drawn(len(SHARDS))} AS w, {drawn(len(GROWN))} AS g FROM d)
+    SELECT doc_id, size, text_crc32, 'key' AS law, (-w[2])::INTEGER AS shard,
+      row_number() OVER (PARTITION BY w[2] ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, (-g[2])::INTEGER AS grown_shard FROM s"""
+
+
+ORACLES["op11_rendezvous_shards"] = _op11_sql()
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    tampered = merkle.record_digest([ascii_lower(F.col(c)) if c == "text" else F.col(c) for c in columns])
+    # a null id has no decimal, so its rows are not tampered with
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    records = docs.select(F.col("lang").alias("tree"), F.col("doc_id").alias("id"), merkle.record_digest([F.col(c) for c in columns]).alias("leaf"), F.when(chosen, tampered).alias("changed"))
+    made = merkle.manifest(records)
+    root = F.lit(made.root).cast("string")
+    rows = made.leaves.withColumn("folded_root", merkle.folded(F.coalesce("changed", "leaf"), F.col("path")))
+    return rows.select(F.col("id").alias("doc_id"), "leaf", "subroot", root.alias("root"), merkle.proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == root).alias("verified"))
+
+
+def _op12_sql(levels: int = 8) -> str:
+    """The trees level by level: a lone node stays as it is, so further levels change nothing."""
+    part = lambda c: f"coalesce(strlen({c}::VARCHAR) || ':' || {c}, '-')"
+    leaf = lambda text: f"sha256({' || '.join(part(c) for c in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+    capitals = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    steps = []
+
+    def tree(name: str, source: str) -> None:
+        """From ``source`` (t, i, h): name0, name1, ... with runs ``kids`` of each node; ``w`` nodes in the tree."""
+        steps.append(f"{name}0 AS (SELECT t, i, h, count(*) OVER (PARTITION BY t) AS w FROM {source})")
+        for k in range(levels):
+            steps.append(f"{name}k{k} AS (SELECT t, i // 8 AS i, list(h ORDER BY i) AS kids, any_value(w) AS w FROM {name}{k} GROUP BY 1, 2)")
+            steps.append(f"{name}{k + 1} AS (SELECT t, i, CASE WHEN w = 1 THEN kids[1] ELSE sha256(array_to_string(kids, '')) END AS h, (w + 7) // 8 AS w FROM {name}k{k})")
+
+    def walk(name: str, source: str, t: str, i: str) -> str:
+        """``source`` with columns proof and folded carried up the tree."""
+        for k in range(levels):
+            at = f"(({i} // {8**k}) % 8)"
+            left, right = f"array_to_string(kids[1 : {at}], '')", f"array_to_string(kids[{at} + 2 :], '')"
+            steps.append(f"""{name}w{k} AS (SELECT s.* EXCLUDE (proof, folded), CASE WHEN w = 1 THEN proof ELSE proof || {left} || {right} END AS proof,
+              CASE WHEN w = 1 THEN folded ELSE sha256({left} || folded || {right}) END AS folded
+              FROM {source} s JOIN {name}k{k} n ON n.t = s.{t} AND n.i = s.{i} // {8 ** (k + 1)})""")
+            source = f"{name}w{k}"
+        return source
+
+    steps.append(f"d AS (SELECT doc_id, coalesce('=' || lang, '') AS tree, {leaf('text')} AS leaf, CASE WHEN {_crc_sql(_BYTES.format(t='doc_id::VARCHAR'))} % 3 = 0 THEN {leaf(capitals)} END AS changed FROM documents)")
+    steps.append("p AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, '' AS proof, coalesce(changed, leaf) AS folded FROM d)")
+    steps.append("a AS (SELECT tree AS t, place AS i, leaf AS h FROM p)")
+    tree("a", "a")
+    steps.append(f"r AS (SELECT t AS lang_tree, h AS subroot, row_number() OVER (ORDER BY encode(t)) - 1 AS slot FROM a{levels})")
+    steps.append("b AS (SELECT '' AS t, slot AS i, subroot AS h FROM r)")
+    tree("b", "b")
+    within = walk("a", "p", "tree", "place")
+    steps.append(f"q AS (SELECT *, '' AS whole FROM {within} JOIN r ON lang_tree = tree)")
+    up = walk("b", "q", "whole", "slot")
+    return f"WITH {', '.join(steps)} SELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = h AS verified FROM {up}, b{levels}"
+
+
+ORACLES["op12_merkle_manifest"] = _op12_sql()
+
+
+@query
+def op13_sort_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.summed(*centroids.cluster(table(spark, sf_dir, "embeddings")))
+
+
+def _op13_sql(k: int = 40, rounds: int = 5) -> str:
+    near = lambda c: f"""SELECT r, vec_id, v.v, first(k ORDER BY d, k) AS k, min(d) AS d
+      FROM (SELECT r, vec_id, v.v, k, list_sum(list_transform(list_zip(v.v, {c}.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM v, {c}) v GROUP BY r, vec_id, v.v"""
+    steps = []
+    for i in range(rounds):
+        steps.append(f"a{i} AS ({near(f'c{i}')})")
+        steps.append(f"s{i} AS (SELECT k, j, sum(v[j])::BIGINT AS s, count(*) AS n FROM a{i}, range(1, 65) t(j) GROUP BY k, j)")
+        steps.append(f"c{i + 1} AS (SELECT k, coalesce(m, v) AS v FROM c{i} LEFT JOIN (SELECT k, list((s - ((s % n) + n) % n) // n ORDER BY j) AS m FROM s{i} GROUP BY k) USING (k))")
+    return f"""
+    WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+      WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    c0 AS (SELECT row_number() OVER (ORDER BY sha256('2:' || coalesce(vec_id::VARCHAR, '')), vec_id NULLS FIRST, v) - 1 AS k, v FROM v QUALIFY k < {k}),
+    {', '.join(steps)}, z AS ({near(f'c{rounds}')})
+    SELECT vec_id, k::INTEGER AS cluster, d AS distance, sum(d) OVER (PARTITION BY k)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+    FROM z JOIN c{rounds} c USING (k)"""
+
+
+ORACLES["op13_sort_means"] = _op13_sql()

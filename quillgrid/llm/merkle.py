@@ -12,8 +12,8 @@ the shuffle, and what is not (the frontier) is shuffled and merged alike. Whole
 events of the next round, a ``SPAN``-th as many, until each tree is one block.
 
 Proofs follow the links back: a block hands each of its children the way from there to the root (what
-stands left and right of it in its run, level by level). Only leaves get rows of their own;
-no task holds more of a tree than a few blocks.
+stands left and right of it in its run, level by level), cut out of the block by column
+functions. Only leaves get rows of their own; a row holds a block of a tree at most.
 
 Defined results: null ids come first; leaves of equal ids go by digest, and wholly equal rows in any
 order, each with a leaf of its own; a null group is a tree, before the others, which go by
@@ -23,12 +23,11 @@ empty result. Texts of any length are hashed whole, where they are read. Other c
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from hashlib import sha256
 from typing import NamedTuple
 from zlib import crc32
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,7 +40,6 @@ SPAN = ARITY**LEVELS
 HEX = 64
 
 PATH = T.ArrayType(T.StructType([T.StructField("left", T.StringType()), T.StructField("right", T.StringType())]))
-PATH_KIND = pa.list_(pa.struct([("left", pa.string()), ("right", pa.string())]))
 
 
 class Manifest(NamedTuple):
@@ -108,9 +106,18 @@ def merged(one: tuple, two: tuple) -> tuple:
     return one
 
 
+def levels_of(digests: list[str], depth: int) -> list[list[str]]:
+    """The nodes of each level of a block below its top."""
+    out = [digests]
+    for _ in range(depth - 1):
+        out.append([parent(out[-1][k : k + ARITY]) for k in range(0, len(out[-1]), ARITY)])
+    return out
+
+
 def blocks(nodes: DataFrame) -> DataFrame:
-    """(tree, size, block, n, top, leaves, ids, changed) of nodes (tree, size, place, id, leaf,
-    changed), ``size`` nodes in each tree; digests of a block end to end in order of place."""
+    """(tree, size, block, n, depth, top, levels, ids, changed) of nodes (tree, size, place, id,
+    leaf, changed), ``size`` nodes in each tree. ``levels`` are the hex digests of each level of a
+    block, end to end in order of place, ``changed`` those of its leaves (blanks for none)."""
     spark = nodes.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     block = F.floor(F.col("place") / SPAN)
@@ -118,7 +125,7 @@ def blocks(nodes: DataFrame) -> DataFrame:
     rows = nodes.select("tree", "size", block.alias("b"), (F.col("place") % SPAN).cast("int").alias("p"), of_block.cast("int").alias("n"), "leaf", "id", "changed").rdd
     kind = T.StructType([
         T.StructField("tree", T.StringType()), T.StructField("size", T.LongType()), T.StructField("block", T.LongType()), T.StructField("n", T.IntegerType()),
-        T.StructField("top", T.StringType()), T.StructField("leaves", T.StringType()), T.StructField("ids", T.ArrayType(nodes.schema["id"].dataType)), T.StructField("changed", T.StringType()),
+        T.StructField("depth", T.IntegerType()), T.StructField("top", T.StringType()), T.StructField("levels", T.ArrayType(T.BinaryType())), T.StructField("ids", T.ArrayType(nodes.schema["id"].dataType)), T.StructField("changed", T.BinaryType()),
     ])
 
     def event(r: tuple) -> tuple:
@@ -130,7 +137,9 @@ def blocks(nodes: DataFrame) -> DataFrame:
         if len(items) != partial["shape"][0] or len(partial) != 2:
             raise ValueError(f"block {b} of tree {tree!r} lacks nodes")
         order = [items[p] for p in range(len(items))]
-        return tree, size, b, len(order), partial["top"], "".join(i[0] for i in order), [i[1] for i in order], "".join(i[2] or " " * HEX for i in order)
+        depth = partial["shape"][1]
+        levels = [bytearray("".join(x).encode()) for x in levels_of([i[0] for i in order], depth)]
+        return tree, size, b, len(order), depth, partial["top"], levels, [i[1] for i in order], bytearray("".join(i[2] or " " * HEX for i in order).encode())
 
     dealt = rows.map(event).combineByKey(started, gathered, merged, n, lambda key: crc32(repr(key).encode()))
     return written(spark.createDataFrame(dealt.map(whole), kind, verifySchema=False))
@@ -146,53 +155,26 @@ def grown(nodes: DataFrame) -> list[DataFrame]:
     return out
 
 
-def sides(digests: list[str], depth: int) -> list[list[tuple[str, str]]]:
-    """For each level of a block and each node on it: what stands left and right of it in its run."""
-    out = []
-    for _ in range(depth):
-        runs = [digests[k : k + ARITY] for k in range(0, len(digests), ARITY)]
-        out.append([("".join(r[:k]), "".join(r[k + 1 :])) for r in runs for k in range(len(r))])
-        digests = [parent(r) for r in runs]
-    return out
-
-
 def ways(level: DataFrame, above: DataFrame) -> DataFrame:
     """(tree, size, place, id, leaf, changed, subroot, path) of each node of blocks ``level``, beside
-    ``above`` (tree, block, subroot, path), the way on from each block's top."""
-    joined = level.join(above, ["tree", "block"]).select("tree", "size", "block", "n", "leaves", "ids", "changed", "subroot", "path")
-    kind = T.StructType([
-        T.StructField("tree", T.StringType()), T.StructField("size", T.LongType()), T.StructField("place", T.LongType()), T.StructField("id", level.schema["ids"].dataType.elementType),
-        T.StructField("leaf", T.StringType()), T.StructField("changed", T.StringType()), T.StructField("subroot", T.StringType()), T.StructField("path", PATH),
-    ])
-    names = kind.names
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            id_kind = b.schema.field("ids").type.value_type
-            for r in range(b.num_rows):
-                tree, size, block, n, leaves, _, changed, subroot, up = (None if k == 5 else c[r].as_py() for k, c in enumerate(b.columns))
-                digests = [leaves[k : k + HEX] for k in range(0, n * HEX, HEX)]
-                own = sides(digests, LEVELS if size > SPAN else depth_of(size))
-                up_left, up_right = [x["left"] for x in up], [x["right"] for x in up]
-                left, right = [], []
-                for p in range(n):
-                    at = p
-                    for side in own:
-                        left.append(side[at][0])
-                        right.append(side[at][1])
-                        at //= ARITY
-                    left += up_left
-                    right += up_right
-                steps = len(own) + len(up)
-                path = pa.ListArray.from_arrays(pa.array(range(0, n * steps + 1, steps) if steps else [0] * (n + 1), pa.int32()), pa.StructArray.from_arrays([pa.array(left, pa.string()), pa.array(right, pa.string())], ["left", "right"]))
-                other = [x if x[0] != " " else None for x in (changed[k : k + HEX] for k in range(0, n * HEX, HEX))]
-                same = lambda v, k, m=n: pa.array([v] * m, k)
-                yield pa.RecordBatch.from_arrays([
-                    same(tree, pa.string()), same(size, pa.int64()), pa.array(range(block * SPAN, block * SPAN + n), pa.int64()), b.column(5)[r].values.cast(id_kind),
-                    pa.array(digests, pa.string()), pa.array(other, pa.string()), same(subroot, pa.string()), path,
-                ], names)
-
-    return joined.mapInArrow(run, kind)
+    ``above`` (tree, block, subroot, path), the way on from each block's top. What stands beside
+    a node in its run is cut out of its block's levels, by columns."""
+    text = lambda data, first, length: F.substring(data, first * HEX + 1, length * HEX).cast("string")
+    rows = level.join(above, ["tree", "block"]).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    own = []
+    for k in range(LEVELS):
+        at = F.floor(F.col("p") / ARITY**k).cast("int")
+        first = at - at % ARITY
+        whole = F.ceil(F.col("n") / ARITY**k).cast("int")
+        data = F.get("levels", F.lit(k))
+        side = F.struct(text(data, first, at - first).alias("left"), text(data, at + 1, F.least(first + ARITY, whole) - at - 1).alias("right"))
+        own.append(F.when(F.col("depth") > k, side))
+    path = F.concat(F.filter(F.array(*own), lambda x: x.isNotNull()), F.col("path"))
+    changed = text(F.col("changed"), F.col("p"), F.lit(1))
+    return rows.select(
+        "tree", "size", (F.col("block") * SPAN + F.col("p")).alias("place"), F.col("ids")[F.col("p")].alias("id"), text(F.col("levels")[0], F.col("p"), F.lit(1)).alias("leaf"),
+        F.when(F.trim(changed) != "", changed).alias("changed"), "subroot", path.alias("path"),
+    )
 
 
 def proofs(levels: list[DataFrame], above: DataFrame) -> DataFrame:

@@ -74,10 +74,10 @@ def mix32(x: Column) -> Column:
     return stage(stage(stage(x, 16, MIX_A), 15, MIX_B), 16, 1)
 
 
-def sample_hash(i: Column, j: Column, salt: int) -> Column:
+def sample_hash(i: Column, j: Column, salt: Column | int) -> Column:
     """A 32-bit hash of a place on a lattice."""
     low = lambda v: v.cast("long").bitwiseAND(F.lit(M32))
-    return mix32(mul32(low(i), SPREAD_I).bitwiseXOR(mix32((low(j) + SPREAD_J).bitwiseAND(F.lit(M32)))).bitwiseXOR(F.lit(salt)))
+    return mix32(mul32(low(i), SPREAD_I).bitwiseXOR(mix32((low(j) + SPREAD_J).bitwiseAND(F.lit(M32)))).bitwiseXOR(salt if isinstance(salt, Column) else F.lit(salt)))
 
 
 def smoothstep(a: float, b: float, x: Column) -> Column:

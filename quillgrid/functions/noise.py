@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Sequence
 from math import sqrt
+from typing import NamedTuple
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillgrid.functions import geography, keys, lattice
 
-#: What layers, octaves and components add to a salt; octaves finer than
-#: this many levels above the sampled one are left out; the spread of a sum of octaves.
+#: What layers, octaves and components add to a salt; the spread of a sum of octaves.
 SALT_LAYER, SALT_OCTAVE, SALT_PART, SALT_BASE = 0x632BE5AB, 0x27D4EB2D, 0x165667B1, 64
-OCTAVE_FLOOR = 2
 SPREAD = 0.45
 
 
@@ -46,44 +46,60 @@ def salt(seed: int, layer: int, octave: int, part: int = 0) -> int:
     return v
 
 
-def octave(i: Column, j: Column, up: int, octave_salt: int, wx: Column | None = None, wy: Column | None = None) -> Column:
-    """Noise in [-1, 1) of the cells ``up`` levels above samples (i, j), joined by the
-    quintic curve; ``wx`` and ``wy`` move the samples, in cells of the octave. Doubles throughout."""
-    share = lambda g: (g.bitwiseAND(F.lit((1 << up) - 1)) + 0.5) / F.lit(float(1 << up)) if up > 0 else F.lit(0.5)
-    fx, fy = share(i) + (F.lit(0.0) if wx is None else wx), share(j) + (F.lit(0.0) if wy is None else wy)
-    up = max(up, 0)
-    place = F.struct((F.shiftright(i, up) + F.floor(fx)).alias("i"), (F.shiftright(j, up) + F.floor(fy)).alias("j"), (fx - F.floor(fx)).alias("x"), (fy - F.floor(fy)).alias("y"))
-    quintic = lambda t: t * t * t * (t * (t * 6 - 15) + 10)
+class Octave(NamedTuple):
+    """One term of a sum of octaves: its level, what its value in [-1, 1) is multiplied by, its salt."""
 
-    def at(p: Column) -> Column:
-        unit = lambda h: F.shiftrightunsigned(h, 8) / F.lit(float(1 << 23)) - 1
-        corners = {(a, b): unit(geography.sample_hash(p["i"] + a, p["j"] + b, octave_salt)) for a in (0, 1) for b in (0, 1)}
-        return blend(corners, quintic(p["x"]), quintic(p["y"]))
-
-    return F.transform(F.array(place), at)[0]
+    level: int
+    weight: float
+    salt: int
 
 
 def wavelength(level: int) -> float:
     return lattice.NATIVE_M * 2.0**level
 
 
-def octaves(lod: int, low: int, high: int) -> range:
-    return range(max(low, lod + OCTAVE_FLOOR), high + 1)
+def octaves(seed: int, layer: int, levels: Iterable[int], weight: Callable[[int], float], part: int = 0) -> list[Octave]:
+    """The terms for ``levels``, weighted by a rule of the level."""
+    return [Octave(level, weight(level), salt(seed, layer, level, part)) for level in levels]
+
+
+def by_wavelength(share: float) -> Callable[[int], float]:
+    """Weights that move samples by a share of each octave's wavelength."""
+    return lambda level: share * wavelength(level)
 
 
-def warp(i: Column, j: Column, lod: int, seed: int, layer: int, low: int, high: int = 13, share: float = 0.3) -> tuple[Column, Column]:
-    """How far samples are moved, in metres: octaves weighted by their wavelength."""
-    part = lambda k: sum((F.lit(share * wavelength(o)) * octave(i, j, o - lod, salt(seed, layer, o, k)) for o in octaves(lod, low, high)), F.lit(0.0))
-    return part(1), part(2)
+def by_decay(decay: float, levels: Sequence[int]) -> Callable[[int], float]:
+    """Weights that fall by 2^decay for each level down, over the spread of the sum of all ``levels``."""
+    top = max(levels)
+    spread = SPREAD * sqrt(sum(4.0 ** (decay * (level - top)) for level in levels))
+    return lambda level: 2.0 ** (decay * (level - top)) / spread
 
 
-def fractal(i: Column, j: Column, lod: int, seed: int, layer: int, low: int, high: int, decay: float = 0.8, wx: Column | None = None, wy: Column | None = None) -> Column:
-    """Octaves ``low`` to ``high``, each level down weaker by 2^decay, over the spread of their
-    sum. Give ``wx`` and ``wy`` (metres) as columns of the table: they are used in every octave."""
-    total, square = F.lit(0.0), 0.0
-    for o in octaves(lod, low, high):
-        weight = 2.0 ** (decay * (o - high))
-        moved = [None if w is None else w / F.lit(wavelength(o)) for w in (wx, wy)]
-        total = total + F.lit(weight) * octave(i, j, o - lod, salt(seed, layer, o), *moved)
-        square += weight * weight
-    return total / F.lit(max(sqrt(square), 1e-6) * SPREAD)
+def summed(terms: Sequence[Octave], i: Column, j: Column, lod: int, moved: tuple[Column, Column] | None = None) -> Column:
+    """The sum of ``terms`` at samples (i, j) of level ``lod``, moved by metres if asked, in doubles.
+
+    A sample stands in the middle of its cell; an octave's values are at the corners of its
+    own cells and joined by the quintic curve. All terms are one array folded by one expression, so
+    the plan does not grow with them; ``moved`` should be columns of the table.
+    """
+    if not terms:
+        return F.lit(0.0)
+    table = F.array(*(F.struct(F.lit(t.level - lod).alias("up"), F.lit(1 / wavelength(t.level)).alias("per"), F.lit(t.weight).alias("weight"), F.lit(t.salt).cast("long").alias("salt")) for t in terms))
+    quintic = lambda t: t * t * t * (t * (t * 6 - 15) + 10)
+
+    def place(t: Column, x: Column, metres: Column | None) -> tuple[Column, Column]:
+        """The octave's cell below a sample and how far into it the sample stands."""
+        cells = F.pow(F.lit(2.0), F.greatest(t["up"], F.lit(0)))
+        into = F.when(t["up"] > 0, (F.pmod(x.cast("double"), cells) + 0.5) / cells).otherwise(0.5)
+        into = into if metres is None else into + metres * t["per"]
+        return (F.floor(x / cells) + F.floor(into)).cast("long"), into - F.floor(into)
+
+    def placed(t: Column) -> Column:
+        (ci, x), (cj, y) = place(t, i, moved and moved[0]), place(t, j, moved and moved[1])
+        return F.struct(ci.alias("i"), cj.alias("j"), quintic(x).alias("x"), quintic(y).alias("y"), t["weight"].alias("weight"), t["salt"].alias("salt"))
+
+    def value(p: Column) -> Column:
+        unit = lambda h: F.shiftrightunsigned(h, 8) / F.lit(float(1 << 23)) - 1
+        return p["weight"] * blend({(a, b): unit(geography.sample_hash(p["i"] + a, p["j"] + b, p["salt"])) for a in (0, 1) for b in (0, 1)}, p["x"], p["y"])
+
+    return F.aggregate(F.transform(F.transform(table, placed), value), F.lit(0.0), lambda total, v: total + v)

@@ -6,8 +6,6 @@ so a path of n steps needs log2(n) rounds; each round is cut by a checkpoint.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,18 +29,24 @@ def steepest_receivers(grid: DataFrame) -> DataFrame:
 
 def accumulate(nodes: DataFrame, most_rounds: int = 40) -> DataFrame:
     """(cell, total) of nodes (cell, receiver, value): each node's own value and all that
-    is upstream of it. Doubling: a node sends what it has gathered to its pointer, then
-    pointers jump; exact for additive values."""
-    at = cut(nodes.select("cell", F.col("receiver").alias("p"), F.col("value").alias("total")))
+    is upstream of it."""
+    return accumulate_all(nodes, ["value"], most_rounds).withColumnRenamed("value", "total")
+
+
+def accumulate_all(nodes: DataFrame, names: list[str], most_rounds: int = 40) -> DataFrame:
+    """(cell, *names) of nodes (cell, receiver, *names): each value summed over the node and
+    all that is upstream of it. Doubling: a node sends what it has gathered to its pointer,
+    then pointers jump; exact for additive values."""
+    at = cut(nodes.select("cell", F.col("receiver").alias("p"), *names))
     for _ in range(most_rounds):
-        sent = at.filter("p IS NOT NULL").groupBy(F.col("p").alias("cell")).agg(F.sum("total").alias("more"))
+        sent = at.filter("p IS NOT NULL").groupBy(F.col("p").alias("cell")).agg(*(F.sum(n).alias(f"_more_{n}") for n in names))
         jump = at.select(F.col("cell").alias("p"), F.col("p").alias("pp"))
         at = cut(
             at.join(sent, "cell", "left").join(jump, "p", "left")
-            .select("cell", F.col("pp").alias("p"), (F.col("total") + F.coalesce("more", F.lit(0))).alias("total"))
+            .select("cell", F.col("pp").alias("p"), *((F.col(n) + F.coalesce(f"_more_{n}", F.lit(0))).alias(n) for n in names))
         )
         if not at.filter("p IS NOT NULL").head(1):
-            return at.select("cell", "total")
+            return at.select("cell", *names)
     raise RuntimeError("receivers make a cycle, or paths are longer than 2^40")
 
 
@@ -97,39 +101,3 @@ def downstream(nodes: DataFrame, starts: DataFrame, most_rounds: int = 40) -> Da
         path = cut(path.unionByName(ahead))
         jump = cut(jump.join(jump.select(F.col("cell").alias("to"), F.col("to").alias("next")), "to").select("cell", F.col("next").alias("to")))
     raise RuntimeError("receivers make a cycle, or paths are longer than 2^40")
-
-
-def strahler(nodes: DataFrame) -> DataFrame:
-    """(cell, order): the greatest order of the donors, one more if two or more have it;
-    1 without donors.
-
-    Cells with one donor have its order, so chains are first drawn together by doubling:
-    each cell's head is the source or confluence it hangs on. Confluences are then
-    settled once all chains into them are; a round only reads chains that no confluence
-    has taken yet. Rounds are as many as confluences follow each other, without a bound.
-    """
-    own = cut(nodes.select("cell", "receiver"))
-    donors = own.filter("receiver IS NOT NULL").groupBy(F.col("receiver").alias("cell")).agg(F.count("*").alias("n"), F.min("cell").alias("donor"))
-    fed = cut(own.join(donors, "cell", "left"))
-    heads = roots(fed.select("cell", F.when(F.col("n") == 1, F.col("donor")).alias("receiver"))).select("cell", F.col("root").alias("head"))
-    heads = cut(heads)
-    # a head drains into the confluence that the last cell of its chain drains into
-    into = fed.select(F.col("cell").alias("to"), F.col("n").alias("_n")).filter("_n > 1")
-    after = heads.join(own, "cell").join(into, F.col("receiver") == F.col("to")).select("head", "to")
-    pending = cut(fed.filter("n > 1").select(F.col("cell").alias("head"), "n").join(after, "head", "left"))
-    free = cut(fed.filter("n IS NULL").select(F.col("cell").alias("head"), F.lit(1).cast("long").alias("order")).join(after, "head", "left"))
-    settled = [free.select("head", "order")]
-    while pending.head(1):
-        alike = free.filter("to IS NOT NULL").groupBy("to", "order").agg(F.count("*").alias("k"))
-        met = alike.groupBy("to").agg(F.max(F.struct("order", "k")).alias("top"), F.sum("k").alias("all"))
-        ready = cut(
-            pending.withColumnRenamed("to", "next").join(met, F.col("head") == F.col("to")).filter("all = n")
-            .select("head", (F.col("top.order") + F.when(F.col("top.k") > 1, 1).otherwise(0)).alias("order"), F.col("next").alias("to"))
-        )
-        if not ready.head(1):
-            raise RuntimeError("receivers make a cycle")
-        settled.append(ready.select("head", "order"))
-        taken = ready.select("head")
-        free = cut(free.join(taken, free["to"] == taken["head"], "left_anti").unionByName(ready))
-        pending = cut(pending.join(taken, "head", "left_anti"))
-    return heads.join(reduce(DataFrame.unionByName, settled), "head").select("cell", "order")

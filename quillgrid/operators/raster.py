@@ -1,11 +1,15 @@
-"""Stencils and distances on grids (r, c, z) without gaps."""
+"""Stencils and distances on grids (r, c, z), which may have gaps."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import exp
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def taps(sigma: float) -> list[float]:
@@ -15,37 +19,48 @@ def taps(sigma: float) -> list[float]:
     return [x / sum(w) for x in w]
 
 
-def border(index: Column, size: int, mode: str) -> Column:
-    """An index off the grid brought back: ``reflect`` mirrors with the edge cell
-    repeated, ``nearest`` holds it, ``wrap`` goes round."""
+def images(index: Column, size: int, mode: str, reach: int) -> list[Column]:
+    """Where a cell is seen from within ``reach`` of a grid of ``size``: itself, and beyond the edges
+    its mirror images (``reflect``), its copies a grid further (``wrap``), or, of an
+    edge cell, every place beyond (``nearest``). Places out of reach are among them."""
+    turns = range(-(reach // size) - 1, reach // size + 2)
     if mode == "wrap":
-        return F.pmod(index, F.lit(size))
+        return [index + size * m for m in turns]
     if mode == "nearest":
-        return F.least(F.greatest(index, F.lit(0)), F.lit(size - 1))
-    turn = F.pmod(index, F.lit(2 * size))
-    return F.least(turn, F.lit(2 * size - 1) - turn)
-
-
-def gaussian(grid: DataFrame, sigma: float, rows: int, cols: int, value: str = "z", modes: tuple[str, str] = ("reflect", "reflect")) -> DataFrame:
-    """(r, c, ``value``) smoothed along columns, then along rows: each pass offers a cell
-    to its taps and sums before the shuffle. A pass along an axis keeps to lines, so
-    its partial sums are few where a task holds whole lines."""
-    weights = taps(sigma)
-    n = len(weights) // 2
+        return [index, *(F.when(index == 0, -k) for k in range(1, reach + 1)), *(F.when(index == size - 1, size - 1 + k) for k in range(1, reach + 1))]
+    return [x for m in turns for x in (index + 2 * size * m, 2 * size * m - 1 - index)]
+
+
+def gaussian(grid: DataFrame, sigmas: dict[str, float], rows: int, cols: int, value: str = "z", modes: tuple[str, str] = ("reflect", "reflect")) -> DataFrame:
+    """(r, c, and a column for each name in ``sigmas``): ``value`` smoothed along columns, then along
+    rows, weights over those of the cells that there are, so grids may have gaps.
+
+    A pass offers each cell's value to the cells that see it and sums, partly before the shuffle: no
+    join, and as many offers whatever the number of ``sigmas``. A cell's own offer tells that it is there.
+    """
+    weights = {name: taps(s) for name, s in sigmas.items()}
+    reach = max(len(w) // 2 for w in weights.values())
+    wide = lambda w, k: w[len(w) // 2 + k] if abs(k) <= len(w) // 2 else 0.0
+    table = F.array(*(F.struct(F.lit(k).alias("k"), *(F.lit(wide(w, k)).alias(name) for name, w in weights.items())) for k in range(-reach, reach + 1)))
+    now = grid.select("r", "c", *(F.col(value).cast("double").alias(name) for name in sigmas))
     for axis, size, mode in (("r", rows, modes[0]), ("c", cols, modes[1])):
-        asked = F.array(*(F.struct(F.lit(w).alias("w"), border(F.col(axis) + (k - n), size, mode).cast("long").alias("at")) for k, w in enumerate(weights)))
-        asks = grid.select("r", "c", F.explode(asked).alias("_t")).select("r", "c", "_t.w", "_t.at")
         other = "c" if axis == "r" else "r"
-        given = grid.select(F.col(axis).alias("at"), F.col(other).alias("_o"), F.col(value).cast("double").alias("_v"))
-        grid = asks.join(given, (asks["at"] == given["at"]) & (asks[other] == given["_o"])).groupBy("r", "c").agg(F.sum(F.col("w") * F.col("_v")).alias(value))
-    return grid
+        seen = F.filter(F.array(*images(F.col(axis), size, mode, reach)), lambda x: x.between(-reach, size - 1 + reach))
+        offers = now.select(other, F.col(axis).alias("_own"), *sigmas, F.explode(seen).alias("_at")).select("*", F.explode(table).alias("_t")).withColumn(axis, (F.col("_at") - F.col("_t.k")).cast("long"))
+        offers = offers.filter(F.col(axis).between(0, size - 1))
+        sums = [f(x).alias(f"{y}_{name}") for name in sigmas for f, x, y in ((F.sum, F.col(f"_t.{name}") * F.col(name), "_s"), (F.sum, F.col(f"_t.{name}"), "_w"))]
+        met = offers.groupBy("r", "c").agg(F.max(F.col("_own") == F.col(axis)).alias("_there"), *sums).filter("_there")
+        now = met.select("r", "c", *((F.col(f"_s_{name}") / F.col(f"_w_{name}")).alias(name) for name in sigmas))
+    return now
 
 
 def gradient(grid: DataFrame, spacing: float, value: str = "z") -> DataFrame:
     """Adds dx and dy: half the difference of both neighbours, at edges that to the one there."""
     def along(line: str, axis: str) -> Column:
         w = Window.partitionBy(line).orderBy(axis)
-        after, before = F.lead(value).over(w), F.lag(value).over(w)
+        # the next row of the line may stand further on
+        beside = lambda f, step: F.when(f(axis).over(w) == F.col(axis) + step, f(value).over(w))
+        after, before = beside(F.lead, 1), beside(F.lag, -1)
         steps = F.when(after.isNull() | before.isNull(), 1.0).otherwise(2.0)
         return (F.coalesce(after, F.col(value)) - F.coalesce(before, F.col(value))) / (steps * spacing)
 
@@ -59,17 +74,59 @@ def shade(dx: Column, dy: Column, light: tuple[float, float, float], exaggeratio
     return F.least(F.greatest(lit, F.lit(0.0)), F.lit(1.0))
 
 
+def envelope(height: np.ndarray, wrap: bool) -> np.ndarray:
+    """For each place of a row the least of ``height`` (negative: none) plus squared distance: the lower
+    envelope of parabolas by a stack, linear in the row, in whole numbers."""
+    n = len(height)
+    at = np.flatnonzero(height >= 0)
+    if not len(at):
+        return np.full(n, -1, np.int64)
+    if wrap:
+        at = np.concatenate([at - n, at, at + n])
+    tops = height[at % n] + at * at
+    stack: list[int] = []
+    begins: list[int] = []
+    for k, (x, top) in enumerate(zip(at.tolist(), tops.tolist(), strict=True)):
+        begin = -n
+        while stack:
+            last = stack[-1]
+            # the first place where this one is lower than the last
+            begin = (top - int(tops[last])) // (2 * (x - int(at[last]))) + 1
+            if begin > begins[-1]:
+                break
+            stack.pop()
+            begins.pop()
+            begin = -n
+        stack.append(k)
+        begins.append(begin)
+    place = np.arange(n)
+    of = at[np.array(stack)[np.searchsorted(begins, place, side="right") - 1]]
+    return height[of % n] + (place - of) ** 2
+
+
 def squared_distance(grid: DataFrame, mask: Column, cols: int, wrap: bool = True) -> DataFrame:
     """(r, c, d2) exact squared distance in cells to the nearest cell of ``mask``, null
-    without any; longitude wraps if asked. First the distance within each column, by two
-    running windows; then a row's least parabola, over an array of the row: work grows
-    with a row's width squared, and no pair of cells is ever a row of a table."""
+    without any; longitude wraps if asked; places of the grid that have no cell are no obstacle.
+
+    First the distance within each column, by two running windows over the places of every row that
+    has cells; then the lower envelope of each row's parabolas, by Arrow batches of rows. Work is linear in places;
+    a row (the world's width) has to fit a task, a column and the grid do not.
+    """
+    places = grid.select("r").distinct().select("r", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cols - 1).cast("long"))).alias("c"))
+    known = places.join(grid.select("r", "c", F.coalesce(mask, F.lit(False)).alias("_in"), F.lit(True).alias("_there")), ["r", "c"], "left")
     down = Window.partitionBy("c").orderBy("r").rowsBetween(Window.unboundedPreceding, 0)
     up = Window.partitionBy("c").orderBy(F.col("r").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    at = F.when(mask, F.col("r"))
-    near = grid.withColumns({"_a": F.col("r") - F.max(at).over(down), "_b": F.min(at).over(up) - F.col("r")}).withColumn("_g", F.least("_a", "_b"))
-    row = near.groupBy("r").agg(F.sort_array(F.collect_list(F.struct("c", "_g"))).alias("_row"))
-    away = "abs(x.c - y.c)"
-    across = f"least({away}, {cols} - {away})" if wrap else away
-    best = F.expr(f"transform(_row, x -> struct(x.c AS c, array_min(transform(filter(_row, y -> y._g IS NOT NULL), y -> y._g * y._g + {across} * {across})) AS d2))")
-    return row.select("r", F.explode(best).alias("_x")).select("r", "_x.c", "_x.d2")
+    at = F.when(F.col("_in"), F.col("r"))
+    near = known.withColumn("_g", F.least(F.col("r") - F.max(at).over(down), F.min(at).over(up) - F.col("r")))
+    near = near.select("r", "c", F.coalesce(F.col("_g") * F.col("_g"), F.lit(-1)).alias("_h"), F.coalesce("_there", F.lit(False)).alias("_there"))
+    row = near.groupBy("r").agg(F.sort_array(F.collect_list(F.struct("c", "_h", "_there"))).alias("_row")).select("r", F.col("_row._h").alias("_h"), F.col("_row._there").alias("_there"))
+    schema = T.StructType([row.schema["r"], T.StructField("c", T.LongType()), T.StructField("d2", T.LongType())])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r, h, there in zip(b.column(0), b.column(1), b.column(2), strict=True):
+                d2, c = envelope(np.array(h.as_py(), np.int64), wrap), np.flatnonzero(there.as_py())
+                d2 = d2[c]
+                yield pa.RecordBatch.from_arrays([pa.array([r.as_py()] * len(c), b.schema.field(0).type), pa.array(c, pa.int64()), pa.array(d2, pa.int64(), mask=d2 < 0)], ["r", "c", "d2"])
+
+    return row.mapInArrow(rows, schema)

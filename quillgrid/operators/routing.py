@@ -1,47 +1,31 @@
-"""Routing that is not additive: monthly volumes with losses on the way."""
+"""Routing that is not additive: monthly volumes with losses on the way, orders of streams."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.session import cut
+from quillgrid.operators.contraction import settle
 
 
-def levels(nodes: DataFrame) -> list[DataFrame]:
-    """Kahn's levels of (cell, receiver): sources first, then all whose donors are in
-    earlier levels. As many rounds as the longest path has cells."""
-    left = cut(nodes.select("cell", "receiver"))
-    out = []
-    while left.head(1):
-        fed = left.filter("receiver IS NOT NULL").select(F.col("receiver").alias("cell")).distinct()
-        ready = cut(left.join(fed, "cell", "left_anti"))
-        if not ready.head(1):
-            raise RuntimeError("receivers make a cycle")
-        out.append(ready)
-        left = cut(left.join(ready.select("cell"), "cell", "left_anti"))
-    return out
+def strahler(nodes: DataFrame) -> DataFrame:
+    """(cell, order): the greatest order of the donors, one more if two or more have it;
+    1 without donors. As many rounds as the highest order."""
+    return settle(nodes.select("cell", "receiver")).select("cell", F.col("order").cast("long").alias("order"))
 
 
 def route_with_loss(nodes: DataFrame) -> DataFrame:
-    """(cell, month, inflow, loss, outflow) of (cell, receiver, month, lateral, loss): a cell
-    loses what it may of its inflow and own water, never more than there is; the rest
-    goes to its receiver. Levels follow each other, each one join and one sum."""
-    ways = nodes.select("cell", "receiver").distinct()
-    waiting, done = None, []
-    for level in levels(ways):
-        rows = nodes.join(level.select("cell"), "cell", "left_semi")
-        if waiting is None:
-            rows = rows.withColumn("inflow", F.lit(0).cast(nodes.schema["lateral"].dataType))
-        else:
-            given = waiting.groupBy(F.col("receiver").alias("cell"), "month").agg(F.sum("outflow").alias("inflow"))
-            rows = rows.join(given, ["cell", "month"], "left").fillna(0, ["inflow"])
-        rows = rows.withColumn("lost", F.greatest(F.least("loss", F.col("inflow") + F.col("lateral")), F.lit(0)))
-        rows = cut(rows.select("cell", "receiver", "month", "inflow", F.col("lost").alias("loss"), (F.col("inflow") + F.col("lateral") - F.col("lost")).alias("outflow")))
-        done.append(rows.select("cell", "month", "inflow", "loss", "outflow"))
-        sent = rows.filter("receiver IS NOT NULL").select("receiver", "month", "outflow")
-        # what receivers of this level have taken is not needed again
-        waiting = sent if waiting is None else cut(waiting.join(level.select(F.col("cell").alias("receiver")), "receiver", "left_anti").unionByName(sent))
-    return reduce(DataFrame.unionByName, done) if done else nodes.select("cell", "month", F.col("lateral").alias("inflow"), "loss", F.col("lateral").alias("outflow"))
+    """(cell, month, inflow, loss, outflow) of (cell, receiver, month, lateral, loss), neither of them
+    negative: a cell loses what it may of its inflow and own water, never more than there is;
+    the rest goes to its receiver. The months of a cell (the few values of ``month``) are settled beside each other."""
+    months = sorted(r[0] for r in nodes.select("month").distinct().collect())
+    kind = nodes.schema["lateral"].dataType
+    wide = nodes.groupBy("cell").agg(F.max("receiver").alias("receiver"), *(F.sum(F.when(F.col("month") == m, F.col("lateral") - F.col("loss"))).alias(f"m{k}") for k, m in enumerate(months)))
+    # a cell without a month passes on what it gets
+    wide = wide.fillna(0, [f"m{k}" for k in range(len(months))]).select("cell", "receiver", *(F.col(f"m{k}").cast(kind).alias(f"m{k}") for k in range(len(months))))
+    settled = settle(wide, [f"m{k}" for k in range(len(months))])
+    each = F.explode(F.array(*(F.struct(F.lit(m).alias("month"), F.col(f"m{k}_in").alias("inflow"), F.col(f"m{k}_out").alias("outflow")) for k, m in enumerate(months)))) if months else None
+    if each is None:
+        return nodes.select("cell", "month", F.col("lateral").alias("inflow"), "loss", F.col("lateral").alias("outflow"))
+    tall = settled.select("cell", each.alias("_x")).select("cell", "_x.month", "_x.inflow", "_x.outflow")
+    return tall.join(nodes.select("cell", "month", "lateral"), ["cell", "month"]).select("cell", "month", "inflow", (F.col("inflow") + F.col("lateral") - F.col("outflow")).alias("loss"), "outflow")

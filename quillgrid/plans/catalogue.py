@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillgrid.functions import hydrology, keys, lattice
 from quillgrid.operators import apportion as ap
-from quillgrid.operators import graph, monthly, spatial
+from quillgrid.operators import graph, monthly, routing, spatial
 from quillgrid.operators import statistics as st
 from quillgrid.plans import fixtures as fx
 from quillgrid.sources.tables import table
@@ -347,7 +347,7 @@ def basin_roots(spark, sf_dir):
     + " SELECT cell, o AS \"order\" FROM (" + " UNION ALL ".join(f"FROM s{k}" for k in range(16)) + ")",
 )
 def strahler_order(spark, sf_dir):
-    return graph.strahler(fx.forest(spark, sf_dir).select("cell", F.when(F.col("cell") > 0, F.col("receiver")).alias("receiver")))
+    return routing.strahler(fx.forest(spark, sf_dir).select("cell", F.when(F.col("cell") > 0, F.col("receiver")).alias("receiver")))
 
 
 @query(

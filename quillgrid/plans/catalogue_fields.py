@@ -222,15 +222,14 @@ def flow_regimes(spark, sf_dir):
 
 # ---- stencils ------------------------------------------------------------------------------
 
-#: The grid without its last row, which may lack cells.
-WHOLE_SQL = f"{fx.GRID_SQL}, gw AS (SELECT r, c, z FROM g WHERE r < (SELECT max(r) FROM g)), hh AS (SELECT count(DISTINCT r) AS h FROM gw)"
+#: The last row of the grid may lack cells: weights are over the cells that there are.
+WHOLE_SQL = f"{fx.GRID_SQL}, gw AS (SELECT r, c, z FROM g), hh AS (SELECT max(r) + 1 AS h FROM gw)"
 
 
 def whole_grid(spark, sf_dir):
-    """The grid without its last row, and how many rows that leaves."""
+    """The grid and the number of its rows."""
     g = fx.grid(spark, sf_dir)
-    last = g.agg(F.max("r")).first()[0] or 0
-    return g.filter(F.col("r") < last).select("r", "c", "z"), last
+    return g.select("r", "c", "z"), (g.agg(F.max("r")).first()[0] or 0) + 1
 
 
 def _gaussian_sql(source: str, name: str, sigma: float, modes: tuple[str, str] = ("reflect", "reflect"), value: str = "z") -> str:
@@ -242,8 +241,8 @@ def _gaussian_sql(source: str, name: str, sigma: float, modes: tuple[str, str] =
         "nearest": lambda i, s: f"greatest(least({i}, {s} - 1), 0)", "wrap": lambda i, s: f"(({i}) % {s} + {s}) % {s}",
     }
     t = f"(SELECT k - {n} AS k, ({w!r}::DOUBLE[])[k + 1] AS w FROM unnest(range({len(w)})) u(k))"
-    return f"""{name}0 AS (SELECT a.r, a.c, sum(t.w * b.{value}) AS z FROM {source} a, hh, {t} t JOIN {source} b ON b.c = a.c AND b.r = {place[modes[0]]('a.r + t.k', 'hh.h')} GROUP BY 1, 2),
-    {name} AS (SELECT a.r, a.c, sum(t.w * b.z) AS z FROM {name}0 a, {t} t JOIN {name}0 b ON b.r = a.r AND b.c = {place[modes[1]]('a.c + t.k', '64')} GROUP BY 1, 2)"""
+    return f"""{name}0 AS (SELECT a.r, a.c, sum(t.w * b.{value}) / sum(t.w) AS z FROM {source} a, hh, {t} t JOIN {source} b ON b.c = a.c AND b.r = {place[modes[0]]('a.r + t.k', 'hh.h')} GROUP BY 1, 2),
+    {name} AS (SELECT a.r, a.c, sum(t.w * b.z) / sum(t.w) AS z FROM {name}0 a, {t} t JOIN {name}0 b ON b.r = a.r AND b.c = {place[modes[1]]('a.c + t.k', '64')} GROUP BY 1, 2)"""
 
 
 def _gradient_sql(source: str, name: str, spacing: float) -> str:
@@ -259,8 +258,7 @@ def _gradient_sql(source: str, name: str, spacing: float) -> str:
 def terrain_derivatives(spark, sf_dir):
     """Gradient, and the height of the near over the wider surroundings."""
     g, rows = whole_grid(spark, sf_dir)
-    near, wide = raster.gaussian(g, 1.2, rows, 64), raster.gaussian(g, 6.0, rows, 64).withColumnRenamed("z", "_wide")
-    both = near.withColumnRenamed("z", "_near").join(wide, ["r", "c"])
+    both = raster.gaussian(g, {"_near": 1.2, "_wide": 6.0}, rows, 64)
     return raster.gradient(g, 30.0).join(both, ["r", "c"]).select("r", "c", *rounded({"dx": F.col("dx"), "dy": F.col("dy"), "position": (F.col("_near") - F.col("_wide")) / 180}))
 
 
@@ -277,12 +275,11 @@ LIGHT = (sin(radians(315)) * cos(radians(45)), -cos(radians(315)) * cos(radians(
 def hillshade(spark, sf_dir):
     """Light on the land: three quarters from the wide form, one from the near."""
     g, rows = whole_grid(spark, sf_dir)
-    lit = []
-    for sigma, name in ((6.0, "_wide"), (1.2, "_near")):
-        d = raster.gradient(raster.gaussian(g, sigma, rows, 64), 30.0)
-        lit.append(d.select("r", "c", raster.shade(F.col("dx"), F.col("dy"), LIGHT, 6.0).alias(name)))
+    d = raster.gaussian(g, {"_wide": 6.0, "_near": 1.2}, rows, 64)
+    for name in ("_wide", "_near"):
+        d = raster.gradient(d, 30.0, name).withColumn(name, raster.shade(F.col("dx"), F.col("dy"), LIGHT, 6.0))
     light = 0.35 + 0.65 * F.pow(0.75 * F.col("_wide") + 0.25 * F.col("_near"), F.lit(0.85))
-    return lit[0].join(lit[1], ["r", "c"]).select("r", "c", F.round(light, 6).alias("light"))
+    return d.select("r", "c", F.round(light, 6).alias("light"))
 
 
 @query(
@@ -294,8 +291,8 @@ def height_moments(spark, sf_dir):
     """Smoothed height and squared height; rows are held at the poles, columns wrap."""
     g, rows = whole_grid(spark, sf_dir)
     modes = ("nearest", "wrap")
-    one = raster.gaussian(g, 1.5, rows, 64, modes=modes).select("r", "c", F.round("z", 4).alias("mean"))
-    two = raster.gaussian(g.withColumn("z", F.col("z") * F.col("z")), 1.5, rows, 64, modes=modes).select("r", "c", F.round("z", 2).alias("square"))
+    one = raster.gaussian(g, {"z": 1.5}, rows, 64, modes=modes).select("r", "c", F.round("z", 4).alias("mean"))
+    two = raster.gaussian(g.withColumn("z", F.col("z") * F.col("z")), {"z": 1.5}, rows, 64, modes=modes).select("r", "c", F.round("z", 2).alias("square"))
     return one.join(two, ["r", "c"])
 
 

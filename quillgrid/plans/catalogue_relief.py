@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 from quillgrid.functions import geography, keys, lattice, noise
 from quillgrid.operators import basins, graph, refine
+from quillgrid.operators.spatial import neighbours
 from quillgrid.plans import fixtures as fx
 from quillgrid.plans.catalogue import query
 from quillgrid.plans.catalogue_fields import _mix_sql, rounded
+from quillgrid.session import written
 from quillgrid.sources.tables import table
 
 # ---- noise ---------------------------------------------------------------------------
@@ -40,8 +42,9 @@ def keyed_noise(spark, sf_dir):
     return p.select("id", *rounded({"value": noise.value_noise(7, "province", LOD, F.col("x"), F.col("y"), WEST, WIDTH)}))
 
 
-SEED, LAYER, LOW, HIGH, DECAY = 77, 3, 0, 5, 0.8
-WEIGHTS = {o: 2.0 ** (DECAY * (o - HIGH)) for o in noise.octaves(0, LOW, HIGH)}
+SEED, LAYER, HIGH, DECAY, SHARE = 77, 3, 5, 0.8, 0.3
+RELIEF, MOVES = range(2, HIGH + 1), range(2, 5)
+WEIGHTS = {o: 2.0 ** (DECAY * (o - HIGH)) for o in RELIEF}
 SPREAD = sqrt(sum(w * w for w in WEIGHTS.values())) * noise.SPREAD
 
 
@@ -66,11 +69,11 @@ def _samples(spark, sf_dir):
 
 @query(
     "domain_warp",
-    f"""WITH s AS ({SAMPLES_SQL}), {_octaves_sql("s", {1: noise.octaves(0, 2, 4), 2: noise.octaves(0, 2, 4)})}
+    f"""WITH s AS ({SAMPLES_SQL}), {_octaves_sql("s", {1: MOVES, 2: MOVES})}
     SELECT id, round(sum(v * (0.3::DOUBLE * 30 * (1 << o))) FILTER (part = 1), 6) AS wx, round(sum(v * (0.3::DOUBLE * 30 * (1 << o))) FILTER (part = 2), 6) AS wy FROM v GROUP BY id""",
 )
 def domain_warp(spark, sf_dir):
-    wx, wy = noise.warp(F.col("i"), F.col("j"), 0, SEED, LAYER, 2, 4)
+    wx, wy = (noise.summed(noise.octaves(SEED, LAYER, MOVES, noise.by_wavelength(SHARE), part), F.col("i"), F.col("j"), 0) for part in (1, 2))
     return _samples(spark, sf_dir).select("id", *rounded({"wx": wx, "wy": wy}))
 
 
@@ -82,7 +85,8 @@ def domain_warp(spark, sf_dir):
 def fractal_noise(spark, sf_dir):
     """A weighted sum of octaves at samples that are moved."""
     s = _samples(spark, sf_dir).withColumns({"wx": (F.col("i") % 64 - 32) * 2.5, "wy": (F.col("j") % 64 - 32) * 1.5})
-    return s.select("id", *rounded({"value": noise.fractal(F.col("i"), F.col("j"), 0, SEED, LAYER, LOW, HIGH, DECAY, F.col("wx"), F.col("wy"))}))
+    terms = noise.octaves(SEED, LAYER, RELIEF, noise.by_decay(DECAY, RELIEF))
+    return s.select("id", *rounded({"value": noise.summed(terms, F.col("i"), F.col("j"), 0, (F.col("wx"), F.col("wy")))}))
 
 
 # ---- children of cells -----------------------------------------------------------------
@@ -141,12 +145,24 @@ def depression_fill(spark, sf_dir):
 
 @query(
     "lake_levels",
-    f"{FILL_SQL} SELECT level, count(*) AS cells, sum(level - z)::BIGINT AS volume, max(level - z) AS deepest FROM g JOIN f USING (cell) WHERE level > z GROUP BY 1",
+    f"""{FILL_SQL}, wet AS MATERIALIZED (SELECT g.cell, g.r, g.c, g.z, f.level FROM g JOIN f USING (cell) WHERE f.level > g.z),
+    m AS MATERIALIZED (SELECT a.cell AS a, b.cell AS b FROM wet a JOIN dirs ON true JOIN wet b ON b.r = a.r + dr AND b.c = a.c + dc),
+    l(cell, lake) USING KEY (cell) AS (
+      SELECT cell, cell FROM wet
+      UNION
+      SELECT m.b, min(l.lake) FROM l JOIN m ON m.a = l.cell JOIN recurring.l AS old ON old.cell = m.b WHERE l.lake < old.lake GROUP BY m.b)
+    SELECT lake, max(level) AS level, count(*) AS cells, sum(level - z)::BIGINT AS volume, max(level - z) AS deepest FROM l JOIN wet USING (cell) GROUP BY 1""",
 )
 def lake_levels(spark, sf_dir):
-    """Cells, volume and greatest depth of the water at each level above ground."""
-    wet = depression_fill(spark, sf_dir).filter("depth > 0")
-    return wet.groupBy(F.col("filled").alias("level")).agg(F.count("*").alias("cells"), F.sum("depth").alias("volume"), F.max("depth").alias("deepest"))
+    """Cells, level, volume and greatest depth of each connected water above ground, by its least cell."""
+    g = fx.grid(spark, sf_dir)
+    wet = written(g.join(basins.filled(g.withColumn("outlet", F.col("z") < 0)), "cell").filter("depth > 0"))
+    near = neighbours(wet, "r", "c", ["cell"]).withColumnRenamed("cell", "a")
+    edges = wet.join(near, (F.col("r") == F.col("_r")) & (F.col("c") == F.col("_c"))).select("a", F.col("cell").alias("b")).filter("a < b")
+    lakes = graph.components(edges, wet.select(F.col("cell").alias("node")))
+    return wet.join(lakes, F.col("cell") == F.col("node")).groupBy(F.col("label").alias("lake")).agg(
+        F.max("filled").alias("level"), F.count("*").alias("cells"), F.sum("depth").alias("volume"), F.max("depth").alias("deepest")
+    )
 
 
 @query(

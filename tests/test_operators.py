@@ -1,8 +1,9 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from quillgrid.operators import apportion, graph, spatial
+from quillgrid.operators import apportion, graph, raster, routing, spatial
 from quillgrid.operators import statistics as st
 
 
@@ -107,7 +108,7 @@ def test_far_points_are_found(spark):
 def test_orders_of_long_chains_and_trees(spark):
     n = 10_000
     rows = [(k, k + 1 if k + 1 < n else None) for k in range(n)]
-    got = graph.strahler(spark.createDataFrame(rows, "cell long, receiver long")).collect()
+    got = routing.strahler(spark.createDataFrame(rows, "cell long, receiver long")).collect()
     assert len(got) == n and {r.order for r in got} == {1}
     random.seed(9)
     receiver = {k: random.choice([None, *range(max(0, k - 4), k)]) if k else None for k in range(300)}
@@ -115,7 +116,7 @@ def test_orders_of_long_chains_and_trees(spark):
     for k in sorted(receiver, reverse=True):
         given = sorted((order[d] for d in receiver if receiver[d] == k), reverse=True)
         order[k] = 1 if not given else given[0] + (len(given) > 1 and given[0] == given[1])
-    got = graph.strahler(spark.createDataFrame(list(receiver.items()), "cell long, receiver long")).collect()
+    got = routing.strahler(spark.createDataFrame(list(receiver.items()), "cell long, receiver long")).collect()
     assert {r.cell: r.order for r in got} == order
 
 
@@ -160,3 +161,48 @@ def test_water_closes(spark):
     for r in df.select("p", monthly.water_year(*args, 1).alias("y"), monthly.periodic_year(*args).alias("s")).collect():
         assert abs(sum(r.p) - r.y.aet - r.y.runoff - r.y.snow - r.y.soil - r.y.gw) < 1e-6
         assert r.s.change < 1e-3 and abs(sum(r.p) - r.s.aet - r.s.runoff) < 2e-3
+
+
+def test_stencils_and_distances_take_gaps(spark):
+    """A grid with holes beside plain loops over the cells that there are."""
+    random.seed(11)
+    h, w = 9, 13
+    z = {(r, c): random.randrange(100) for r in range(h) for c in range(w) if random.random() < 0.7}
+    grid = spark.createDataFrame([(r, c, v) for (r, c), v in z.items()], "r long, c long, z long")
+    back = {"reflect": lambda i, n: min(i % (2 * n), 2 * n - 1 - i % (2 * n)), "nearest": lambda i, n: max(0, min(n - 1, i)), "wrap": lambda i, n: i % n}
+    for modes, sigmas in ((("reflect", "nearest"), {"a": 0.8, "b": 3.0}), (("nearest", "wrap"), {"a": 1.5})):
+        got = {(r.r, r.c): r for r in raster.gaussian(grid, sigmas, h, w, modes=modes).collect()}
+        assert set(got) == set(z)
+        for name, sigma in sigmas.items():
+            t = raster.taps(sigma)
+            now = dict(z)
+            for axis in (0, 1):
+                nxt = {}
+                for (r, c), _ in now.items():
+                    s = ws = 0.0
+                    for k, x in enumerate(t):
+                        k -= len(t) // 2
+                        at = (back[modes[0]](r + k, h), c) if axis == 0 else (r, back[modes[1]](c + k, w))
+                        if at in now:
+                            s, ws = s + x * now[at], ws + x
+                    nxt[r, c] = s / ws
+                now = nxt
+            assert all(abs(got[p][name] - v) < 1e-9 for p, v in now.items())
+    deep = [p for p, v in z.items() if v < 8]
+    for wrap in (True, False):
+        across = lambda d, wrap=wrap: min(abs(d), w - abs(d)) if wrap else abs(d)
+        expected = {(r, c): min((r - a) ** 2 + across(c - b) ** 2 for a, b in deep) for r, c in z}
+        got = {(r.r, r.c): r.d2 for r in raster.squared_distance(grid, grid["z"] < 8, w, wrap).collect()}
+        assert got == expected
+    assert {r.d2 for r in raster.squared_distance(grid, grid["z"] < 0, w).collect()} == {None}
+
+
+def test_envelope_matches_all_pairs():
+    random.seed(12)
+    for _ in range(200):
+        n = random.randrange(1, 30)
+        g = np.array([random.choice([-1, 0, 1, 4, 9, 25, 400]) for _ in range(n)], np.int64)
+        for wrap in (True, False):
+            across = lambda d, n=n, wrap=wrap: min(abs(d), n - abs(d)) if wrap else abs(d)
+            expected = [min((int(g[k]) + across(k - i) ** 2 for k in range(n) if g[k] >= 0), default=-1) for i in range(n)]
+            assert raster.envelope(g, wrap).tolist() == expected

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillgrid.operators import depressions
+from quillgrid.operators import basins, depressions, drainage, graph
+from quillgrid.operators.statistics import running_totals
 from quillgrid.plans import fixtures as fx
 from quillgrid.plans.catalogue import query
 from quillgrid.plans.catalogue_relief import FILL_SQL
@@ -41,7 +42,7 @@ def depression_tree(spark, sf_dir):
 def depression_roots(spark, sf_dir):
     """For each pit the height at which its outermost depression spills, which is where water on it reaches the sea."""
     nodes = depression_tree(spark, sf_dir)
-    ends = depressions.graph.roots(nodes.select(F.col("node").alias("cell"), F.col("parent").alias("receiver")))
+    ends = graph.roots(nodes.select(F.col("node").alias("cell"), F.col("parent").alias("receiver")))
     spill = nodes.select(F.col("node").alias("root"), "spill")
     return ends.filter(f"cell > {depressions.OUTLET}").join(spill, "root").select(F.col("cell").alias("pit"), "spill")
 
@@ -84,3 +85,49 @@ def fill_spill_balance(spark, sf_dir):
     one = lambda df: df.select("*", F.lit(1).alias("_1"))
     sums = one(total).join(one(kept), "_1").join(one(direct), "_1").join(one(over), "_1")
     return sums.select("runoff", (F.col("runoff") - F.col("kept") - F.col("direct") - F.col("over")).alias("unaccounted"))
+
+
+# ---- ways across what is filled ----------------------------------------------------------
+
+#: Receivers on the filled surface, as CTEs that end in rcv (cell, receiver).
+COMPLETE_SQL = f"""{FILL_SQL},
+    s AS MATERIALIZED (SELECT g.cell, g.r, g.c, g.z < 0 AS outlet, CASE WHEN g.z < 0 THEN g.z ELSE f.level END AS z FROM g JOIN f USING (cell)),
+    n AS MATERIALIZED (SELECT s.cell, s.z, s.outlet, o.cell AS o, o.z AS oz, o.outlet AS o_out, k FROM s JOIN dirs ON true JOIN s o ON o.r = s.r + dr AND o.c = s.c + dc),
+    fall AS (SELECT cell, arg_max(o, (z - oz) * (z - oz) * CASE WHEN k % 2 = 0 THEN 2 ELSE 1 END * 8 - k) AS receiver FROM n WHERE oz < z AND NOT outlet GROUP BY 1),
+    flat AS MATERIALIZED (SELECT cell, z FROM s WHERE NOT outlet AND cell NOT IN (SELECT cell FROM fall)),
+    fe AS MATERIALIZED (SELECT n.* FROM n JOIN flat USING (cell)),
+    pairs AS MATERIALIZED (SELECT e.cell AS a, e.o AS b FROM fe e JOIN flat x ON x.cell = e.o WHERE e.z = e.oz),
+    t(cell, d) USING KEY (cell) AS (
+      SELECT DISTINCT e.cell, 1 FROM fe e WHERE e.oz = e.z AND e.o NOT IN (SELECT cell FROM flat)
+      UNION SELECT p.b, min(t.d + 1) FROM t JOIN pairs p ON p.a = t.cell LEFT JOIN recurring.t AS old ON old.cell = p.b WHERE old.d IS NULL OR t.d + 1 < old.d GROUP BY p.b),
+    w(cell, d) USING KEY (cell) AS (
+      SELECT DISTINCT e.cell, 1 FROM fe e WHERE e.oz > e.z
+      UNION SELECT p.b, min(w.d + 1) FROM w JOIN pairs p ON p.a = w.cell LEFT JOIN recurring.w AS old ON old.cell = p.b WHERE old.d IS NULL OR w.d + 1 < old.d GROUP BY p.b),
+    m AS MATERIALIZED (SELECT t.cell, 2 * t.d - coalesce(w.d, 0) AS mask FROM t LEFT JOIN w USING (cell)),
+    over AS (SELECT e.cell, arg_min(e.o, (CASE WHEN x.cell IS NULL THEN 0 ELSE 1 END, coalesce(om.mask, 0), k % 2, k)) AS receiver FROM fe e JOIN m USING (cell) LEFT JOIN flat x ON x.cell = e.o LEFT JOIN m om ON om.cell = e.o
+      WHERE e.oz = e.z AND (x.cell IS NULL OR om.mask < m.mask) GROUP BY 1),
+    rcv AS MATERIALIZED (SELECT s.cell, coalesce(fall.receiver, over.receiver) AS receiver FROM s LEFT JOIN fall USING (cell) LEFT JOIN over USING (cell))"""
+
+
+def filled_surface(spark, sf_dir):
+    g = fx.grid(spark, sf_dir).withColumn("outlet", F.col("z") < 0)
+    level = basins.filled(g).select("cell", "filled")
+    return g.join(level, "cell").select("cell", "r", "c", F.when(F.col("outlet"), F.col("z")).otherwise(F.col("filled")).alias("z"), "outlet")
+
+
+@query("drainage_complete", f"{COMPLETE_SQL} SELECT cell, receiver FROM rcv")
+def drainage_complete(spark, sf_dir):
+    """A receiver for every cell that is no outlet: down the filled surface, across lakes and flats."""
+    return drainage.receivers(filled_surface(spark, sf_dir))
+
+
+@query(
+    "drainage_order",
+    f"""{COMPLETE_SQL}, up(cell, spot, steps) AS (SELECT cell, receiver, 0 FROM rcv UNION ALL SELECT up.cell, rcv.receiver, steps + 1 FROM up JOIN rcv ON rcv.cell = up.spot),
+    l AS (SELECT cell, max(steps) AS steps FROM up GROUP BY 1)
+    SELECT cell, steps::BIGINT AS steps, row_number() OVER (ORDER BY steps, cell) - 1 AS place FROM l""",
+)
+def drainage_order(spark, sf_dir):
+    """Cells in an order in which receivers stand before their donors: by steps to the outlet, then by cell."""
+    steps = graph.roots(drainage_complete(spark, sf_dir)).select(F.lit(0).alias("all"), "cell", "steps", F.lit(1).cast("long").alias("one"))
+    return running_totals(steps, "all", [F.col("steps"), F.col("cell")], "one").select("cell", "steps", F.col("_before").alias("place"))

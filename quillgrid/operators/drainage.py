@@ -1,4 +1,4 @@
-"""Receivers for every cell of a surface without pits: across filled depressions and flats.
+"""Ways of water over grids: receivers across filled depressions and flats, and shared flow.
 
 A cell drains to its steepest lower neighbour. Where there is none, two fronts run through the
 flat: one from cells beside an equally high one that drains, one from cells beside higher
@@ -106,3 +106,67 @@ def receivers(surface: DataFrame, tile: int = 64) -> DataFrame:
     best = F.min(F.struct(F.when(F.col("_also"), 1).otherwise(0).alias("in"), F.when(F.col("_also"), F.col("_mask")).alias("m"), (F.col("dir") % 2).alias("slant"), "dir", "_from"))
     chosen = ways.groupBy("cell").agg(best.alias("k")).select("cell", F.col("k._from").alias("_over"))
     return at.join(chosen, "cell", "left").select("cell", F.coalesce("_down", "_over").alias("receiver"))
+
+
+def pushed(z: np.ndarray, own: np.ndarray, q: np.ndarray, exponent: float) -> np.ndarray:
+    """What has passed through each cell when ``q`` has run down to lower neighbours, by slopes to
+    the power ``exponent``; cells outside ``own`` only receive. No cell there: not a number in ``z``."""
+    h, w = z.shape
+    share = np.zeros((len(SHIFTS), h, w))
+    inner = (slice(1, -1), slice(1, -1))
+    for k, (a, b) in enumerate(SHIFTS):
+        fall = (z[inner] - z[1 + a : h - 1 + a, 1 + b : w - 1 + b]) / (a * a + b * b) ** 0.5
+        share[k][inner] = np.where(fall > 0, fall, 0) ** exponent
+    total = share.sum(axis=0)
+    share = np.divide(share, total, out=np.zeros_like(share), where=total > 0).reshape(len(SHIFTS), -1)
+    steps = [a * w + b for a, b in SHIFTS]
+    flat = np.where(own, z, np.nan).ravel()
+    through = q.ravel().tolist()
+    for i in np.argsort(-flat, kind="stable")[: int(own.sum())].tolist():
+        if through[i] > 0:
+            for k in np.flatnonzero(share[:, i]).tolist():
+                through[i + steps[k]] += through[i] * share[k, i]
+    return np.array(through).reshape(h, w)
+
+
+def multiple_flow(grid: DataFrame, exponent: float = 1.3, tile: int = 64) -> DataFrame:
+    """(r, c, flow) of a grid (r, c, z, value): each cell's own value and what reaches it when all
+    lower neighbours share a cell's water by their slopes to the power ``exponent``.
+
+    Cells make a graph without circles but with many ways, so pointers cannot double. What flows is
+    linear, though: a tile passes on what it was given, cells by falling height, and tells its
+    neighbours what has crossed to them; next, only what is new runs on. The sum of all is that of one sweep over
+    the grid, but for rounding. Rounds are as many as tile borders lie on the longest way down.
+    """
+    at = lambda x, k=0: F.floor((F.col(x) + k) / tile).cast("long")
+    near = F.array_distinct(F.array(*(F.struct(at("r", a).alias("tr"), at("c", b).alias("tc")) for a in (-1, 0, 1) for b in (-1, 0, 1))))
+    land = written(grid.select("r", "c", F.col("z").cast("double").alias("z"), F.explode(near).alias("_t")).select("_t.tr", "_t.tc", "r", "c", "z"))
+    news = written(grid.select(at("r").alias("tr"), at("c").alias("tc"), "r", "c", F.col("value").cast("double").alias("q")))
+    kind = "r long, c long, q double, own boolean"
+
+    def run(key: tuple, cells: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+        tr, tc = key
+        size = (tile + 2, tile + 2)
+        place = lambda d: ((d["r"] - tr * tile + 1).to_numpy(), (d["c"] - tc * tile + 1).to_numpy())
+        i, j = place(cells)
+        z, q = np.full(size, np.nan), np.zeros(size)
+        z[i, j] = cells["z"]
+        own = np.zeros(size, bool)
+        own[1:-1, 1:-1] = ~np.isnan(z[1:-1, 1:-1])
+        gi, gj = place(given)
+        np.add.at(q, (gi, gj), given["q"].to_numpy())
+        out = pushed(z, own, q, exponent)[i, j]
+        some = out > 0
+        return pd.DataFrame({"r": cells["r"][some], "c": cells["c"][some], "q": out[some], "own": own[i, j][some]})
+
+    done = None
+    while news.head(1):
+        woken = news.select("tr", "tc").distinct()
+        ran = written(land.join(woken, ["tr", "tc"], "left_semi").groupBy("tr", "tc").cogroup(news.groupBy("tr", "tc")).applyInPandas(run, kind))
+        part = ran.filter("own").select("r", "c", "q")
+        done = part if done is None else written(done.unionByName(part).groupBy("r", "c").agg(F.sum("q").alias("q")))
+        news = written(ran.filter("NOT own").groupBy("r", "c").agg(F.sum("q").alias("q")).select(at("r").alias("tr"), at("c").alias("tc"), "r", "c", "q"))
+    if done is None:
+        return grid.select("r", "c", F.col("value").cast("double").alias("flow"))
+    flow = done.withColumnsRenamed({"r": "_r", "c": "_c"})
+    return grid.join(flow, (grid["r"] == flow["_r"]) & (grid["c"] == flow["_c"]), "left").select("r", "c", F.coalesce("q", F.lit(0.0)).alias("flow"))

@@ -131,3 +131,20 @@ def drainage_order(spark, sf_dir):
     """Cells in an order in which receivers stand before their donors: by steps to the outlet, then by cell."""
     steps = graph.roots(drainage_complete(spark, sf_dir)).select(F.lit(0).alias("all"), "cell", "steps", F.lit(1).cast("long").alias("one"))
     return running_totals(steps, "all", [F.col("steps"), F.col("cell")], "one").select("cell", "steps", F.col("_before").alias("place"))
+
+
+EXPONENT = 1.3
+
+
+@query(
+    "multiple_flow",
+    f"""WITH RECURSIVE {fx.GRID_SQL}, {fx.DIRECTIONS_SQL},
+    n AS (SELECT g.cell, o.cell AS o, pow((g.z - o.z) / CASE WHEN k % 2 = 0 THEN 1.0::DOUBLE ELSE sqrt(2.0::DOUBLE) END, {EXPONENT!r}::DOUBLE) AS s FROM g JOIN dirs ON true JOIN g o ON o.r = g.r + dr AND o.c = g.c + dc WHERE o.z < g.z),
+    w AS MATERIALIZED (SELECT cell, o, s / sum(s) OVER (PARTITION BY cell) AS w FROM n),
+    x(cell, k, q) AS (SELECT cell, 0, (1 + cell % 10)::DOUBLE FROM g UNION ALL SELECT w.o, x.k + 1, sum(x.q * w.w) FROM x JOIN w ON w.cell = x.cell GROUP BY 1, 2)
+    SELECT g.r, g.c, round(sum(q), 6) AS flow FROM x JOIN g USING (cell) GROUP BY 1, 2""",
+)
+def multiple_flow(spark, sf_dir):
+    """Each cell's own water and what reaches it when all lower neighbours share a cell's flow."""
+    g = fx.grid(spark, sf_dir).select("r", "c", "z", (1 + F.col("cell") % 10).alias("value"))
+    return drainage.multiple_flow(g, EXPONENT).select("r", "c", F.round("flow", 6).alias("flow"))

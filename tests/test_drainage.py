@@ -64,3 +64,21 @@ def test_receivers_cross_flats_whatever_the_tiles(spark):
     reached = {x[0] for p, x in name.items() if p in level}
     ends = {x[0] for x in rows if x[4]}
     assert all(got[c] is not None or c in ends for c in reached)
+
+
+def test_shared_flow_matches_one_sweep(spark):
+    random.seed(22)
+    h, w = 17, 22
+    z = {(r, c): random.randrange(40) + 3 * r for r in range(h) for c in range(w) if random.random() < 0.93}
+    value = {p: random.randrange(6) for p in z}
+    flow = {p: float(v) for p, v in value.items()}
+    for p in sorted(z, key=lambda p: -z[p]):
+        falls = [((p[0] + a, p[1] + b), (a * a + b * b) ** 0.5) for a, b in STEPS if z.get((p[0] + a, p[1] + b), z[p]) < z[p]]
+        slopes = [((z[p] - z[q]) / d) ** 1.1 for q, d in falls]
+        for (q, _), s in zip(falls, slopes, strict=True):
+            flow[q] += flow[p] * s / sum(slopes)
+    grid = spark.createDataFrame([(r, c, v, value[r, c]) for (r, c), v in z.items()], "r long, c long, z long, value long")
+    for tile in (4, 64):
+        got = {(x.r, x.c): x.flow for x in drainage.multiple_flow(grid, 1.1, tile).collect()}
+        assert set(got) == set(z) and all(abs(got[p] - v) < 1e-9 for p, v in flow.items())
+    assert drainage.multiple_flow(grid.limit(0)).count() == 0

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from quillgrid.plans import catalogue, catalogue_fields, catalogue_more, catalogue_relief, catalogue_water  # noqa: F401
+from quillgrid.plans import catalogue, catalogue_fields, catalogue_more, catalogue_relief, catalogue_segments, catalogue_water  # noqa: F401
 from quillgrid.sources.tables import TABLES
 
 SF = "/root/testdata/sf0.001"

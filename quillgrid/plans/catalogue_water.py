@@ -148,3 +148,19 @@ def multiple_flow(spark, sf_dir):
     """Each cell's own water and what reaches it when all lower neighbours share a cell's flow."""
     g = fx.grid(spark, sf_dir).select("r", "c", "z", (1 + F.col("cell") % 10).alias("value"))
     return drainage.multiple_flow(g, EXPONENT).select("r", "c", F.round("flow", 6).alias("flow"))
+
+
+@query(
+    "cheapest_ways",
+    f"""WITH RECURSIVE {fx.GRID_SQL}, {fx.DIRECTIONS_SQL}, p AS MATERIALIZED (SELECT cell, r, c, 1 + (z + 1000) // 250 AS cost FROM g WHERE z < 2500),
+    e AS MATERIALIZED (SELECT p.cell AS b, o.cell AS a, k, (p.cost + o.cost) * CASE WHEN k % 2 = 0 THEN {drainage.STRAIGHT} ELSE {drainage.SLANTING} END AS w FROM p JOIN dirs ON true JOIN p o ON o.r = p.r + dr AND o.c = p.c + dc),
+    d(cell, far) USING KEY (cell) AS (
+      SELECT cell, 0::BIGINT FROM p WHERE cell % 997 = 3
+      UNION SELECT e.b, min(d.far + e.w) FROM d JOIN e ON e.a = d.cell LEFT JOIN recurring.d AS old ON old.cell = e.b WHERE old.far IS NULL OR d.far + e.w < old.far GROUP BY e.b),
+    x AS (SELECT e.b AS cell, arg_min(e.a, k) AS previous FROM e JOIN d n ON n.cell = e.b JOIN d o ON o.cell = e.a WHERE o.far + e.w = n.far GROUP BY 1)
+    SELECT p.cell, d.far AS distance, x.previous FROM p LEFT JOIN d USING (cell) LEFT JOIN x USING (cell)""",
+)
+def cheapest_ways(spark, sf_dir):
+    """The cheapest way to every cell of a corridor below 2,500 m from a few starts, and the cell before it."""
+    g = fx.grid(spark, sf_dir).filter("z < 2500")
+    return drainage.cheapest(g.select("cell", "r", "c", F.expr("1 + (z + 1000) div 250").alias("cost"), (F.col("cell") % 997 == 3).alias("start")))

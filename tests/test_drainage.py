@@ -1,5 +1,6 @@
 """Fronts, receivers across flats, and several ways down, beside plain sweeps."""
 
+import heapq
 import random
 from collections import deque
 
@@ -82,3 +83,31 @@ def test_shared_flow_matches_one_sweep(spark):
         got = {(x.r, x.c): x.flow for x in drainage.multiple_flow(grid, 1.1, tile).collect()}
         assert set(got) == set(z) and all(abs(got[p] - v) < 1e-9 for p, v in flow.items())
     assert drainage.multiple_flow(grid.limit(0)).count() == 0
+
+
+def test_cheapest_ways_equal_dijkstra(spark):
+    random.seed(23)
+    h, w = 15, 18
+    cost = {(r, c): random.choice([1, 1, 2, 9]) for r in range(h) for c in range(w) if random.random() < 0.8}
+    starts = set(random.sample(sorted(cost), 3))
+    far, heap = {}, [(0, p) for p in starts]
+    while heap:
+        d, p = heapq.heappop(heap)
+        if p in far:
+            continue
+        far[p] = d
+        for a, b in STEPS:
+            q = (p[0] + a, p[1] + b)
+            if q in cost:
+                heapq.heappush(heap, (d + (cost[p] + cost[q]) * (7 if a and b else 5), q))
+    cells = spark.createDataFrame([(r * w + c, r, c, v, (r, c) in starts) for (r, c), v in cost.items()], "cell long, r long, c long, cost long, start boolean")
+    got = {x.cell: x for x in drainage.cheapest(cells, 4).collect()}
+    assert {k: x.distance for k, x in got.items()} == {r * w + c: far.get((r, c)) for r, c in cost}
+    for (r, c) in far:
+        x = got[r * w + c]
+        if (r, c) in starts:
+            assert x.previous is None
+            continue
+        p = divmod(x.previous, w)
+        assert max(abs(p[0] - r), abs(p[1] - c)) == 1
+        assert far[p] + (cost[p] + cost[r, c]) * (7 if p[0] != r and p[1] != c else 5) == x.distance

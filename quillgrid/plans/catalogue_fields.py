@@ -339,12 +339,12 @@ def route_monthly_loss(spark, sf_dir):
 @query(
     "ocean_areas",
     ORACLES["connected_components"].replace("SELECT a AS node, min(b) AS label FROM reach GROUP BY 1", "")
-    + "SELECT label, count(*) AS area FROM (SELECT a AS node, min(b) AS label FROM reach GROUP BY 1) GROUP BY 1 HAVING 100 * count(*) >= 2 * (SELECT count(*) FROM m)",
+    + "SELECT label, count(*) AS area FROM (SELECT a AS node, min(b) AS label FROM reach GROUP BY 1) GROUP BY 1 HAVING 1000 * count(*) >= (SELECT count(*) FROM m)",
 )
 def ocean_areas(spark, sf_dir):
-    """Areas of the components of water that have two hundredths of it or more."""
+    """Areas of the components of water that have a thousandth of it or more."""
     parts = connected_components(spark, sf_dir).groupBy("label").agg(F.count("*").alias("area"))
-    return parts.join(F.broadcast(parts.agg(F.sum("area").alias("_all"))), F.col("area") * 100 >= F.col("_all") * 2).select("label", "area")
+    return parts.join(F.broadcast(parts.agg(F.sum("area").alias("_all"))), F.col("area") * 1000 >= F.col("_all")).select("label", "area")
 
 
 @query(

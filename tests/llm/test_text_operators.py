@@ -27,7 +27,7 @@ def same_rows(a, b):
 @pytest.mark.parametrize("name", sorted(q.ORACLES))
 def test_queries_match_sql(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "benchmark", "conversations"):
+    for t in ("documents", "benchmark", "conversations", "embeddings"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     found = c.execute(q.ORACLES[name])
     names = [x[0] for x in found.description]

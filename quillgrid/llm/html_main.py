@@ -8,9 +8,14 @@
    line is known by its text; but in a page that marks an article, a line outside of
    it in a named place (an element with a class, id or role, or one that is not just
    a container) is known by that place, as the words of menus, adverts and footers
-   change from page to page while their place in the template does not.
-4. Shared lines are deleted, and with a shared place all lines in it. Within a marked
-   article a shared line is deleted if most pages of the host share it with theirs.
+   change from page to page while their place in the template does not. A page that
+   marks none is aligned twice: first by text, which tells the lines that vary; from the
+   root on, the section with more than half of what varies is entered, and the last such
+   section stands for the article with the title before it (a varying ``h1`` is no frame). If no
+   section has so much, all from the first to the last line that varies does.
+4. Shared lines are deleted, and with a shared place all lines in it. Within an
+   article a shared line is deleted if most pages of the host share it with theirs, and
+   a heading only with the line that it heads.
 5. What is left in menus, footers, forms, adverts and so on by the element's or
    class's name goes too. These names decide for lines that are not shared (a page
    alone on its host, a comment block that the pair lacks).
@@ -33,6 +38,7 @@ from __future__ import annotations
 import html
 from bisect import bisect_left
 from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -46,11 +52,14 @@ from pyspark.sql import types as T
 from quillgrid.llm.common import cut
 
 #: Elements by what they mean for main text.
-TEXTLESS = {"script", "style", "template", "iframe", "head", "textarea", "select"}
-FRAME = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "button"}
+TEXTLESS = {"script", "style", "template", "iframe", "head", "textarea", "select", "button"}
+FRAME = {"nav", "header", "footer", "aside", "form", "menu", "dialog"}
 MAIN = {"article", "main"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Blocks that may stand for an article: they hold others and are none themselves.
+SECTION = {"article", "body", "center", "div", "html", "main", "section"}
 BLOCK = {
-    "address", "article", "aside", "blockquote", "body", "button", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset",
+    "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset",
     "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "legend", "li", "main", "menu", "nav", "ol",
     "optgroup", "option", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
@@ -93,27 +102,45 @@ def is_frame(name: str, given: list[str]) -> bool:
     return False
 
 
-def lines(source: str) -> list[tuple[str, bool, bool, str]]:
-    """(text, in a marked article, in a frame, named place or "") for each block with text, in order."""
-    out: list[tuple[str, bool, bool, str]] = []
+class Line(NamedTuple):
+    """A block with text: ``place`` is its named place or "", ``block`` its element,
+    ``depth`` the sections around it, the first ``common`` of them also around the line before."""
+
+    text: str
+    main: bool
+    frame: bool
+    place: str
+    block: str
+    common: int
+    depth: int
+
+
+def lines(source: str) -> list[Line]:
+    """Each block with text, in order."""
+    out: list[Line] = []
     held: list[str] = []
     stack: list[tuple[str, bool, bool, str, bool]] = []  # open blocks: name, is main, is frame, place, is named
     at, n = 0, len(source)
-    main = frame = 0
+    main = frame = depth = common = 0
 
     def flush() -> None:
+        nonlocal common
         if held:
             text = " ".join(html.unescape("".join(held)).split())
             held.clear()
             if text:
-                out.append((text, main > 0, frame > 0, stack[-1][3] if stack and stack[-1][4] else ""))
+                name, _, _, place, named = stack[-1] if stack else ("", False, False, "", False)
+                out.append(Line(text, main > 0, frame > 0, place if named else "", name, common, depth))
+                common = depth
 
     def close(upto: int) -> None:
-        nonlocal main, frame
+        nonlocal main, frame, depth, common
         while len(stack) > upto:
-            _, m, f, _, _ = stack.pop()
+            name, m, f, _, _ = stack.pop()
             main -= m
             frame -= f
+            depth -= name in SECTION
+        common = min(common, depth)
 
     while at < n:
         found = TOKEN.match(source, at)
@@ -135,10 +162,12 @@ def lines(source: str) -> list[tuple[str, bool, bool, str]]:
                     break
             continue
         if name in TEXTLESS and not found["rest"].rstrip().endswith("/"):
-            flush()
+            # no block ends here: a script or button amid a paragraph leaves it whole
             end = regex.compile(rf"</{name}\b[^>]*>", regex.IGNORECASE).search(source, at)
             # an unclosed head ends where the body begins
             end = end or (regex.compile(r"(?=<body\b)", regex.IGNORECASE).search(source, at) if name == "head" else None)
+            if end is None and name == "button":
+                continue
             at = end.end() if end else n
             continue
         if name in BLOCK:
@@ -159,6 +188,7 @@ def lines(source: str) -> list[tuple[str, bool, bool, str]]:
             stack.append((name, name in MAIN, f, f"{up[3]}/{'.'.join([name, *given])}", up[4] or bool(given) or name not in CONTAINER))
             main += name in MAIN
             frame += f
+            depth += name in SECTION
     flush()
     return out
 
@@ -275,18 +305,84 @@ def common_length(a: str, b: str) -> int:
 
 
 #: A line's mark: 16 bytes of hash, and what it is known by.
-MARK, TEXT, PLACE, INSIDE = 17, b"\0", b"\1", b"\2"
+MARK, TEXT, PLACE, INSIDE, HEADING = 17, b"\0", b"\1", b"\2", b"\3"
+#: A line of a page that marks no article, whose marks wait for the pair: the hashes of
+#: text and place (zero: none), its code points, ``common``, ``depth``, and 1 for a heading, 2 for an ``h1``.
+OPEN = np.dtype([("text", "V16"), ("place", "V16"), ("chars", "<i4"), ("common", "<i4"), ("depth", "<i4"), ("heading", "u1")])
+MARKED, UNMARKED = b"m", b"u"
+
+
+def digest(text: str) -> bytes:
+    return xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass"))
 
 
 def marks(source: str) -> bytes:
-    """The marks of a page's lines, end to end."""
+    """Whether a page marks an article, and the marks of its lines, end to end."""
     found = lines(source)
-    marked = any(m for _, m, _, _ in found)
-    digest = xxhash.xxh3_128_digest
-    return b"".join(
-        digest(t.encode("utf-8", "surrogatepass")) + INSIDE if m else digest(place.encode("utf-8", "surrogatepass")) + PLACE if marked and place else digest(t.encode("utf-8", "surrogatepass")) + TEXT
-        for t, m, _, place in found
-    )
+    if any(x.main for x in found):
+        inside = lambda x: digest(x.text) + (HEADING if x.block in HEADINGS else INSIDE)
+        return MARKED + b"".join(inside(x) if x.main else digest(x.place) + PLACE if x.place else digest(x.text) + TEXT for x in found)
+    rows = [
+        (digest(x.text), digest(x.place) if x.place else bytes(16), len(x.text), x.common, x.depth, (x.block in HEADINGS) + (x.block == "h1"))
+        for x in found
+    ]
+    return UNMARKED + np.array(rows, OPEN).tobytes()
+
+
+def varying_block(weights: np.ndarray, common: np.ndarray, depth: np.ndarray) -> tuple[int, int]:
+    """The lines (from, to) of the last section that has more than half of the weight of the
+    one around it, from the whole page on."""
+    first, end, level = 0, len(weights), 0
+    while first < end:
+        # sections around all of the lines are entered at once
+        level = max(level, min(int(depth[first:end].min()), int(common[first + 1 : end].min(initial=1 << 30))))
+        inner = depth[first:end] > level
+        starts = np.flatnonzero(inner & (np.append(True, (common[first + 1 : end] <= level) | ~inner[:-1])))
+        if not len(starts):
+            break
+        own = np.where(inner, weights[first:end], 0)
+        sums = np.add.reduceat(own, starts)
+        k = int(sums.argmax())
+        if 2 * sums[k] <= weights[first:end].sum():
+            break
+        upto = starts[k + 1] if k + 1 < len(starts) else end - first
+        stop = np.flatnonzero(~inner[starts[k] : upto])
+        first, end = first + int(starts[k]), first + int(starts[k] + stop[0] if len(stop) else upto)
+        level += 1
+    return first, end
+
+
+def known(own: bytes, other: bytes) -> list[bytes]:
+    """The marks of a page's lines; those of a page that marks no article by what varies from the pair."""
+    if own[:1] == MARKED:
+        return [own[k : k + MARK] for k in range(1, len(own), MARK)]
+    a = np.frombuffer(own, OPEN, offset=1)
+    text, place = ([x.tobytes() for x in a[c]] for c in ("text", "place"))
+    if other[:1] == MARKED:
+        marked = [other[k : k + MARK] for k in range(1, len(other), MARK)]
+        theirs, places = [x[:16] for x in marked], {x[:16] for x in marked if x.endswith(PLACE)}
+    else:
+        theirs, places = [x.tobytes() for x in np.frombuffer(other, OPEN, offset=1)["text"]], set()
+    same = np.zeros(len(a), bool)
+    same[list(shared(text, theirs))] = True
+    same |= np.array([x in places for x in place], bool)
+    weights = np.where(same & ~same.all(), 0, a["chars"]).astype(np.int64)
+    first, end = varying_block(weights, a["common"], a["depth"])
+    if end - first == len(a) and not same.all():
+        # no section stands out: what is shared before and after all that varies is none of it
+        varied = np.flatnonzero(~same)
+        first, end = int(varied[0]), int(varied[-1]) + 1
+    none, heading = bytes(16), a["heading"].tolist()
+    # back to the title, over headings and lines of no named place
+    for k in range(first - 1, -1, -1):
+        if heading[k] == 2 and not same[k]:
+            first = k
+        if not heading[k] and place[k] != none or first == k:
+            break
+    return [
+        t + (HEADING if h else INSIDE) if first <= k < end else p + PLACE if p != none and (h < 2 or same[k]) else t + TEXT
+        for k, (t, p, h) in enumerate(zip(text, place, heading, strict=True))
+    ]
 
 
 def deleted(own: bytes, path: str, before: bytes | None, before_path: str | None, after: bytes | None, after_path: str | None) -> tuple[list[int], list[tuple[int, bytes]]] | None:
@@ -296,14 +392,20 @@ def deleted(own: bytes, path: str, before: bytes | None, before_path: str | None
         before = after
     if before is None:
         return None
-    a, b = ([x[k : k + MARK] for k in range(0, len(x), MARK)] for x in (own, before))
+    a, b = known(own, before), known(before, own)
     places = shared(a, b)
     template = {a[k] for k in places if a[k].endswith(PLACE)}
-    inside = [k for k in places if a[k].endswith(INSIDE)]
-    if 2 * len(inside) >= sum(x.endswith(INSIDE) for x in a):
-        inside = []  # a copy of the pair's article, in whole or for the most part
-    gone = {k for k in places if not a[k].endswith(INSIDE)} | {k for k, x in enumerate(a) if x in template}
-    return sorted(gone), [(k, a[k]) for k in sorted(inside)]
+    within = [k for k, x in enumerate(a) if x.endswith((INSIDE, HEADING))]
+    gone = {k for k in places if not a[k].endswith((INSIDE, HEADING))} | {k for k, x in enumerate(a) if x in template}
+    asks: list[tuple[int, bytes]] = []
+    if 2 * sum(k in places for k in within) < len(within):  # else a copy of the pair's article, in whole or for the most part
+        headed = None  # the line under the headings, from the last on
+        for k in reversed(within):
+            if a[k].endswith(INSIDE):
+                headed = k
+            if k in places and (headed is None or headed in places):
+                asks.append((k, a[k if headed is None else headed]))
+    return sorted(gone), asks[::-1]
 
 
 def main_text(
@@ -430,7 +532,7 @@ def main_text(
         for b in batches:
             texts = []
             for source, gone in zip(b.column(2), b.column(3), strict=True):
-                whole = [(t, m, f and names) for t, m, f, _ in lines(source.as_py())]
+                whole = [(x.text, x.main, x.frame and names) for x in lines(source.as_py())]
                 places = gone.as_py()
                 if places is None:  # no pair: nothing is shared, and a marked article is all there is to go by
                     kept = [t for t, m, f in whole if m and not f]

@@ -2,6 +2,7 @@ import hashlib
 import itertools
 import os
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -460,8 +461,136 @@ def test_differencing_without_names(spark):
     assert {r.text for r in html_main.main_text(few).collect()} == {f"Head {k}\n\nStory {k}\n\nJoin our list today\n\nOther {k}" for k in range(3)}
 
 
+def test_headings_stay_with_what_they_head(spark):
+    """Headings that recur on every page of a host are the article's; those of furniture go with it."""
+    rows = [
+        (k, f"http://a.org/r/{k}", page(f"<article><h1>Dish {k}</h1><h2>Summary</h2><p>About {k}<h2>Ingredients</h2><p>Egg {k}<p>Oil {k}<p>Salt {k}<h4>More</h4><p>See our list</article>"))
+        for k in range(6)
+    ]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_main.main_text(df, names=False).collect()}
+    assert got == {k: "\n\n".join([f"Dish {k}", "Summary", f"About {k}", "Ingredients", f"Egg {k}", f"Oil {k}", f"Salt {k}"]) for k in range(6)}
+
+
+def test_controls_leave_a_paragraph_whole():
+    text = lambda body: [x.text for x in html_main.lines(page(body))]
+    assert text("<p>One <button>Go</button>two <select><option>a</select>three <script>x()</script>four") == ["One two three four"]
+    assert text("<p>One <button>two<p>three") == ["One two", "three"]
+
+
+def unmarked(k, story):
+    menu = "".join(f"<li>Entry {k} {j}</li>" for j in range(3 + k % 3))
+    return page(f"<nav><ul>{menu}</ul></nav><div class='x7'>Buy {k}</div><div><h1>Head {k}</h1><h2>Notes</h2>{story}</div><footer>Foot {k}</footer>")
+
+
+def test_pages_without_an_article(spark):
+    """The section that varies most stands for the article, whatever its name; frames go by their place."""
+    story = lambda k: f"<div><p>Story of number {k}, told at such length that it is more than half of what varies here</p><ul><li>Part {k}</li></ul></div><p>Rest {k}"
+    rows = [(k, f"http://a.org/n/{k}", unmarked(k, story(k))) for k in range(9)]
+    marked = [(k, u, h.replace("<div><h1>", "<article><h1>").replace("</div><footer>", "</article><footer>") if k % 3 == 0 else h) for k, u, h in rows]
+    want = {k: f"Head {k}\n\nNotes\n\nStory of number {k}, told at such length that it is more than half of what varies here\n\nPart {k}\n\nRest {k}" for k in range(9)}
+    for each in (rows, marked):
+        df = spark.createDataFrame(each, "page_id long, url string, html string")
+        for parts in (1, 4):
+            assert {r.page_id: r.text for r in html_main.main_text(df, partitions=parts, names=False).collect()} == want
+
+
+@needs_tables
+def test_tables_without_article_tags(spark):
+    # of the smallest table's 50 pages most are alone on their host
+    pages = spark.read.parquet(f"{os.path.dirname(SF)}/sf0.01/pages.parquet")
+    bare = pages.withColumn("html", html_main.F.regexp_replace("html", r"<(/?)(article|main)\b", "<$1div"))
+    want = {r.page_id: r.text for r in html_main.main_text(pages).collect()}
+    for names, least in ((True, 0.98), (False, 0.9)):
+        got = {r.page_id: r.text for r in html_main.main_text(bare, names=names).collect()}
+        assert sum(got[k] == want[k] for k in want) >= least * len(want)
+
+
+def plain_block(weights, paths):
+    """The varying block by whole paths of section numbers."""
+    rows, level = list(range(len(weights))), 0
+    while True:
+        groups = {}
+        for k in rows:
+            if len(paths[k]) > level:
+                groups.setdefault(paths[k][level], []).append(k)
+        best = max(groups.values(), key=lambda g: sum(weights[k] for k in g), default=[])
+        if not best or len(best) < len(rows) and 2 * sum(weights[k] for k in best) <= sum(weights[k] for k in rows):
+            return rows[0], rows[-1] + 1
+        rows, level = best, level + 1
+
+
+def test_varying_block_is_that_of_a_plain_walk():
+    random.seed(8)
+    for _ in range(400):
+        paths, path, fresh = [], [], itertools.count()
+        for _ in range(random.randint(1, 25)):
+            del path[random.randint(0, len(path)) :]
+            path += [next(fresh) for _ in range(random.choice([0, 0, 1, 2]))]
+            paths.append(list(path))
+        weights = [random.choice([0, 0, 1, 5, 30]) + (k == 0) for k in range(len(paths))]
+        alike = lambda a, b: next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b)))
+        common = [0, *(alike(a, b) for a, b in itertools.pairwise(paths))]
+        got = html_main.varying_block(np.array(weights), np.array(common), np.array([len(x) for x in paths]))
+        assert got == plain_block(weights, paths)
+
+
+def plain_main_text(rows):
+    """The query by quadratic tables over one host's pages that all mark an article, each line once a page."""
+    key = lambda r: re.sub(r"^//[^/]*|(\.html?|/)$", "", re.sub(r"[?#].*$", "", r[1].partition(":")[2]))
+    rows = sorted(rows, key=lambda r: (key(r), r[0]))
+    cut = [html_main.lines(r[2]) for r in rows]
+    own = [[(1, x.text) if x.main else (2, x.place) if x.place else (0, x.text) for x in c] for c in cut]
+    texts, asked, on = [], [], Counter()
+    for i, a in enumerate(own):
+        near = [j for j in (i - 1, i + 1) if 0 <= j < len(own)]
+        j = max(near, key=lambda j: (html_main.common_length(key(rows[i]), key(rows[j])), -j))
+        b = own[j]
+        t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for x in range(len(a)):
+            for y in range(len(b)):
+                t[x + 1][y + 1] = t[x][y] + 1 if a[x] == b[y] else max(t[x][y + 1], t[x + 1][y])
+        x, y, places = len(a), len(b), set()
+        while x and y:
+            if a[x - 1] == b[y - 1] and t[x][y] == t[x - 1][y - 1] + 1:
+                x, y = x - 1, y - 1
+                places.add(x)
+            elif t[x - 1][y] >= t[x][y - 1]:
+                x -= 1
+            else:
+                y -= 1
+        gone = {k for k in range(len(a)) if a[k][0] != 1 and (k in places or a[k][0] == 2 and a[k] in {a[p] for p in places})}
+        inner = [k for k in range(len(a)) if a[k][0] == 1]
+        ask = {k for k in inner if k in places} if 2 * sum(k in places for k in inner) < len(inner) else set()
+        on.update({a[k] for k in ask})
+        texts.append(gone)
+        asked.append(ask)
+    out = {}
+    for r, c, a, gone, ask in zip(rows, cut, own, texts, asked, strict=True):
+        gone = gone | {k for k in ask if len(rows) >= 4 and 2 * on[a[k]] > len(rows)}
+        kept = [x.text for k, x in enumerate(c) if k not in gone and not x.frame]
+        out[r[0]] = "\n\n".join(kept or [x.text for x in c if not x.frame])
+    return out
+
+
+def test_query_matches_plain_differencing(spark):
+    random.seed(21)
+    for size in (2, 5, 14):
+        rows = []
+        for k in range(size):
+            some = lambda names: "".join(f"<{t}>{x}</{t}>" for t, x in names if random.random() < 0.7)
+            head = some([("div", "Site"), ("nav", f"Menu {k}"), ("p", "Welcome"), ("aside", "Tip")])
+            inner = some([("p", f"Own {k} {j}") for j in range(6)]) + "<p>Join us" + some([("p", "Quoted"), ("p", "Cited")])
+            foot = some([("p", "Terms"), ("footer", f"Foot {k}"), ("p", f"Late {k}")])
+            rows.append((k, f"http://h.org/{'ab'[k % 2]}/{k // 3}/{k}.html?x={k}", page(f"{head}<article>{inner}</article>{foot}")))
+        df = spark.createDataFrame(rows, "page_id long, url string, html string")
+        for parts in (1, 3):
+            got = {r.page_id: r.text for r in html_main.main_text(df, partitions=parts).collect()}
+            assert got == plain_main_text(rows)
+
+
 def test_names_of_frames():
-    text = lambda body: [t for t, _, f, _ in html_main.lines(page(f"<article>{body}</article>")) if not f]
+    text = lambda body: [x.text for x in html_main.lines(page(f"<article>{body}</article>")) if not x.frame]
     assert text("<section class='market-share-figures'><p>a</section><div id='notice-and-takedown'>b</div><p class='ad-hoc related-work'>c") == ["a", "b", "c"]
     assert text("<div class='share-buttons'>a</div><div class='x cookie-notice'>b</div><div id=comments-list>c</div><aside>d</aside>") == []
     assert text("<p>x <math><mi>y</mi></math> z <noscript>n</noscript><object>o</object><video>v</video>") == ["x y z nov"]

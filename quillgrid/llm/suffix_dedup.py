@@ -28,8 +28,12 @@ Memory of a task is bounded by ``BATCH`` bytes of segments and the longest group
 of one anchor. Groups of more than ``hot_segments`` distinct segments don't go
 to one task: their windows are counted one by one by 128-bit hash.
 
+Repeated rows (same id, same text) repeat each other whole: their spans are known
+from their number, and only one of them goes on to the segments. No task gathers
+the rows of one key, however many there are.
+
 Defined results: a null text is empty; documents shorter than ``length`` keep all
-bytes; repeated rows repeat each other; a null id is a value; an empty table gives
+bytes; repeated rows keep nothing if they have as much; a null id is a value; an empty table gives
 an empty result; other columns are not read. Spans are joined before they are
 collected, so a long periodic text, which has a segment at each byte, ends as one.
 """
@@ -353,17 +357,40 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(*(values[c].alias(c) for c in docs.columns))
 
 
+def without_copies(keyed: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The rows whose id and text no other row has, and the other rows (None: there are none)."""
+    key = F.struct("_id", "_h").alias("_key")  # nulls in a struct are equal
+    copied = written(keyed.groupBy("_id", "_h").agg(F.count("*").alias("_n")).filter("_n > 1").select(key, "_n"), "copied")
+    if not copied.head(1):
+        return keyed, None
+    total = keyed.count()
+    # the keys of more than a thousandth of the rows, at most a thousand, are broadcast
+    many, few = F.broadcast(copied.filter(F.col("_n") * 1000 > total)), copied.filter(F.col("_n") * 1000 <= total)
+    rows = keyed.select("*", key)
+    rest = rows.join(many, "_key", "left_anti")
+    copies = rows.join(many, "_key", "left_semi").unionByName(rest.join(few, "_key", "left_semi"))
+    return rest.join(few, "_key", "left_anti").drop("_key"), copies.drop("_key")
+
+
 def _removed(keyed: DataFrame, id_name: str, length: int, hot_segments: int) -> DataFrame:
+    single, copies = without_copies(keyed)
+    judged = single.select("_id", "_h", "_text")
+    if copies is not None:
+        judged = judged.unionByName(copies.groupBy("_id", "_h").agg(F.first("_text").alias("_text")))
     # spans that touch are one before any are collected
     in_order = Window.partitionBy("_id", "_h").orderBy("start", "stop")
     reach = F.max("stop").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
-    spans = repeated_spans(keyed, length, hot_segments).withColumn("_new", F.when(F.col("start") <= reach, 0).otherwise(1))
+    spans = repeated_spans(judged, length, hot_segments).withColumn("_new", F.when(F.col("start") <= reach, 0).otherwise(1))
     spans = spans.withColumn("_run", F.sum("_new").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
     spans = spans.groupBy("_id", "_h", "_run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
     spans = spans.groupBy("_id", "_h").agg(F.collect_list(F.struct("start", "stop")).alias("_spans"))
     spans = spans.withColumnsRenamed({"_id": "_id2", "_h": "_h2"})
     carried = [c for c in keyed.columns if c == "_row"]
-    joined = keyed.join(spans, keyed["_id"].eqNullSafe(spans["_id2"]) & (keyed["_h"] == spans["_h2"]), "left").select("_id", "_text", "_spans", *carried)
+    joined = single.join(spans, single["_id"].eqNullSafe(spans["_id2"]) & (single["_h"] == spans["_h2"]), "left").select("_id", "_text", "_spans", *carried)
+    if copies is not None:
+        size = F.octet_length("_text").cast("long")
+        whole = F.when(size >= length, F.array(F.struct(F.lit(0).cast("long").alias("start"), size.alias("stop"))))
+        joined = joined.unionByName(copies.select("_id", "_text", whole.alias("_spans"), *carried))
     schema = T.StructType([
         T.StructField(id_name, keyed.schema["_id"].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()),
         T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField("kept_text", T.StringType()), *(keyed.schema[c] for c in carried),

@@ -115,6 +115,25 @@ def test_common_keys_are_broadcast(spark):
     assert sorted((r.key, r.x, r.n) for r in got.collect()) == sorted([(1, k, 3000) for k in range(3000)] + [(k, 0, 1) for k in range(2, 400)])
 
 
+def test_copies_of_one_row_are_counted(spark, monkeypatch):
+    random.seed(3)
+    text = lambda n: "".join(random.choice(["thon", "er", "é", "a ", "ing "]) for _ in range(n))
+    hot, twice, short = text(150), text(120), "x" * 199
+    docs = [(None, hot)] * 6000 + [(7, twice)] * 2 + [(8, short)] * 3 + [(None, None)] * 2 + [(None, text(90)), (1, text(20) + hot[30:260]), (2, text(100)), (3, twice[:210] + text(9)), (None, short), (4, hot)]
+    judged = []
+    inner = suffix_dedup.repeated_spans
+    monkeypatch.setattr(suffix_dedup, "repeated_spans", lambda keyed, *x: judged.append(keyed.count()) or inner(keyed, *x))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(df).collect())
+    few = docs[5998:]  # two copies tell as much as thousands
+    want = Counter()
+    for (i, t), removed in zip(few, brute_removed([t or "" for _, t in few], 200), strict=True):
+        want[i, *removed] += 3000 if i is None and t == hot else 1
+    assert got == want and judged == [len(set(docs))]
+    kept = suffix_dedup.without_repeats(df.selectExpr("*", "1 AS n_chars", "'k' AS _key"))
+    assert kept.count() == len(docs) and kept.columns == ["doc_id", "text", "n_chars", "_key"]
+
+
 def test_suffix_dedup_edges(spark):
     got = suffix_dedup.remove_repeats(edges.table(spark)).collect()
     by = {}

@@ -167,7 +167,7 @@ def budget(at: DataFrame, nodes: DataFrame, cells: DataFrame) -> DataFrame:
 
 def cascade(nodes: DataFrame, sums: DataFrame) -> DataFrame:
     """(node, runoff, loss, water, full, active, passed): where water stands in the long run. A
-    depression is full if what reaches it covers its loss at its spill; it is a lake of its own
+    depression is full if what reaches it covers its loss at its spill and all within it are full; it is a lake of its own
     (active) if it is a leaf or both its children are full; a full one passes its surplus over its
     pass into the leaf beyond unless its sibling is full too, when both are one lake. ``water`` is
     what reaches a depression from outside it (of two that are one lake, not what the one gave the other).
@@ -195,8 +195,11 @@ def cascade(nodes: DataFrame, sums: DataFrame) -> DataFrame:
         # a flow adds to every node from the leaf it reaches up to, and without, ``upto``
         reached = flows.select(F.col("beyond").alias("node"), "q").unionByName(flows.filter("upto IS NOT NULL").select(F.col("upto").alias("node"), (-F.col("q")).alias("q")))
         more = subtree_sums(n, reached, ["q"]).withColumnRenamed("q", "_q")
-        state = n.join(more, "node").withColumn("water", F.col("runoff") + F.col("_q")).withColumn("full", F.col("_was") | F.col("_spills") & (F.col("water") >= F.col("loss")))
+        state = n.join(more, "node").withColumn("water", F.col("runoff") + F.col("_q")).withColumn("_enough", F.col("_was") | F.col("_spills") & (F.col("water") >= F.col("loss")))
         state = written(state.drop("_q"))
+        # water enough for all of a depression may still have to run over within it: it is full with all below it
+        short = subtree_sums(n, state.select("node", F.when(F.col("_enough"), 0).otherwise(1).cast("long").alias("_short")), ["_short"])
+        state = written(state.join(short, "node").withColumn("full", F.coalesce(F.col("_enough"), F.lit(False)) & (F.col("_short") == 0)).drop("_enough", "_short"))
         now = state.filter("full").count()
         if now == was:
             break

@@ -159,6 +159,19 @@ def test_cascade_matches_parcels(spark):
         assert wet.get(n, set()) == cover and found[n].level2 == level2 and found[n].cells == len(cover), n
 
 
+def test_water_that_is_enough_for_a_depression_still_has_to_fill_what_lies_in_it(spark):
+    """P holds A and B, B holds C and D, D holds E and F; all water falls on A and runs E, F, D, C."""
+    parent = {"P": None, "A": "P", "B": "P", "C": "B", "D": "B", "E": "D", "F": "D"}
+    beyond = {"P": None, "A": "E", "B": "A", "C": "E", "D": "C", "E": "F", "F": "E"}
+    loss = {"P": 11, "A": 0, "B": 11, "C": 5, "D": 6, "E": 3, "F": 3}
+    number = {n: k + 1 for k, n in enumerate(parent)}
+    nodes = spark.createDataFrame([(number[n], number.get(p), number.get(beyond[n], depressions.OUTLET), 9) for n, p in parent.items()], "node long, parent long, beyond long, spill long")
+    sums = spark.createDataFrame([(number[n], 20 if n in "PA" else 0, loss[n]) for n in parent], "node long, runoff long, loss long")
+    got = {r.node: r for r in depressions.cascade(nodes, sums).collect()}
+    assert all(r.full for r in got.values())
+    assert {n: got[number[n]].passed for n in parent} == {n: 9 if n == "P" else 0 for n in parent}
+
+
 def test_empty_grid(spark):
     at = depressions.pits(spark.createDataFrame([], SCHEMA))
     nodes = depressions.tree(at)

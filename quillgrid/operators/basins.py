@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillgrid.operators.graph import roots, steepest_receivers
 from quillgrid.operators.spatial import neighbours
-from quillgrid.session import cut, written
+from quillgrid.session import apart, cut, written
 
 
 def filled(grid: DataFrame) -> DataFrame:
@@ -56,23 +56,7 @@ def owners(nodes: DataFrame) -> DataFrame:
     """(cell, owner) of nodes (cell, receiver, owner): the first owner met on the way down,
     a cell's own first; null if there is none."""
     ends = roots(nodes.select("cell", F.when(F.col("owner").isNull(), F.col("receiver")).alias("receiver")))
-    return ends.join(nodes.select(F.col("cell").alias("root"), "owner"), "root").select("cell", "owner")
-
-
-def way_to_stop(nodes: DataFrame, keys: list[str], most_rounds: int = 40) -> DataFrame:
-    """(*keys, cell, stop, way) of nodes (*keys, cell, receiver, length), one forest for each
-    value of ``keys``: the last node of a path and the lengths from a cell to it, both ends
-    counted. By doubling."""
-    stop = F.coalesce("receiver", "cell")
-    at = cut(nodes.select(*keys, "cell", stop.alias("stop"), F.when(F.col("receiver").isNotNull(), F.col("length")).otherwise(F.lit(0)).alias("way")))
-    for _ in range(most_rounds):
-        jump = at.select(*keys, F.col("cell").alias("stop"), F.col("stop").alias("_next"), F.col("way").alias("_more"))
-        ahead = written(at.join(jump, [*keys, "stop"]).select(*keys, "cell", F.col("_next").alias("stop"), (F.col("way") + F.col("_more")).alias("way"), (F.col("_next") != F.col("stop")).alias("_m")))
-        at = ahead.drop("_m")
-        if not ahead.filter("_m").head(1):
-            last = nodes.select(*keys, F.col("cell").alias("stop"), "length")
-            return at.join(last, [*keys, "stop"]).select(*keys, "cell", "stop", (F.col("way") + F.col("length")).alias("way"))
-    raise RuntimeError("receivers make a cycle, or paths are longer than 2^40")
+    return ends.join(apart(nodes.select(F.col("cell").alias("root"), "owner")), "root").select("cell", "owner")
 
 
 #: Why a reach cannot be passed, in the order in which reasons are looked for.
@@ -80,27 +64,51 @@ REASONS = {"dry": 1, "obstacle": 6, "slope": 5, "depth": 2, "width": 3, "current
 NO_OUTLET = 7
 
 
-def navigable(reaches: DataFrame, vessels: list[dict]) -> DataFrame:
+def navigable(reaches: DataFrame, vessels: list[dict], most_rounds: int = 40) -> DataFrame:
     """(vessel, month, cell, open, limit_reach, reason, route) of reaches (cell, receiver, month,
     length, slope, flow, width, depth, velocity, obstacle, outlet) and vessel classes (vessel,
     min_depth, min_width, max_slope, max_velocity): a reach is open if it and all below it
     let the vessel pass until an outlet. Else the first reach that does not and why
     (``REASONS``, or ``NO_OUTLET`` at an end without outlet); reason 0 and no reach if open.
 
-    The first failing reach of a path is where pointers stop, so the rounds are the
-    logarithm of the longest path, not its length.
+    A reach has one receiver in all months. Months and classes of a reach stand side by side in one row, so a round
+    joins reaches, not their months; rounds are the logarithm of the longest path until all of a
+    reach are settled.
     """
-    tests = {
-        "dry": F.col("flow") <= 0, "obstacle": F.col("obstacle"), "slope": F.col("slope") > F.col("max_slope"), "depth": F.col("depth") < F.col("min_depth"),
-        "width": F.col("width") < F.col("min_width"), "current": F.col("velocity") > F.col("max_velocity"),
+    tests = lambda v: {
+        "dry": F.col("flow") <= 0, "obstacle": F.col("obstacle"), "slope": F.col("slope") > v["max_slope"], "depth": F.col("depth") < v["min_depth"],
+        "width": F.col("width") < v["min_width"], "current": F.col("velocity") > v["max_velocity"],
     }
-    local = F.coalesce(*(F.when(tests[k], code) for k, code in REASONS.items()), F.lit(0))
-    classes = F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in one.items())) for one in vessels))
-    all_ = reaches.select("*", F.explode(classes).alias("_v")).select("*", "_v.*").drop("_v").withColumn("_why", local)
-    all_ = cut(all_.select("vessel", "month", "cell", F.when((F.col("_why") == 0) & ~F.col("outlet"), F.col("receiver")).alias("receiver"), "length", "outlet", "_why"))
-    ways = way_to_stop(all_, ["vessel", "month"])
-    ends = all_.select("vessel", "month", F.col("cell").alias("stop"), F.when(F.col("_why") > 0, F.col("_why")).when(F.col("outlet"), 0).otherwise(NO_OUTLET).alias("reason"))
+    onward = -1
+    local = lambda v: F.coalesce(*(F.when(tests(v)[k], code) for k, code in REASONS.items()), F.when(F.col("outlet"), 0).when(F.col("receiver").isNull(), NO_OUTLET).otherwise(onward))
+    kind = reaches.schema["month"].dataType
+    months = sorted(r[0] for r in reaches.select("month").distinct().collect())
+    told = reaches.select("cell", "receiver", "month", "length", *(local(v).alias(f"_{k}") for k, v in enumerate(vessels)))
+    of = lambda m, c: F.max(F.when(F.col("month") == m, F.col(c)))
+    wide = told.groupBy("cell").agg(
+        F.min("receiver").alias("_low"), F.max("receiver").alias("_high"), *(of(m, "length").alias(f"_l{j}") for j, m in enumerate(months)),
+        *(of(m, f"_{k}").alias(f"_{k}_{j}") for k in range(len(vessels)) for j, m in enumerate(months)),
+    )
+    one = F.when(F.col("_low").eqNullSafe(F.col("_high")), F.col("_low")).otherwise(F.raise_error(F.lit("a reach has two receivers")).cast("long"))
+    layers = [(v["vessel"], m) for v in vessels for m in months]
+    state = lambda k, j: F.when(F.col(f"_{k}_{j}").isNotNull(), F.struct(F.when(F.col(f"_{k}_{j}") != onward, F.col("cell")).alias("stop"), F.col(f"_l{j}").alias("way"), F.col(f"_{k}_{j}").alias("reason")))
+    open_ = F.exists("_s", lambda x: x["reason"] == onward)
+    at = wide.select("cell", one.alias("p"), F.array(*(state(k, j) for k in range(len(vessels)) for j in range(len(months)))).alias("_s"))
+    at = written(at.withColumn("p", F.when(open_, F.col("p"))))
+    for _ in range(most_rounds):
+        going = at.filter("p IS NOT NULL")
+        if not going.head(1):
+            break
+        ahead = at.select(F.col("cell").alias("p"), F.col("p").alias("_next"), F.col("_s").alias("_t"))
+        # what has not met its stop goes on from where the next one begins; a missing reach ends a way without result
+        further = lambda a, b: F.when(a["reason"] != onward, a).when(a.isNotNull() & b.isNotNull(), F.struct(b["stop"].alias("stop"), (a["way"] + b["way"]).alias("way"), b["reason"].alias("reason")))
+        met = going.join(apart(ahead), "p", "left").select("cell", F.col("_next").alias("p"), F.zip_with("_s", F.coalesce("_t", F.array()), further).alias("_s"))
+        at = written(met.withColumn("p", F.when(open_, F.col("p"))).unionByName(at.filter("p IS NULL")))
+    else:
+        raise RuntimeError("receivers make a cycle, or paths are longer than 2^40")
+    names = F.array(*(F.struct(F.lit(v).alias("vessel"), F.lit(m).cast(kind).alias("month")) for v, m in layers)) if layers else None
+    if names is None:
+        return reaches.limit(0).select(F.lit("").alias("vessel"), "month", "cell", F.lit(False).alias("open"), F.col("cell").alias("limit_reach"), F.lit(0).alias("reason"), F.col("length").alias("route"))
+    each = at.select("cell", F.explode(F.filter(F.zip_with("_s", names, lambda s, n: F.struct(s.alias("s"), n.alias("n"))), lambda x: x["s"].isNotNull() & (x["s"]["reason"] != onward))).alias("_x")).select("cell", "_x.s.*", "_x.n.*")
     open_ = F.col("reason") == 0
-    return ways.join(ends, ["vessel", "month", "stop"]).select(
-        "vessel", "month", "cell", open_.alias("open"), F.when(~open_, F.col("stop")).alias("limit_reach"), "reason", F.when(open_, F.col("way")).otherwise(F.lit(0)).alias("route")
-    )
+    return each.select("vessel", "month", "cell", open_.alias("open"), F.when(~open_, F.col("stop")).alias("limit_reach"), "reason", F.when(open_, F.col("way")).otherwise(F.lit(0)).alias("route"))

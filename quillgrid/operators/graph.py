@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgrid.operators.spatial import neighbours
-from quillgrid.session import cut
+from quillgrid.session import apart, cut
 
 
 def steepest_receivers(grid: DataFrame) -> DataFrame:
@@ -42,7 +42,7 @@ def accumulate_all(nodes: DataFrame, names: list[str], most_rounds: int = 40) ->
         sent = at.filter("p IS NOT NULL").groupBy(F.col("p").alias("cell")).agg(*(F.sum(n).alias(f"_more_{n}") for n in names))
         jump = at.select(F.col("cell").alias("p"), F.col("p").alias("pp"))
         at = cut(
-            at.join(sent, "cell", "left").join(jump, "p", "left")
+            at.join(apart(sent), "cell", "left").join(apart(jump), "p", "left")
             .select("cell", F.col("pp").alias("p"), *((F.col(n) + F.coalesce(f"_more_{n}", F.lit(0))).alias(n) for n in names))
         )
         if not at.filter("p IS NOT NULL").head(1):
@@ -55,7 +55,7 @@ def roots(nodes: DataFrame, most_rounds: int = 40) -> DataFrame:
     at = cut(nodes.select("cell", F.coalesce("receiver", "cell").alias("root"), F.when(F.col("receiver").isNull(), 0).otherwise(1).cast("long").alias("steps")))
     for _ in range(most_rounds):
         jump = at.select(F.col("cell").alias("root"), F.col("root").alias("next"), F.col("steps").alias("more"))
-        moved = cut(at.join(jump, "root").select("cell", F.col("next").alias("root"), (F.col("steps") + F.col("more")).alias("steps"), (F.col("next") != F.col("root")).alias("_m")))
+        moved = cut(at.join(apart(jump), "root").select("cell", F.col("next").alias("root"), (F.col("steps") + F.col("more")).alias("steps"), (F.col("next") != F.col("root")).alias("_m")))
         at = moved.drop("_m")
         if not moved.filter("_m").head(1):
             return at
@@ -68,11 +68,11 @@ def components(edges: DataFrame, nodes: DataFrame, most_rounds: int = 60) -> Dat
     both = cut(edges.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(edges.select(F.col("b").alias("x"), F.col("a").alias("y"))).distinct())
     at = cut(nodes.select("node", F.col("node").alias("label")))
     for _ in range(most_rounds):
-        offered = both.join(at, both["y"] == at["node"]).groupBy("x").agg(F.min("label").alias("m"))
-        low = at.join(offered, at["node"] == offered["x"], "left").select("node", F.least("label", F.coalesce("m", "label")).alias("label"), F.col("label").alias("was"))
+        offered = both.join(apart(at), both["y"] == at["node"]).groupBy("x").agg(F.min("label").alias("m"))
+        low = at.join(apart(offered), at["node"] == offered["x"], "left").select("node", F.least("label", F.coalesce("m", "label")).alias("label"), F.col("label").alias("was"))
         low = cut(low)
         hop = low.select(F.col("node").alias("label"), F.col("label").alias("to"))
-        at = cut(low.join(hop, "label").select("node", F.col("to").alias("label"), "was"))
+        at = cut(low.join(apart(hop), "label").select("node", F.col("to").alias("label"), "was"))
         if not at.filter("label != was").head(1):
             return at.select("node", "label")
         at = at.select("node", "label")
@@ -95,9 +95,9 @@ def downstream(nodes: DataFrame, starts: DataFrame, most_rounds: int = 40) -> Da
     jump = cut(nodes.filter("receiver IS NOT NULL").select("cell", F.col("receiver").alias("to")))
     path = cut(starts.select(F.col("cell").alias("start"), "cell", F.lit(0).cast("long").alias("step")))
     for n in range(most_rounds):
-        ahead = cut(path.join(jump, "cell").select("start", F.col("to").alias("cell"), (F.col("step") + (1 << n)).alias("step")))
+        ahead = cut(path.join(apart(jump), "cell").select("start", F.col("to").alias("cell"), (F.col("step") + (1 << n)).alias("step")))
         if not ahead.head(1):
             return path
         path = cut(path.unionByName(ahead))
-        jump = cut(jump.join(jump.select(F.col("cell").alias("to"), F.col("to").alias("next")), "to").select("cell", F.col("next").alias("to")))
+        jump = cut(jump.join(apart(jump.select(F.col("cell").alias("to"), F.col("to").alias("next"))), "to").select("cell", F.col("next").alias("to")))
     raise RuntimeError("receivers make a cycle, or paths are longer than 2^40")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgrid.operators.contraction import settle
+from quillgrid.session import apart, written
 
 
 def strahler(nodes: DataFrame) -> DataFrame:
@@ -19,13 +20,16 @@ def route_with_loss(nodes: DataFrame) -> DataFrame:
     negative: a cell loses what it may of its inflow and own water, never more than there is;
     the rest goes to its receiver. The months of a cell (the few values of ``month``) are settled beside each other."""
     months = sorted(r[0] for r in nodes.select("month").distinct().collect())
+    if not months:
+        return nodes.select("cell", "month", F.col("lateral").alias("inflow"), "loss", F.col("lateral").alias("outflow"))
     kind = nodes.schema["lateral"].dataType
-    wide = nodes.groupBy("cell").agg(F.max("receiver").alias("receiver"), *(F.sum(F.when(F.col("month") == m, F.col("lateral") - F.col("loss"))).alias(f"m{k}") for k, m in enumerate(months)))
+    of = lambda m, x: F.when(F.col("month") == m, x)
+    sums = [f for k, m in enumerate(months) for f in (F.sum(of(m, F.col("lateral") - F.col("loss"))).alias(f"m{k}"), F.max(of(m, F.struct("lateral"))).alias(f"l{k}"))]
+    wide = written(nodes.groupBy("cell").agg(F.max("receiver").alias("receiver"), *sums))
     # a cell without a month passes on what it gets
-    wide = wide.fillna(0, [f"m{k}" for k in range(len(months))]).select("cell", "receiver", *(F.col(f"m{k}").cast(kind).alias(f"m{k}") for k in range(len(months))))
-    settled = settle(wide, [f"m{k}" for k in range(len(months))])
-    each = F.explode(F.array(*(F.struct(F.lit(m).alias("month"), F.col(f"m{k}_in").alias("inflow"), F.col(f"m{k}_out").alias("outflow")) for k, m in enumerate(months)))) if months else None
-    if each is None:
-        return nodes.select("cell", "month", F.col("lateral").alias("inflow"), "loss", F.col("lateral").alias("outflow"))
-    tall = settled.select("cell", each.alias("_x")).select("cell", "_x.month", "_x.inflow", "_x.outflow")
-    return tall.join(nodes.select("cell", "month", "lateral"), ["cell", "month"]).select("cell", "month", "inflow", (F.col("inflow") + F.col("lateral") - F.col("outflow")).alias("loss"), "outflow")
+    adds = [F.coalesce(f"m{k}", F.lit(0)).cast(kind).alias(f"m{k}") for k in range(len(months))]
+    settled = settle(wide.select("cell", "receiver", *adds), [f"m{k}" for k in range(len(months))])
+    both = settled.join(apart(wide.select("cell", *(f"l{k}" for k in range(len(months))))), "cell")
+    each = F.array(*(F.struct(F.lit(m).alias("month"), F.col(f"m{k}_in").alias("inflow"), F.col(f"m{k}_out").alias("outflow"), F.col(f"l{k}").alias("own")) for k, m in enumerate(months)))
+    tall = both.select("cell", F.explode(F.filter(each, lambda x: x["own"].isNotNull())).alias("_x")).select("cell", "_x.*")
+    return tall.select("cell", "month", "inflow", (F.col("inflow") + F.col("own.lateral") - F.col("outflow")).alias("loss"), "outflow")

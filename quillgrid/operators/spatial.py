@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgrid.session import cut
+from quillgrid.session import apart, cut
 
 #: The eight directions, clockwise from north.
 DIRECTIONS = ((-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1))
@@ -44,28 +44,37 @@ def nearest_k(queries: DataFrame, points: DataFrame, k: int, bucket: int) -> Dat
     that is nearer than a bucket's side. A query is settled once its k-th distance is
     under that; the others look again in buckets twice as wide, until one is as wide as
     everything. So a query far from all points costs a few more rounds, not more buckets.
+    Queries at one place are looked up once, of points at one place only the first ``k`` can
+    count, and ``bucket`` is halved while buckets hold more than four times ``k`` points on average.
     """
-    spread = lambda df, x, y: df.agg(F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1"))
-    box = spread(points, "x", "y").unionByName(spread(queries, "qx", "qy")).agg(F.max("x1") - F.min("x0"), F.max("y1") - F.min("y0")).first()
-    widest = max(0, *(v or 0 for v in box))
+    asks = queries.filter("qx IS NOT NULL AND qy IS NOT NULL")
+    same = Window.partitionBy("x", "y").orderBy("pid")
+    points = cut(points.select("pid", "x", "y").withColumn("_n", F.row_number().over(same)).filter(F.col("_n") <= k).drop("_n"))
+    spread = lambda df, x, y: df.agg(F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1"), F.count(x).alias("n"))
+    one, two = spread(points, "x", "y").first(), spread(asks, "qx", "qy").first()
+    reach = lambda a, b: max((d[b] for d in (one, two) if d["n"]), default=0) - min((d[a] for d in (one, two) if d["n"]), default=0)
+    widest = max(reach("x0", "x1"), reach("y0", "y1"))
+    while bucket > 1 and one["n"] * bucket * bucket > 4 * k * max(one["x1"] - one["x0"], 1) * max(one["y1"] - one["y0"], 1):
+        bucket = max(1, bucket // 2)
     at = lambda c: F.floor(F.col(c) / F.lit(bucket))
-    left, done = queries, []
+    left, done = cut(asks.select("qx", "qy").distinct()), []
     around = F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)))
     while True:
-        probes = left.select("qid", "qx", "qy", F.explode(around).alias("_d")).select("qid", "qx", "qy", (at("qx") + F.col("_d.dx")).alias("bx"), (at("qy") + F.col("_d.dy")).alias("by"))
+        probes = left.select("qx", "qy", F.explode(around).alias("_d")).select("qx", "qy", (at("qx") + F.col("_d.dx")).alias("bx"), (at("qy") + F.col("_d.dy")).alias("by"))
         d2 = (F.col("x") - F.col("qx")) * (F.col("x") - F.col("qx")) + (F.col("y") - F.col("qy")) * (F.col("y") - F.col("qy"))
-        near = probes.join(points.withColumns({"bx": at("x"), "by": at("y")}), ["bx", "by"]).select("qid", "pid", d2.alias("d2"))
-        rank = F.row_number().over(Window.partitionBy("qid").orderBy("d2", "pid"))
+        near = probes.join(apart(points.withColumns({"bx": at("x"), "by": at("y")})), ["bx", "by"]).select("qx", "qy", "pid", d2.alias("d2"))
+        rank = F.row_number().over(Window.partitionBy("qx", "qy").orderBy("d2", "pid"))
         best = cut(near.withColumn("rank", rank).filter(F.col("rank") <= k))
         if bucket > widest:
             done.append(best)
-            return reduce(DataFrame.unionByName, done)
-        settled = best.filter((F.col("rank") == k) & (F.col("d2") < bucket * bucket)).select("qid")
-        done.append(best.join(settled, "qid", "left_semi"))
-        left = cut(left.join(settled, "qid", "left_anti"))
+            break
+        settled = best.filter((F.col("rank") == k) & (F.col("d2") < bucket * bucket)).select("qx", "qy")
+        done.append(best.join(apart(settled), ["qx", "qy"], "left_semi"))
+        left = cut(left.join(apart(settled), ["qx", "qy"], "left_anti"))
         if not left.head(1):
-            return reduce(DataFrame.unionByName, done)
+            break
         bucket *= 2
+    return asks.join(apart(reduce(DataFrame.unionByName, done)), ["qx", "qy"]).select("qid", "pid", "d2", "rank")
 
 
 def meeting_boxes(boxes: DataFrame, asks: DataFrame, bucket: int, period: int | None = None) -> DataFrame:
@@ -87,6 +96,16 @@ def meeting_boxes(boxes: DataFrame, asks: DataFrame, bucket: int, period: int |
     return a.join(b, ["bx", "by"]).filter(overlap & first).select("id", "ask")
 
 
+def meeting_totals(boxes: DataFrame, asks: DataFrame, bucket: int, period: int | None = None) -> DataFrame:
+    """(ask, boxes, ids) of asks that meet any box: how many and the sum of their ids. Equal boxes meet as
+    one, with their count and sum, and equal asks too, so that copies of places make no pairs."""
+    place = ["x0", "y0", "x1", "y1"]
+    several = boxes.groupBy(*place).agg(F.struct(F.count("*").alias("n"), F.sum("id").alias("ids")).alias("id"))
+    asked = asks.select(*place).distinct().select("*", F.struct(*place).alias("id"))
+    met = meeting_boxes(several, asked, bucket, period).groupBy("ask").agg(F.sum("id.n").alias("boxes"), F.sum("id.ids").alias("ids"))
+    return asks.select(F.col("id").alias("ask"), *place).join(apart(met.select("ask.*", "boxes", "ids")), place).select("ask", "boxes", "ids")
+
+
 def within_radius(points: DataFrame, x: int, y: int, radius: int, limit: int) -> DataFrame:
     """The nearest ``limit`` points of one place within a radius (a top-k, never a full sort)."""
     d2 = (F.col("x") - x) * (F.col("x") - x) + (F.col("y") - y) * (F.col("y") - y)

@@ -62,7 +62,7 @@ def boxes_meeting(spark, sf_dir):
     a = a.select("id", "x0", "y0", (F.col("x0") + F.col("p_size")).alias("x1"), (F.col("y0") + F.col("p_size")).alias("y1"))
     b = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") * 331 % 4000 - 2000).alias("x0"), (F.col("s_suppkey") * 577 % 2000 - 1000).alias("y0"))
     b = b.withColumns({"x1": F.col("x0") + 300, "y1": F.col("y0") + 200})
-    return spatial.meeting_boxes(a, b, 128, 4000).groupBy("ask").agg(F.count("*").alias("boxes"), F.sum("id").alias("ids"))
+    return spatial.meeting_totals(a, b, 128, 4000)
 
 
 def _mix_sql(x: str) -> str:

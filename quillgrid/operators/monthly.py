@@ -16,8 +16,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillgrid.functions.hydrology import MONTH_DAYS
 
@@ -125,46 +128,84 @@ def water_year(temp: Column, rain: Column, pet: Column, years: int, stores: Stor
     return once(pack(zero, again(temp), again(rain), days, stores), from_snow)
 
 
+def settled_year(temp: np.ndarray, rain: np.ndarray, pet: np.ndarray, p: Stores, halvings: int) -> dict[str, np.ndarray]:
+    """``periodic_year`` of arrays of (month, cell)."""
+    days = np.array(MONTH_DAYS, float)[:, None]
+    frozen, melt = temp <= 0, p.degree_day * np.maximum(temp, 0.0) * days
+    falls, wets = np.where(frozen, rain, 0.0), np.where(frozen, 0.0, rain)
+
+    def snow_year(level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        out = np.empty_like(rain)
+        for m in range(12):
+            held = level + falls[m]
+            level = np.minimum(np.maximum(held - melt[m], 0.0), p.snow_cap)
+            out[m] = wets[m] + held - level
+        return level, out
+
+    a, _ = snow_year(np.zeros(rain.shape[1]))
+    b, _ = snow_year(a)
+    # what the pack begins the year with: it melts away at some time, or grows to its cap
+    snow0 = np.where(b > a, snow_year(np.full(len(a), p.snow_cap))[0], b)
+    snow, water = snow_year(snow0)
+    short = pet - water
+    dries, kept = short > 0, np.exp(-np.maximum(short, 0.0) / p.soil_cap)
+
+    def soil_year(level: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
+        for m in range(12):
+            moist = np.where(dries[m], level * kept[m], level - short[m])
+            level = np.minimum(moist, p.soil_cap)
+            if out is not None:
+                out[m] = moist - level
+        return level
+
+    # the least level that a year does not raise
+    low, high = np.zeros(len(a)), np.full(len(a), p.soil_cap)
+    for _ in range(halvings):
+        middle = (low + high) / 2
+        rises = soil_year(middle) > middle
+        low, high = np.where(rises, middle, low), np.where(rises, high, middle)
+    soil0 = np.where(soil_year(np.zeros(len(a))) <= 0, 0.0, high)
+    surplus = np.empty_like(rain)
+    soil = soil_year(soil0, surplus)
+    share = -np.expm1(-days / p.gw_days)
+
+    def gw_year(level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        flow = 0.0
+        for m in range(12):
+            held = level + surplus[m] * p.seepage
+            level = held - held * share[m]
+            flow = flow + held * share[m]
+        return level, flow
+
+    gw0 = gw_year(np.zeros(len(a)))[0] / (1 - np.exp(-sum(MONTH_DAYS) / p.gw_days))
+    gw, flow = gw_year(gw0)
+    over = surplus.sum(axis=0)
+    return {
+        "snow": snow, "soil": soil, "gw": gw, "aet": water.sum(axis=0) + soil0 - soil - over, "runoff": over * (1 - p.seepage) + flow,
+        "change": np.abs(snow - snow0) + np.abs(soil - soil0) + np.abs(gw - gw0),
+    }
+
+
 def periodic_year(temp: Column, rain: Column, pet: Column, stores: Stores = Stores(), halvings: int = 30) -> Column:
     """snow, soil and gw at the end of the year that repeats itself, its aet and runoff,
-    and ``change``: by how much the three levels still differ from those it began with.
+    and ``change``: by how much the three levels still differ from those it began with; all null where
+    an array or one of its twelve values is.
 
     Of several such years that which empty stores come to. The soil's level is known
-    to its capacity over 2 ** ``halvings``.
+    to its capacity over 2 ** ``halvings``. Worked out for a batch of cells at once.
     """
-    days, zero = month_days(), F.lit(0.0)
-    snow_year = lambda level: pack(level, temp, rain, days, stores)
-
-    def settled_snow(a: Column) -> Column:
-        """What the pack begins the year with: it melts away at some time, or grows to its cap."""
-        return once(snow_year(a)["level"], lambda b: F.when(b > a, snow_year(F.lit(stores.snow_cap))["level"]).otherwise(b))
-
-    def with_snow(begin: Column) -> Column:
-        return once(snow_year(begin), lambda snow: once(settled_soil(snow["out"]), lambda at: with_soil(begin, snow, at)))
-
-    def settled_soil(water: Column) -> Column:
-        """The least level that a year does not raise."""
-
-        def halve(s: Column, _: Column) -> Column:
-            middle = (s["lo"] + s["hi"]) / 2
-            rises = soil(middle, water, pet, stores)["level"] > middle
-            return once(F.struct(middle.alias("m"), rises.alias("r")), lambda x: F.struct(F.when(x["r"], x["m"]).otherwise(s["lo"]).alias("lo"), F.when(x["r"], s["hi"]).otherwise(x["m"]).alias("hi")))
-
-        found = F.aggregate(F.sequence(F.lit(1), F.lit(halvings)), F.struct(zero.alias("lo"), F.lit(stores.soil_cap).alias("hi")), halve, lambda s: s["hi"])
-        return F.when(soil(zero, water, pet, stores)["level"] <= 0, zero).otherwise(found)
-
-    def with_soil(snow0: Column, snow: Column, soil0: Column) -> Column:
-        def rest(ground: Column) -> Column:
-            recharge = F.transform(ground["out"], lambda x: x * stores.seepage)
-            empty = reservoir(zero, recharge, days, stores)["level"]
-            kept = F.exp(F.lit(-sum(MONTH_DAYS) / stores.gw_days))
-            return once(empty / (1 - kept), lambda gw0: once(reservoir(gw0, recharge, days, stores), lambda gw: F.struct(
-                snow["level"].alias("snow"), ground["level"].alias("soil"), gw["level"].alias("gw"),
-                (total(snow["out"]) + soil0 - ground["level"] - total(ground["out"])).alias("aet"),
-                (total(ground["out"]) * (1 - stores.seepage) + total(gw["out"])).alias("runoff"),
-                (F.abs(snow["level"] - snow0) + F.abs(ground["level"] - soil0) + F.abs(gw["level"] - gw0)).alias("change"),
-            )))
-
-        return once(soil(soil0, snow["out"], pet, stores), rest)
-
-    return once(snow_year(zero)["level"], lambda a: once(settled_snow(a), with_snow))
+    names = ["snow", "soil", "gw", "aet", "runoff", "change"]
+
+    def settle(*months: pd.Series) -> pd.DataFrame:
+        full = np.ones(len(months[0]), bool)
+        for s in months:
+            full &= np.fromiter((x is not None and len(x) == 12 for x in s), bool, len(s))
+        out = pd.DataFrame(np.nan, index=range(len(full)), columns=names)
+        if full.any():
+            values = [np.stack(s.to_numpy()[full]).astype(float).T for s in months]
+            found = settled_year(*values, stores, halvings)
+            out.loc[full] = np.where(np.isnan(sum(values)).any(axis=0)[:, None], np.nan, np.column_stack([found[n] for n in names]))
+        return out
+
+    kind = T.StructType([T.StructField(n, T.DoubleType()) for n in names])
+    return F.pandas_udf(settle, kind, F.PandasUDFType.SCALAR)(temp, rain, pet)

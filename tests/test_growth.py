@@ -3,7 +3,7 @@
 import time
 
 from pyspark.sql import functions as F
-from quillgrid.operators import basins, graph, routing, segments, spatial
+from quillgrid.operators import basins, graph, monthly, raster, routing, segments, spatial
 from quillgrid.plans import catalogue
 
 
@@ -74,3 +74,23 @@ def test_copies_of_places_make_no_pairs(spark):
     met = spatial.meeting_totals(boxes, boxes.withColumn("x0", F.lit(8).cast("long")), 4)
     assert met.filter(f"boxes = {n} AND ids = {n * (n - 1) // 2}").count() == n
     assert time.time() - begun < 100
+
+
+def test_smoothing_shuffles_cells_not_weights(spark):
+    """Tiles smaller than the reach and the grid give what one tile gives, and no offer of a single weight is shuffled."""
+    grid = spark.range(600).select(F.expr("id div 20").alias("r"), (F.col("id") % 20).alias("c"), (F.col("id") * 37 % 101).alias("z")).filter("id % 7 != 3")
+    one, many = (raster.gaussian(grid, {"a": 1.2, "b": 3.0}, 30, 20, modes=("reflect", "wrap"), tile=t) for t in (256, 8))
+    assert "Aggregate" not in plan(many)
+    got = {(r.r, r.c): (r.a, r.b) for r in many.collect()}
+    assert len(got) == grid.count()
+    assert all(abs(got[r.r, r.c][0] - r.a) < 1e-9 and abs(got[r.r, r.c][1] - r.b) < 1e-9 for r in one.collect())
+
+
+def test_periodic_years_are_settled_by_batches(spark):
+    df = spark.createDataFrame([(0, [-5.0] * 12, [10.0] * 12, [5.0] * 12), (1, [5.0] * 12, [10.0] * 12, [5.0] * 12), (2, None, [1.0] * 12, [1.0] * 12), (3, [5.0] * 11 + [None], [1.0] * 12, [1.0] * 12)], "k int, t array<double>, p array<double>, e array<double>")
+    out = df.select("k", monthly.periodic_year(F.col("t"), F.col("p"), F.col("e")).alias("s"))
+    assert "ArrowEvalPython" in plan(out)
+    got = {r.k: r.s for r in out.collect()}
+    # the pack is at its cap and sheds all that falls
+    assert got[0].snow == 1000 and abs(got[0].aet + got[0].runoff - 120) < 1e-6 and abs(got[1].soil - 150) < 1e-6 and abs(got[1].runoff - 60) < 1e-6
+    assert all(v is None for k in (2, 3) for v in got[k])

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillgrid.operators import tiles
 from quillgrid.operators.graph import roots, steepest_receivers
-from quillgrid.operators.spatial import neighbours
 from quillgrid.session import apart, cut, written
 
 
@@ -21,14 +21,11 @@ def filled(grid: DataFrame) -> DataFrame:
     least halve, so the rounds are the logarithm of the basins; no basin has to fit a task.
     """
     land = grid.select("cell", "outlet").withColumnRenamed("outlet", "_out")
-    fall = steepest_receivers(grid.select("cell", "r", "c", "z")).join(land, "cell")
+    fall = steepest_receivers(grid.select("cell", "r", "c", "z")).join(apart(land), "cell")
     down = roots(fall.select("cell", F.when(~F.col("_out"), F.col("receiver")).alias("receiver"))).select("cell", F.col("root").alias("basin"))
-    at = written(grid.join(down, "cell"))
-    offers = neighbours(at, "r", "c", ["basin", "z"]).withColumnsRenamed({"basin": "b", "z": "_z"})
-    passes = (
-        at.join(offers, (at["r"] == offers["_r"]) & (at["c"] == offers["_c"])).filter("basin != b")
-        .groupBy(F.col("basin").alias("a"), "b").agg(F.min(F.greatest("z", "_z")).alias("w"))
-    )
+    at = written(grid.join(apart(down), "cell"))
+    met = tiles.lowest_passes(at.select("cell", "r", "c", "z", F.col("basin").alias("label"), F.lit(False).alias("low")))
+    passes = met.select("a", "b", "w").unionByName(met.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")).groupBy("a", "b").agg(F.min("w").alias("w"))
     basins = written(at.filter("cell = basin").select("basin", F.col("basin").alias("label"), F.lit(None).cast(grid.schema["z"].dataType).alias("level"), F.col("outlet").alias("open")))
     passes = written(passes)
     while True:
@@ -49,7 +46,7 @@ def filled(grid: DataFrame) -> DataFrame:
         passes = written(passes.join(one, "a").join(two, "b").filter("_a != _b").groupBy(F.col("_a").alias("a"), F.col("_b").alias("b")).agg(F.min("w").alias("w")))
     reached = basins.join(groups.withColumnRenamed("open", "_reached"), "label").select("basin", "level", "_reached")
     level = F.when(F.col("_reached"), F.greatest("z", "level"))
-    return at.join(reached, "basin").select("cell", level.alias("filled"), (level - F.col("z")).alias("depth"))
+    return at.join(apart(reached), "basin").select("cell", level.alias("filled"), (level - F.col("z")).alias("depth"))
 
 
 def owners(nodes: DataFrame) -> DataFrame:

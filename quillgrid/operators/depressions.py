@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.operators import graph
+from quillgrid.operators import graph, tiles
 from quillgrid.operators.basins import owners
 from quillgrid.operators.contraction import settle
 from quillgrid.operators.spatial import neighbours
@@ -51,11 +51,9 @@ def pits(grid: DataFrame) -> DataFrame:
 def passes(at: DataFrame) -> DataFrame:
     """(a, b, key, a0, b0): the lowest pass between leaves a and b, in both directions, of
     a grid with leaves; key is (height, cell, direction) of its higher cell."""
-    offers = neighbours(at, "r", "c", ["cell", "z", "outlet", "leaf"]).withColumnsRenamed({"cell": "_from", "z": "_z", "outlet": "_out", "leaf": "_leaf"})
-    met = at.join(offers, (at["r"] == offers["_r"]) & (at["c"] == offers["_c"])).filter("leaf != _leaf AND NOT outlet")
-    met = met.filter(F.col("_out") | (F.struct("_z", "_from") < F.struct("z", "cell")))
-    key = F.struct(F.col("z").alias("w"), F.col("cell").alias("at"), F.col("dir"))
-    met = met.groupBy("leaf", "_leaf").agg(F.min(key).alias("key"))
+    met = tiles.lowest_passes(at.select("cell", "r", "c", "z", F.col("leaf").alias("label"), F.col("outlet").alias("low")))
+    key = F.struct("w", "at", "dir")
+    met = met.groupBy(F.col("a").alias("leaf"), F.col("b").alias("_leaf")).agg(F.min(key).alias("key"))
     one, two = met.select(F.col("leaf").alias("a"), F.col("_leaf").alias("b"), "key"), met.select(F.col("_leaf").alias("a"), F.col("leaf").alias("b"), "key")
     both = one.unionByName(two).groupBy("a", "b").agg(F.min("key").alias("key")).filter(F.col("a") != OUTLET)
     return both.select("a", "b", "key", F.col("a").alias("a0"), F.col("b").alias("b0"))

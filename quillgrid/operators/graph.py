@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillgrid.operators import tiles
 from quillgrid.operators.spatial import neighbours
 from quillgrid.session import apart, cut
 
@@ -17,14 +18,7 @@ def steepest_receivers(grid: DataFrame) -> DataFrame:
     """(cell, receiver) of a grid (cell, r, c, z): the steepest lower of eight neighbours,
     slopes compared as drop squared over distance squared in integers, ties to the first
     direction; null at a pit."""
-    offers = neighbours(grid, "r", "c", ["cell", "z"]).withColumnsRenamed({"cell": "_from", "z": "_z"})
-    drop = F.col("z") - F.col("_z")
-    fall = (
-        grid.join(offers, (grid["r"] == offers["_r"]) & (grid["c"] == offers["_c"])).filter(drop > 0)
-        .select("cell", F.struct((drop * drop * F.when(F.col("dir") % 2 == 0, 2).otherwise(1)).alias("s"), (-F.col("dir")).alias("d"), "_from").alias("k"))
-        .groupBy("cell").agg(F.max("k").alias("k"))
-    )
-    return grid.select("cell").join(fall, "cell", "left").select("cell", F.col("k._from").alias("receiver"))
+    return tiles.steepest(grid)
 
 
 def accumulate(nodes: DataFrame, most_rounds: int = 40) -> DataFrame:

@@ -3,7 +3,7 @@
 import time
 
 from pyspark.sql import functions as F
-from quillgrid.operators import basins, graph, monthly, raster, routing, segments, spatial
+from quillgrid.operators import basins, graph, monthly, raster, routing, segments, spatial, tiles
 from quillgrid.plans import catalogue
 
 
@@ -94,3 +94,24 @@ def test_periodic_years_are_settled_by_batches(spark):
     # the pack is at its cap and sheds all that falls
     assert got[0].snow == 1000 and abs(got[0].aet + got[0].runoff - 120) < 1e-6 and abs(got[1].soil - 150) < 1e-6 and abs(got[1].runoff - 60) < 1e-6
     assert all(v is None for k in (2, 3) for v in got[k])
+
+
+def test_tiles_find_what_neighbours_tell(spark):
+    """Receivers and lowest passes by small tiles, with gaps and cells without height, beside plain loops; no offers are joined."""
+    grid = spark.range(300).select(F.col("id").alias("cell"), F.expr("id div 20 - 3").alias("r"), (F.col("id") % 20).alias("c"), F.when(F.col("id") % 13 != 4, F.col("id") * 37 % 23).alias("z")).filter("cell % 11 != 5")
+    out = tiles.steepest(grid, 4)
+    assert "Join" not in plan(out) and "Join" not in plan(graph.steepest_receivers(grid))
+    rows = grid.collect()
+    at = {(x.r, x.c): x for x in rows if x.z is not None}
+    near = lambda x: [(k, at[x.r + a, x.c + b]) for k, (a, b) in enumerate(spatial.DIRECTIONS) if (x.r + a, x.c + b) in at]
+    steep = {x.cell: max((((x.z - y.z) ** 2 * (2 - k % 2), -k, y.cell) for k, y in near(x) if y.z < x.z), default=(0, 0, None))[2] if x.z is not None else None for x in rows}
+    assert {x.cell: x.receiver for x in out.collect()} == steep
+    labels = grid.select("*", (F.col("cell") % 3).alias("label"), (F.col("cell") % 17 == 0).alias("low"))
+    met = tiles.lowest_passes(labels, 4).groupBy("a", "b").agg(F.min(F.struct("w", "at", "dir")).alias("k"))
+    want = {}
+    for x in at.values():
+        for k, y in near(x):
+            if x.cell % 17 and x.cell % 3 != y.cell % 3 and (y.cell % 17 == 0 or (y.z, y.cell) < (x.z, x.cell)):
+                pair = (x.cell % 3, y.cell % 3)
+                want[pair] = min(want.get(pair, (99,)), (x.z, x.cell, k))
+    assert {(r.a, r.b): tuple(r.k) for r in met.collect()} == want

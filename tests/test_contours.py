@@ -48,3 +48,31 @@ def test_a_hill_with_a_hole_has_two_rings(spark):
     got = sorted(x.area for x in contours.areas(contours.rings(spark.createDataFrame(rows, "r long, c long, z long"), 5.0)).collect())
     assert len(got) == 2 and got[0] < 0 < got[1]
     assert abs(got[1] - 24.5) < 1e-9 and abs(got[0] + 0.5) < 1e-9
+
+
+def test_rings_run_through_tiles(spark):
+    """A winding ring, rings within a tile, holes, gaps, heights that are null and places below 0: small tiles give
+    what one walks along the steps, and one tile gives the same."""
+    random.seed(5)
+    z = {(r, c): 9.0 if r % 2 == 0 or c == (19 if r % 4 == 1 else 0) else 0.0 for r in range(20) for c in range(20)}
+    z |= {(r, c): random.choice([0.0, 1.5, 7.0, 9.25, None]) for r in range(22, 40) for c in range(20) if random.random() < 0.9}
+    z |= {(r, 30): 9.0 for r in range(23)}
+    grid = spark.createDataFrame([(r - 13, c - 6, v) for (r, c), v in z.items()], "r long, c long, z double")
+    at = {tuple(x.edge): x for x in contours.steps(grid, 4.0).collect()}
+    left, expected = set(at), {}
+    while left:
+        e = first = min(left)
+        k = 0
+        while e != first or k == 0:
+            expected[e] = (first, k, tuple(at[e].next), at[e].x, at[e].y)
+            left.discard(e)
+            e, k = tuple(at[e].next), k + 1
+    assert max(x[1] for x in expected.values()) > 400
+    for tile in (1, 5, 256):
+        points = contours.rings(grid, 4.0, tile=tile)
+        rows = points.collect()
+        assert len(rows) == len(expected)
+        assert {tuple(x.edge): (tuple(x.ring), x.place, tuple(x.next), x.x, x.y) for x in rows} == expected
+        for x in contours.areas(points).collect():
+            p = [(at[e].x, at[e].y) for e, v in expected.items() if v[0] == tuple(x.ring)]
+            assert len(p) == x.points and abs(x.area - sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(p, p[1:] + p[:1], strict=True)) / 2) < 1e-9

@@ -3,7 +3,7 @@
 import time
 
 from pyspark.sql import functions as F
-from quillgrid.operators import basins, graph, monthly, raster, routing, segments, spatial, tiles
+from quillgrid.operators import basins, contours, graph, monthly, raster, routing, segments, spatial, tiles
 from quillgrid.plans import catalogue
 
 
@@ -115,3 +115,13 @@ def test_tiles_find_what_neighbours_tell(spark):
                 pair = (x.cell % 3, y.cell % 3)
                 want[pair] = min(want.get(pair, (99,)), (x.z, x.cell, k))
     assert {(r.a, r.b): tuple(r.k) for r in met.collect()} == want
+
+
+def test_points_of_contours_are_written_once(spark, monkeypatch):
+    """Doubling is for pieces that leave a tile; points within it are followed there."""
+    rows = []
+    real = contours.written
+    monkeypatch.setattr(contours, "written", lambda df: (lambda out: (rows.append(out.count()), out)[1])(real(df)))
+    grid = spark.range(64 * 400).select(F.expr("id div 64").alias("r"), (F.col("id") % 64).alias("c"), (F.col("id") * 7919 % 101).alias("z"))
+    n = contours.rings(grid, 80.5).count()
+    assert n > 5_000 and sum(rows) < 1.2 * n
